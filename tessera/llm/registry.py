@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing, rollups, urls
 
 QUERIES = {
+    "op2_media_columns": media.op2_media_columns,
     "op3_mixing": mixing.op3_mixing,
+    "op9_token_counts": rollups.op9_token_counts,
+    "op10_url_filters": urls.op10_url_filters,
 }
 
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
+    "op9_token_counts": rollups.OP9_SQL,
+    "op10_url_filters": urls.OP10_SQL,
 }
