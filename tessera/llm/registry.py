@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, rollups, urls
+from . import media, mixing, packing, rollups, urls
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_mixing": mixing.op3_mixing,
+    "op7_packing": packing.op7_packing,
     "op9_token_counts": rollups.op9_token_counts,
     "op10_url_filters": urls.op10_url_filters,
 }
