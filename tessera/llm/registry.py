@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, rollups, urls
+from . import media, mixing, packing, rollups, toxicity, urls
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_mixing": mixing.op3_mixing,
     "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
     "op10_url_filters": urls.op10_url_filters,
 }
