@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, rollups, toxicity, urls
+from . import media, mixing, neighbours, packing, rollups, toxicity, urls
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_mixing": mixing.op3_mixing,
+    "op6_embedding_dedup": neighbours.op6_embedding_dedup,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
