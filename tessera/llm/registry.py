@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, packing, rollups, toxicity, urls
+from . import media, mixing, neighbours, packing, rollups, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_media_columns": media.op2_media_columns,
     "op3_mixing": mixing.op3_mixing,
     "op6_embedding_dedup": neighbours.op6_embedding_dedup,
