@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, packing, rollups, simhash, toxicity, urls, wrappers
+from . import media, mixing, neighbours, packing, repeats, rollups, simhash, toxicity, urls, wrappers
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_media_columns": media.op2_media_columns,
     "op3_mixing": mixing.op3_mixing,
+    "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op5_html_extraction": wrappers.op5_html_extraction,
     "op6_embedding_dedup": neighbours.op6_embedding_dedup,
     "op7_packing": packing.op7_packing,
