@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import media, mixing, neighbours, packing, repeats, rollups, simhash, toxicity, urls, wrappers
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
     "op10_url_filters": urls.op10_url_filters,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

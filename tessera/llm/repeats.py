@@ -260,13 +260,13 @@ def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """``docs`` with kept (binary: what is left of the text's UTF-8), n_bytes, n_removed and n_spans; columns of these
-    names are replaced.
+    """``docs`` without its text but with kept (binary: what is left of the text's UTF-8), n_bytes, n_removed and n_spans;
+    columns of these names are replaced.
 
     Null text is empty. Texts shorter than ``length`` bytes stay whole. Rows with equal id and text are places of their
     own: both lose what they share. Whole texts count, with no limit on their length or on the size of a group.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_key", "_data")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_key", "_data", "ranges")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyed = docs.withColumns({"_key": F.xxhash64(F.col(doc_id), F.col(text)), "_data": data})
     ranges = repeated_ranges(keyed.select(F.col("_key").alias("key"), F.col("_data").alias("data")).where(F.length("data") >= length), length, **options)
@@ -291,6 +291,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with the kept bytes as text, characters cut in two left out, and ``n_chars`` (if there) its length.
+
+    A document of which nothing is left stays with an empty text, a null text stays null; other columns stay as they are.
+    """
+    own = [c for c in docs.columns if c != text]
+    inner = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.struct(*own).alias("rest"))
+    kept = remove_repeats(inner.withColumn("missing", F.col("text").isNull()), **options)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest, data, missing = (batch.column(batch.schema.get_field_index(n)) for n in ("rest", "kept", "missing"))
+            texts = [None if m.as_py() else v.as_py().decode("utf-8", "ignore") for v, m in zip(data, missing, strict=True)]
+            yield pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string())], ["rest", "text"])
+
+    out = kept.select("rest", "kept", "missing").mapInArrow(decode, f"rest {inner.schema['rest'].dataType.simpleString()}, text string")
+    length = F.length("text").cast(docs.schema[n_chars].dataType) if n_chars in own else None
+    columns = {text: F.col("text"), n_chars: length} if n_chars in own else {text: F.col("text")}
+    return out.select(*[columns[c].alias(c) if c in columns else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to strings of 400 bytes that start elsewhere too, and the digest of the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
