@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import text_queries
+
+MODULES = (text_queries,)
+QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict = {k: q for m in MODULES for k, q in m.ORACLES.items()}
