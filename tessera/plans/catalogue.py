@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import text_queries
+from tessera.plans import text_queries, tree_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, tree_queries)
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict = {k: q for m in MODULES for k, q in m.ORACLES.items()}
