@@ -44,12 +44,12 @@ SENTENCES_SQL = f"SELECT doc_id, line, list_filter(string_split({tokenize_sql('t
 
 def item_tokens(items: DataFrame) -> DataFrame:
     """Tokens of benchmark items: (sid, id, form, lemma, postag, head, deprel)."""
-    words = items.select(F.col("item_id").alias("sid"), F.posexplode(F.split(F.trim("text"), r" +")).alias("pos", "form"))
+    words = items.select(F.col("item_id").alias("sid"), F.posexplode(F.split(F.trim("text"), r"[ \n]+")).alias("pos", "form"))
     return tagged(words.select("sid", (F.col("pos") + 1).alias("id"), "form"))
 
 
 ITEM_TOKENS_SQL = f"""SELECT sid, id, form, lower(form) AS lemma, {TAGS.replace('regexp_like', 'regexp_matches')} AS postag, id & (id - 1) AS head, {LABELS} AS deprel FROM (
- SELECT item_id AS sid, i::INTEGER AS id, parts[i] AS form FROM (SELECT item_id, string_split_regex(trim(text), ' +') AS parts FROM benchmark) b,
+ SELECT item_id AS sid, i::INTEGER AS id, parts[i] AS form FROM (SELECT item_id, string_split_regex(trim(text), '[ \\n]+') AS parts FROM benchmark) b,
  unnest(range(1, len(parts) + 1)) AS r(i)) t"""
 
 
