@@ -71,7 +71,8 @@ def near_duplicates(
     src = vectors.select(
         F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding")
     )
-    usable = written(src.where("embedding is not null and label is not null and vec_id is not null"))
+    src = written(src)
+    usable = src.where("embedding is not null and label is not null and vec_id is not null")
     n = usable.count()
     share = min(1.0, sample / max(n, 1))
     chosen = usable.where(unit_hash("cells", F.col("vec_id")) < share).orderBy("vec_id", "row").limit(2 * sample).select("embedding").toArrow()
