@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_base() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, gone when the driver ends; where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
     name = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -7,10 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tessera") -> SparkSession:
+def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tessera", checkpoints: str | None = None) -> SparkSession:
     """A UTC session on ``local[cpus]`` with adaptive execution and few shuffle partitions."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("TESSERA_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
