@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -174,7 +174,7 @@ def to_png(df: DataFrame, text: str = "text", media: str = "media", width: int =
                 out.append(png_encode(np.frombuffer(data, dtype=np.uint8).reshape(-1, width), level=level))
             yield batch.set_column(at, media, pa.array(out, type=pa.binary()))
 
-    return src.mapInArrow(encode, src.schema)
+    return src.mapInArrow(tidied(encode), src.schema)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
@@ -200,7 +200,7 @@ def png_features(df: DataFrame, media: str = "media", tail: int = 64) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), FEATURES])
-    return df.mapInArrow(decode, schema)
+    return df.mapInArrow(tidied(decode), schema)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, unit_hash, written
+from .common import components, table, tidied, unit_hash, written
 
 #: Vectors of a (label, cell) that one task compares with as many others.
 BLOCK = 1024
@@ -95,7 +95,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "label", "unit", "home", "cells"])
 
     kind = usable.schema["label"].dataType.simpleString()
-    placed = written(usable.mapInArrow(assign, f"row long, vec_id long, label {kind}, unit array<double>, home int, cells array<int>"))
+    placed = written(usable.mapInArrow(tidied(assign), f"row long, vec_id long, label {kind}, unit array<double>, home int, cells array<int>"))
     sizes = placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size")
     dealt = placed.withColumn("cell", F.explode("cells")).join(sizes, ["label", "cell"])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 from .tokens import Encoder
 
 WINDOW, STEP, END = 2048, 16, 1
@@ -155,7 +155,7 @@ def pack(
         if held:
             yield from flush()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def offsets(line: list[tuple[int, int, int]]) -> list[int]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 LENGTH, GRAM = 400, 64
 #: Shards of one task, and of one owner beyond which windows are counted by key instead.
@@ -173,7 +173,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], ["key", "first", "last", "owner", "content", "inner"])
 
-    rows = written(keyed.mapInArrow(cut, "key long, first int, last int, owner long, content long, inner long"))
+    rows = written(keyed.mapInArrow(tidied(cut), "key long, first int, last int, owner long, content long, inner long"))
     several = (F.count("*") > 1).alias("several")
     seen = rows.groupBy("owner").agg(several, (F.min("content") == F.max("content")).alias("alike"), F.max("inner").alias("again"))
     seen = seen.where("several or again > 0").select("owner", (F.col("several") & F.col("alike")).alias("alike"))
@@ -190,12 +190,12 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     total = wanted.count()
     buckets = max(1, -(-total // size))
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "kinds", "n", "first", "last")).alias("parts"))
-    texts = keyed.join(lists, "key").mapInArrow(_slices(length), "owner long, kinds long, n long, key long, first int, data binary")
+    texts = keyed.join(lists, "key").mapInArrow(tidied(_slices(length)), "owner long, kinds long, n long, key long, first int, data binary")
     texts = written(texts)
     usual = texts.where(F.col("kinds") <= hot).withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int"))
     edges = usual.select("bucket", "n", "key", "first", "data").groupBy("bucket").applyInPandas(_merge(length), "key long, start int, stop int")
     edges = edges.select("key", F.struct("start", "stop").alias("range"))
-    windows = texts.where(F.col("kinds") > hot).mapInArrow(_windows(length), "a long, b long, n long, key long, start int")
+    windows = texts.where(F.col("kinds") > hot).mapInArrow(tidied(_windows(length)), "a long, b long, n long, key long, start int")
     many = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
     spans = windows.where("n = 1").join(many, ["a", "b"])
     spans = spans.select("key", F.struct("start", (F.col("start") + length).alias("stop")).alias("range"))
@@ -259,36 +259,41 @@ def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """``docs`` without its text but with kept (binary: what is left of the text's UTF-8), n_bytes, n_removed and n_spans;
-    columns of these names are replaced.
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False, **options
+) -> DataFrame:
+    """``docs`` without its text but with kept (binary: what is left of the text's UTF-8; with ``as_text`` a string without
+    the characters that were cut in two, null where the text was), n_bytes, n_removed and n_spans; columns of these names
+    are replaced.
 
     Null text is empty. Texts shorter than ``length`` bytes stay whole. Rows with equal id and text are places of their
     own: both lose what they share. Whole texts count, with no limit on their length or on the size of a group.
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_key", "_data", "ranges")
-    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    keyed = docs.withColumns({"_key": F.xxhash64(F.col(doc_id), F.col(text)), "_data": data})
-    ranges = repeated_ranges(keyed.select(F.col("_key").alias("key"), F.col("_data").alias("data")).where(F.length("data") >= length), length, **options)
+    key, data = F.xxhash64(F.col(doc_id), F.col(text)), F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    keyed = docs.select(key.alias("key"), data.alias("data")).where(F.length("data") >= length)
+    ranges = repeated_ranges(keyed, length, **options)
     rest = [c for c in docs.columns if c != text]
-    joined = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text))).join(ranges.withColumnRenamed("key", "_key"), "_key", "left")
-    joined = joined.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_data"), "ranges")
+    joined = docs.withColumn("_key", key).join(ranges.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = joined.select(*rest, F.col(text).cast("binary").alias("_data"), "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, removed, spans = [], [], [], []
             for value, ranges_ in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("_data", "ranges")), strict=True):
-                value, runs = value.as_py(), joined_ranges(ranges_.as_py())
+                given, runs = value.as_py(), joined_ranges(ranges_.as_py())
+                data = given or b""
                 stops = [0, *(b for _, b in runs)]
-                kept.append(b"".join(value[a:b] for a, b in zip(stops, [*(a for a, _ in runs), len(value)], strict=True)) if runs else value)
-                sizes.append(len(value)), removed.append(len(value) - len(kept[-1])), spans.append(len(runs))
+                left = b"".join(data[a:b] for a, b in zip(stops, [*(a for a, _ in runs), len(data)], strict=True)) if runs else data
+                sizes.append(len(data)), removed.append(len(data) - len(left)), spans.append(len(runs))
+                kept.append(left if not as_text else None if given is None else left.decode("utf-8", "ignore"))
             columns = [batch.column(i) for i in range(len(rest))]
-            columns += [pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, removed, spans))]
+            columns += [pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, removed, spans))]
             yield pa.RecordBatch.from_arrays(columns, [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "kept binary, n_bytes long, n_removed long, n_spans long"])
-    return joined.mapInArrow(run, fields)
-
+    kind = "string" if as_text else "binary"
+    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), f"kept {kind}, n_bytes long, n_removed long, n_spans long"])
+    return joined.mapInArrow(tidied(run), fields)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
@@ -298,17 +303,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = [c for c in docs.columns if c != text]
     inner = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.struct(*own).alias("rest"))
-    kept = remove_repeats(inner.withColumn("missing", F.col("text").isNull()), **options)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest, data, missing = (batch.column(batch.schema.get_field_index(n)) for n in ("rest", "kept", "missing"))
-            texts = [None if m.as_py() else v.as_py().decode("utf-8", "ignore") for v, m in zip(data, missing, strict=True)]
-            yield pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string())], ["rest", "text"])
-
-    out = kept.select("rest", "kept", "missing").mapInArrow(decode, f"rest {inner.schema['rest'].dataType.simpleString()}, text string")
-    length = F.length("text").cast(docs.schema[n_chars].dataType) if n_chars in own else None
-    columns = {text: F.col("text"), n_chars: length} if n_chars in own else {text: F.col("text")}
+    out = remove_repeats(inner, as_text=True, **options)
+    columns = {text: F.col("kept")}
+    if n_chars in own:
+        columns[n_chars] = F.length("kept").cast(docs.schema[n_chars].dataType)
     return out.select(*[columns[c].alias(c) if c in columns else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, table, tidied, written
 
 RADIUS = 3
 #: Distinct fingerprints of a bucket that one row holds; larger buckets are cut by further masks.
@@ -57,7 +57,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
             kept = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if keep_text or n != text]
             yield pa.RecordBatch.from_arrays([*kept, signed], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def covering_masks(radius: int = RADIUS, free: int = (1 << 64) - 1) -> list[int]:
@@ -96,7 +96,7 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         most = (1 << 64) if depth == 2 else bucket
         some = rows.where(F.col("size") <= F.lit(most).cast("decimal(20,0)")) if depth < 2 else rows
         some = some.groupBy("mask", "key").agg(F.collect_list("fingerprint").alias("prints"))
-        edges = some.select("prints").mapInArrow(_trees(radius), "a long, b long")
+        edges = some.select("prints").mapInArrow(tidied(_trees(radius)), "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         rows = rows.where(F.col("size") > bucket).select("fingerprint", "mask")
         if depth < 2 and rows.isEmpty():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unit_hash, written
+from .common import table, tidied, unit_hash, written
 
 #: Letters of other scripts that look like the Latin letter, and signs used for letters.
 HOMOGLYPHS = {
@@ -141,7 +141,7 @@ def fit(
     if min(share.values()) < 1:
         keep = F.when(F.col("toxic"), share[True]).otherwise(share[False])
         rows = rows.where(unit_hash("fit", F.xxhash64("text")) < keep)
-    words = rows.mapInArrow(_counts, "word string, toxic long, clean long")
+    words = rows.mapInArrow(tidied(_counts), "word string, toxic long, clean long")
     words = written(words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     t_all, c_all = total.get(True, 0) + 1.0, total.get(False, 0) + 1.0
@@ -172,7 +172,7 @@ def fit(
             columns = [pa.array([p[i] for p in pairs], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["matched", "words", "toxic"])
 
-    sample = rows.mapInArrow(features, "matched double, words double, toxic boolean").toPandas()
+    sample = rows.mapInArrow(tidied(features), "matched double, words double, toxic boolean").toPandas()
     sample = sample.sort_values(["matched", "words", "toxic"])
     y = sample["toxic"].to_numpy(dtype=float)
     weight = np.where(y > 0, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1))
@@ -205,7 +205,7 @@ def with_score(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str
             values = lexicon.score([p[0] for p in pairs], [p[1] for p in pairs]) if pairs else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidied(run), fields)
 
 
 def held_out() -> F.Column:
