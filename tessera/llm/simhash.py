@@ -142,17 +142,148 @@ def components_of(prints: DataFrame) -> DataFrame:
     return joined.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Word fingerprints for candidates; words of 64 bits of the fingerprint of five-word shingles that decides; bits (half a
+#: standard deviation) granted beyond the average distance at the wanted similarity.
+SEEDS, WIDE, SLACK = 4, 8, 4
+WIDE_BITS = 64 * WIDE
+
+
+def reach(similarity: float) -> int:
+    """Differing bits of the deciding fingerprint that two shingle sets of that similarity have on average."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(WIDE_BITS * float(np.arccos(cosine)) / np.pi)
+
+
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """k independent 64-bit hashes of each 64-bit hash, as an (n, k) array."""
+    x = h[:, None] ^ (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(x: np.ndarray) -> np.ndarray:
+    """For (n, k) hashes the k words of bits that are set in over half of the n; counts are summed three rows at a time."""
+    n, ones, todo = len(x), np.zeros((x.shape[1], 64), dtype=np.int64), [(1, x)]
+    while todo:
+        weight, rows = todo.pop()
+        while len(rows) > 48:
+            m = len(rows) // 3
+            a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
+            todo.append((2 * weight, (a & b) | (c & (a ^ b))))
+            rows = np.concatenate([a ^ b ^ c, rows[3 * m :]])
+        bits = np.unpackbits(np.ascontiguousarray(rows.astype(">u8")).view(np.uint8).reshape(len(rows), -1, 8), axis=2)
+        ones += weight * bits.reshape(len(rows), -1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def similarity_prints(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int, np.ndarray, np.ndarray]:
+    """(content hash, word fingerprints, deciding fingerprint) of a text's A-Z lower-cased words; zeros without words."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    line = b" ".join(words)
+    content = digest(line, seed)
+    if not words:
+        return content, np.zeros(SEEDS, dtype=np.uint64), np.zeros(WIDE, dtype=np.uint64)
+    singles = np.array([digest(w, seed) for w in set(words)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    stops = ends[shingle - 1 :].tolist() or [len(line)]
+    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    parts = np.array(list({digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)}), dtype=np.uint64)
+    return content, _majority(_spread(singles, SEEDS)), _majority(_spread(parts, WIDE))
+
+
+def with_similarity_prints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with _content, _seeds and _wide, computed in place; null text counts as empty."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_content long, _seeds array<long>, _wide array<long>"])
+    names = [*docs.columns, "_content", "_seeds", "_wide"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [similarity_prints((v.as_py() or "").encode()) for v in batch.column(batch.schema.get_field_index(text))]
+            signed = lambda x: np.asarray(x, dtype=np.uint64).view(np.int64)
+            columns = [pa.array(signed([f[0] for f in found]), pa.int64()), *(pa.array([signed(f[i]) for f in found], pa.list_(pa.int64())) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+
+    return docs.mapInArrow(tidied(run), schema)
+
+
+def similar_links(prints: DataFrame, most: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between contents (content, seeds, wide) that share a bucket of some word fingerprint's covering table
+    and whose deciding fingerprints differ in ``most`` bits or fewer; of each bucket a tree, not its pairs.
+
+    Buckets of over ``bucket`` contents are cut by further masks as in :func:`links`; contents that then still agree in
+    nearly all bits are dealt into parts by hash, which other tables and fingerprints join.
+    """
+    seeds = prints.select("content", F.posexplode("seeds").alias("seed", "fp"))
+    level, found = [((1 << 64) - 1, 0)], None
+    rows = seeds.withColumn("mask", F.lit(0).cast("long"))
+    wide = prints.select("content", "wide")
+    for depth in range(3):
+        finer = {_signed(mask): sorted({_signed(mask | m) for m in covering_masks(radius, free)}) for free, mask in level}
+        level = [(((1 << 64) - 1) & ~(m % (1 << 64)), m % (1 << 64)) for ms in finer.values() for m in ms]
+        if depth == 0:
+            rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in finer[0]])))
+        else:
+            step = prints.sparkSession.createDataFrame([(m, k) for m, ms in finer.items() for k in ms], "mask long, finer long")
+            rows = rows.join(F.broadcast(step), "mask").select("content", "seed", "fp", F.col("finer").alias("mask"))
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        size = rows.groupBy("seed", "mask", "key").agg(F.count("*").alias("size")).where("size > 1")
+        rows = written(rows.join(size, ["seed", "mask", "key"]))
+        some = rows if depth == 2 else rows.where(F.col("size") <= bucket)
+        part = F.pmod(F.xxhash64("content"), F.ceil(F.col("size") / bucket).cast("long"))
+        some = some.select("seed", "mask", "key", part.alias("part"), "content").join(wide, "content")
+        some = some.groupBy("seed", "mask", "key", "part").agg(F.collect_list(F.struct("content", "wide")).alias("members"))
+        edges = some.select("members.content", "members.wide").mapInArrow(tidied(_wide_trees(most)), "a long, b long")
+        found = edges if found is None else found.unionByName(edges)
+        rows = rows.where(F.col("size") > bucket).select("content", "seed", "fp", "mask")
+        if depth < 2 and rows.isEmpty():
+            break
+    return found.distinct()
+
+
+def _wide_trees(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for ids, prints in zip(*batch.columns, strict=True):
+                ids = ids.values.to_numpy()
+                x = prints.values.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+                todo = np.ones(len(ids), dtype=bool)
+                for k in range(len(ids)):
+                    if not todo[k]:
+                        continue
+                    todo[k] = False
+                    line = [k]
+                    while line and todo.any():
+                        p = line.pop()
+                        rest = np.flatnonzero(todo)
+                        near = rest[np.bitwise_count(x[rest] ^ x[p]).sum(axis=1, dtype=np.int64) <= most]
+                        todo[near] = False
+                        a += [int(ids[p])] * len(near)
+                        b += ids[near].tolist()
+                        line += near.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row of each group of linked documents: that of the smallest id (a null id last; of repeated ids any one row).
 
-    Exact copies, documents without words included, are a group. Columns stay as they are.
+    Documents with the same words are copies, those without words included. Others link where their sets of five-word
+    shingles have about the given similarity or more: candidates meet in covering tables of four word fingerprints, and
+    a 512-bit fingerprint of the shingles decides. Columns stay as they are.
     """
-    rows = written(with_fingerprint(docs, text, "_fingerprint").withColumn("_row", F.monotonically_increasing_id()))
-    prints = rows.select(F.col("_fingerprint").alias("fingerprint"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    prints = written(prints.join(components_of(prints), "fingerprint"))
+    rows = written(with_similarity_prints(docs, text).withColumn("_row", F.monotonically_increasing_id()))
+    prints = rows.groupBy(F.col("_content").alias("content")).agg(F.first("_seeds").alias("seeds"), F.first("_wide").alias("wide"))
+    groups = components(similar_links(written(prints), reach(similarity) + SLACK))
+    named = rows.select(F.col("_content").alias("content"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    named = named.join(groups, F.col("content") == F.col("node"), "left").select(F.coalesce("root", "content").alias("root"), "id", "row")
+    named = written(named)
     order = F.struct(F.col("id").isNull(), "id", "row")
-    first = prints.groupBy("root").agg(F.min(order).getField("row").alias("first"))
-    gone = prints.join(first, "root").where("row <> first").select(F.col("row").alias("_row"))
+    first = named.groupBy("root").agg(F.min(order).getField("row").alias("first"))
+    gone = named.join(first, "root").where("row <> first").select(F.col("row").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
