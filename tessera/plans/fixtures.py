@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens as tokens_of
 from tessera.functions.text import tokenize_sql
+from tessera.session import spread
 
 TAGS = """CASE WHEN regexp_like(form, '^[0-9]') THEN 'CD' WHEN lower(form) IN ('the', 'a', 'an') THEN 'DT'
  WHEN lower(form) IN ('of', 'in', 'on', 'at', 'for', 'by', 'with') THEN 'IN' WHEN lower(form) = 'to' THEN 'TO'
@@ -26,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line, text) for each line that is not blank."""
-    out = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    out = spread(docs.select(key, "text")).select(key, F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return out.where(F.trim("text") != "")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import arguments, evaluation, frames, lexicon, scratch, training
 from tessera.plans.fixtures import ITEM_TOKENS_SQL, item_tokens, read
-from tessera.sources import annotations, tagged, tables
+from tessera.session import spread
+from tessera.sources import annotations, tables, tagged
 from tessera.streaming import stream
 
 
@@ -71,7 +72,7 @@ SELECT key, tier, len(f) AS frames, list_min(f) AS first FROM m"""
 
 def _word_features(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of each document's letters-only beginnings of words, as features, with its language as gold."""
-    docs = read(spark, sf, "documents")
+    docs = spread(read(spark, sf, "documents").select("doc_id", "lang", "text"))
     words = docs.select(F.col("doc_id").alias("key"), "lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) >= 3")
     return words.groupBy("key", "lang", F.substring("w", 1, 3).alias("feature")).agg(F.count("*").cast("double").alias("value"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tessera", checkpoints: str | None = None) -> SparkSession:
@@ -21,3 +21,9 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tessera",
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer parts than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -93,6 +93,12 @@ def parse_kb(lines: DataFrame, least: float = 0.91) -> DataFrame:
     return rows.where(F.col("conf") > least).orderBy("phrase")
 
 
+def parse_parents(lines: DataFrame) -> DataFrame:
+    """(type, category) from (value) lines ``type \\t parent parent ...``; a type is its own category too."""
+    rows = lines.select(F.split("value", "\t").alias("s")).select(F.get("s", F.lit(0)).alias("type"), F.split(F.trim(F.coalesce(F.get("s", F.lit(1)), F.lit(""))), r"\s+").alias("p"))
+    return rows.select("type", F.explode(F.array_union(F.array("type"), "p")).alias("category")).where("category <> ''")
+
+
 def read_neighbor_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(unit, line, position, nbr, sim) from records ``(unit (desc ... (nbr sim) ...))`` that end with ``))``."""
     records = spark.read.option("lineSep", "))").text(path).where(F.trim("value") != "")

@@ -104,6 +104,8 @@ def test_tables(spark, tmp_path):
     assert tables.distribution_lines(dist).first()[0] == "run.v\tA 0.5 B 0.25"
     kb = tables.parse_kb(spark.createDataFrame([("new york\tcity:0.95 state:0.5",)], "value string"))
     assert rows(kb, "type") == [("new york", "city", 0.95)]
+    parents = tables.parse_parents(spark.createDataFrame([("city\tplace thing",), ("alone",)], "value string"))
+    assert rows(parents, "type", "category") == [("alone", "alone"), ("city", "city"), ("city", "place"), ("city", "thing")]
     triples = spark.createDataFrame([(1, "frame", "A"), (1, "bias", "1.0"), (1, "x", "2")], "target_id long, feature_name string, value string")
     tables.write_feature_triples(triples, str(tmp_path / "t"))
     back = tables.feature_maps(tables.read_feature_triples(spark, str(tmp_path / "t"))).first()
