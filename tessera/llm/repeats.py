@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 from .common import table, tidied, written
 
 LENGTH, GRAM = 400, 64
@@ -177,7 +179,8 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     several = (F.count("*") > 1).alias("several")
     seen = rows.groupBy("owner").agg(several, (F.min("content") == F.max("content")).alias("alike"), F.max("inner").alias("again"))
     seen = seen.where("several or again > 0").select("owner", (F.col("several") & F.col("alike")).alias("alike"))
-    rows = written(rows.drop("inner").join(seen, "owner"))
+    # Written first, so that a hot owner's rows can be split in the join instead of sharing the sum's partitioning.
+    rows = written(rows.drop("inner").join(written(seen), "owner"))
     covered = F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop")).alias("range")
     whole = rows.where("alike").select("key", covered)
     mixed = rows.where("not alike")
@@ -312,5 +315,5 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to strings of 400 bytes that start elsewhere too, and the digest of the rest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
