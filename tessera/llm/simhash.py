@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 from .common import components, table, tidied, written
 
 RADIUS = 3
@@ -282,14 +284,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     named = named.join(groups, F.col("content") == F.col("node"), "left").select(F.coalesce("root", "content").alias("root"), "id", "row")
     named = written(named)
     order = F.struct(F.col("id").isNull(), "id", "row")
-    first = named.groupBy("root").agg(F.min(order).getField("row").alias("first"))
+    first = written(named.groupBy("root").agg(F.min(order).getField("row").alias("first")))
     gone = named.join(first, "root").where("row <> first").select(F.col("row").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     prints = written(with_fingerprint(docs, keep_text=False))
     groups = written(components_of(prints))
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(groups, "fingerprint")

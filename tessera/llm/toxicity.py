@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 from .common import table, tidied, unit_hash, written
 
 #: Letters of other scripts that look like the Latin letter, and signs used for letters.
@@ -231,5 +233,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned without the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = with_score(docs, lexicon)
+    scored = with_score(spread(docs), lexicon)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
