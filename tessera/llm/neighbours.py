@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import components, table, tidied, unit_hash, written
 
 #: Vectors of a (label, cell) that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
