@@ -211,8 +211,9 @@ def with_similarity_prints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def similar_links(prints: DataFrame, most: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between contents (content, seeds, wide) that share a bucket of some word fingerprint's covering table
-    and whose deciding fingerprints differ in ``most`` bits or fewer; of each bucket a tree, not its pairs.
+    """Edges (a, b) between contents (content, label, seeds, wide) that share a bucket of some word fingerprint's covering
+    table and whose deciding fingerprints differ in ``most`` bits or fewer; of each bucket a tree, not its pairs, and none
+    between contents of equal label, which are joined already.
 
     Buckets of over ``bucket`` contents are cut by further masks as in :func:`links`; contents that then still agree in
     nearly all bits are dealt into parts by hash, which other tables and fingerprints join.
@@ -220,7 +221,7 @@ def similar_links(prints: DataFrame, most: int, radius: int = RADIUS, bucket: in
     seeds = prints.select("content", F.posexplode("seeds").alias("seed", "fp"))
     level, found = [((1 << 64) - 1, 0)], None
     rows = seeds.withColumn("mask", F.lit(0).cast("long"))
-    wide = prints.select("content", "wide")
+    wide = prints.select("content", "label", "wide")
     for depth in range(3):
         finer = {_signed(mask): sorted({_signed(mask | m) for m in covering_masks(radius, free)}) for free, mask in level}
         level = [(((1 << 64) - 1) & ~(m % (1 << 64)), m % (1 << 64)) for ms in finer.values() for m in ms]
@@ -235,8 +236,8 @@ def similar_links(prints: DataFrame, most: int, radius: int = RADIUS, bucket: in
         some = rows if depth == 2 else rows.where(F.col("size") <= bucket)
         part = F.pmod(F.xxhash64("content"), F.ceil(F.col("size") / bucket).cast("long"))
         some = some.select("seed", "mask", "key", part.alias("part"), "content").join(wide, "content")
-        some = some.groupBy("seed", "mask", "key", "part").agg(F.collect_list(F.struct("content", "wide")).alias("members"))
-        edges = some.select("members.content", "members.wide").mapInArrow(tidied(_wide_trees(most)), "a long, b long")
+        some = some.groupBy("seed", "mask", "key", "part").agg(F.collect_list(F.struct("content", "label", "wide")).alias("members"))
+        edges = some.select("members.content", "members.label", "members.wide").mapInArrow(tidied(_wide_trees(most)), "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         rows = rows.where(F.col("size") > bucket).select("content", "seed", "fp", "mask")
         if depth < 2 and rows.isEmpty():
@@ -248,23 +249,26 @@ def _wide_trees(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for ids, prints in zip(*batch.columns, strict=True):
-                ids = ids.values.to_numpy()
+            for ids, labels, prints in zip(*batch.columns, strict=True):
+                ids, labels = ids.values.to_numpy(), labels.values.to_pylist()
                 x = prints.values.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
                 todo = np.ones(len(ids), dtype=bool)
                 for k in range(len(ids)):
                     if not todo[k]:
                         continue
                     todo[k] = False
-                    line = [k]
+                    line, joined = [k], {labels[k]}
                     while line and todo.any():
                         p = line.pop()
                         rest = np.flatnonzero(todo)
                         near = rest[np.bitwise_count(x[rest] ^ x[p]).sum(axis=1, dtype=np.int64) <= most]
                         todo[near] = False
-                        a += [int(ids[p])] * len(near)
-                        b += ids[near].tolist()
                         line += near.tolist()
+                        for q in near.tolist():
+                            if labels[q] not in joined:
+                                joined.add(labels[q])
+                                a.append(int(ids[p]))
+                                b.append(int(ids[q]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -279,7 +283,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     rows = written(with_similarity_prints(docs, text).withColumn("_row", F.monotonically_increasing_id()))
     prints = rows.groupBy(F.col("_content").alias("content")).agg(F.first("_seeds").alias("seeds"), F.first("_wide").alias("wide"))
-    groups = components(similar_links(written(prints), reach(similarity) + SLACK))
+    prints, most = written(prints), reach(similarity) + SLACK
+    # The first fingerprint's tables join most copies; the others then only add what still lies apart.
+    begun = components(similar_links(prints.withColumns({"label": F.col("content"), "seeds": F.slice("seeds", 1, 1)}), most))
+    labelled = prints.join(begun, F.col("content") == F.col("node"), "left").withColumns({"label": F.coalesce("root", "content"), "seeds": F.slice("seeds", 2, SEEDS - 1)})
+    further = similar_links(written(labelled.select("content", "label", "seeds", "wide")), most)
+    groups = components(begun.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further))
     named = rows.select(F.col("_content").alias("content"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
     named = named.join(groups, F.col("content") == F.col("node"), "left").select(F.coalesce("root", "content").alias("root"), "id", "row")
     named = written(named)
