@@ -144,24 +144,8 @@ def components_of(prints: DataFrame) -> DataFrame:
     return joined.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
-#: Word fingerprints for candidates; words of 64 bits of the fingerprint of five-word shingles that decides; bits (half a
-#: standard deviation) granted beyond the average distance at the wanted similarity.
-SEEDS, WIDE, SLACK = 4, 8, 4
-WIDE_BITS = 64 * WIDE
-
-
-def reach(similarity: float) -> int:
-    """Differing bits of the deciding fingerprint that two shingle sets of that similarity have on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(WIDE_BITS * float(np.arccos(cosine)) / np.pi)
-
-
-def _spread(h: np.ndarray, k: int) -> np.ndarray:
-    """k independent 64-bit hashes of each 64-bit hash, as an (n, k) array."""
-    x = h[:, None] ^ (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Counters of the sketch that orders shingles; shingles of one task's part of the join.
+CELLS, PART = 1 << 21, 250_000
 
 
 def _majority(x: np.ndarray) -> np.ndarray:
@@ -179,116 +163,209 @@ def _majority(x: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > n, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def similarity_prints(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int, np.ndarray, np.ndarray]:
-    """(content hash, word fingerprints, deciding fingerprint) of a text's A-Z lower-cased words; zeros without words."""
+def shingle_hashes(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
+    """(content hash, sorted distinct hashes of the word shingles) of a text's A-Z lower-cased words; a text of fewer
+    words is one shingle."""
     words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    line = b" ".join(words)
-    content = digest(line, seed)
-    if not words:
-        return content, np.zeros(SEEDS, dtype=np.uint64), np.zeros(WIDE, dtype=np.uint64)
-    singles = np.array([digest(w, seed) for w in set(words)], dtype=np.uint64)
+    digest, line = xxhash.xxh64_intdigest, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     stops = ends[shingle - 1 :].tolist() or [len(line)]
     starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
-    parts = np.array(list({digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)}), dtype=np.uint64)
-    return content, _majority(_spread(singles, SEEDS)), _majority(_spread(parts, WIDE))
+    parts = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+    return digest(line, seed), np.unique(parts)
 
 
-def with_similarity_prints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _content, _seeds and _wide, computed in place; null text counts as empty."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_content long, _seeds array<long>, _wide array<long>"])
-    names = [*docs.columns, "_content", "_seeds", "_wide"]
+def with_content(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with _content, the hash of the A-Z lower-cased words, computed in place; null text counts as empty."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_content long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [similarity_prints((v.as_py() or "").encode()) for v in batch.column(batch.schema.get_field_index(text))]
-            signed = lambda x: np.asarray(x, dtype=np.uint64).view(np.int64)
-            columns = [pa.array(signed([f[0] for f in found]), pa.int64()), *(pa.array([signed(f[i]) for f in found], pa.list_(pa.int64())) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+            texts = batch.column(batch.schema.get_field_index(text))
+            found = [xxhash.xxh64_intdigest(b" ".join((v.as_py() or "").encode().lower().split()), 42) for v in texts]
+            hashes = pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "_content"])
 
     return docs.mapInArrow(tidied(run), schema)
 
 
-def similar_links(prints: DataFrame, most: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between contents (content, label, seeds, wide) that share a bucket of some word fingerprint's covering
-    table and whose deciding fingerprints differ in ``most`` bits or fewer; of each bucket a tree, not its pairs, and none
-    between contents of equal label, which are joined already.
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(43)).astype(np.int64)
 
-    Buckets of over ``bucket`` contents are cut by further masks as in :func:`links`; contents that then still agree in
-    nearly all bits are dealt into parts by hash, which other tables and fingerprints join.
-    """
-    seeds = prints.select("content", F.posexplode("seeds").alias("seed", "fp"))
-    level, found = [((1 << 64) - 1, 0)], None
-    rows = seeds.withColumn("mask", F.lit(0).cast("long"))
-    wide = prints.select("content", "label", "wide")
-    for depth in range(3):
-        finer = {_signed(mask): sorted({_signed(mask | m) for m in covering_masks(radius, free)}) for free, mask in level}
-        level = [(((1 << 64) - 1) & ~(m % (1 << 64)), m % (1 << 64)) for ms in finer.values() for m in ms]
-        if depth == 0:
-            rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in finer[0]])))
-        else:
-            step = prints.sparkSession.createDataFrame([(m, k) for m, ms in finer.items() for k in ms], "mask long, finer long")
-            rows = rows.join(F.broadcast(step), "mask").select("content", "seed", "fp", F.col("finer").alias("mask"))
-        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        size = rows.groupBy("seed", "mask", "key").agg(F.count("*").alias("size")).where("size > 1")
-        rows = written(rows.join(size, ["seed", "mask", "key"]))
-        some = rows if depth == 2 else rows.where(F.col("size") <= bucket)
-        part = F.pmod(F.xxhash64("content"), F.ceil(F.col("size") / bucket).cast("long"))
-        some = some.select("seed", "mask", "key", part.alias("part"), "content").join(wide, "content")
-        some = some.groupBy("seed", "mask", "key", "part").agg(F.collect_list(F.struct("content", "label", "wide")).alias("members"))
-        edges = some.select("members.content", "members.label", "members.wide").mapInArrow(tidied(_wide_trees(most)), "a long, b long")
-        found = edges if found is None else found.unionByName(edges)
-        rows = rows.where(F.col("size") > bucket).select("content", "seed", "fp", "mask")
-        if depth < 2 and rows.isEmpty():
-            break
-    return found.distinct()
 
+def frequencies(rows: DataFrame, sample: int) -> np.ndarray:
+    """Counters of shingle hashes over one in ``sample`` contents (content, text), up to 65,535. They only say which
+    shingles come first in a text's order: any order gives the same links, a good one gives fewer candidates."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                np.add.at(cells, _cells(shingle_hashes((v.as_py() or "").encode())[1]), 1)
+        blocks = np.minimum(cells, 65_535).astype(np.uint16).reshape(256, -1)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "cells"])
+
+    def add(pdf):
+        cells = sum(np.frombuffer(c, dtype=np.uint16).astype(np.int64) for c in pdf["cells"])
+        return pdf.head(1).assign(cells=[np.minimum(cells, 65_535).astype(np.uint16).tobytes()])
+
+    taken = rows.where(F.pmod("content", F.lit(sample)) == 0).select("text").mapInArrow(tidied(count), "block int, cells binary")
+    out = np.zeros((256, CELLS // 256), dtype=np.uint16)
+    for r in taken.groupBy("block").applyInPandas(add, "block int, cells binary").collect():
+        out[r["block"]] = np.frombuffer(r["cells"], dtype=np.uint16)
+    return out.ravel()
+
+
+def least_shared(n, similarity: float):
+    """Shingles that a set of n shares at least with any set of that similarity or more."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def _heads(cells: np.ndarray, similarity: float):
+    """The first shingles of each text in the common order, so many that two similar sets have one of them in common."""
 
-def _wide_trees(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for ids, labels, prints in zip(*batch.columns, strict=True):
-                ids, labels = ids.values.to_numpy(), labels.values.to_pylist()
-                x = prints.values.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-                todo = np.ones(len(ids), dtype=bool)
-                for k in range(len(ids)):
-                    if not todo[k]:
-                        continue
-                    todo[k] = False
-                    line, joined = [k], {labels[k]}
-                    while line and todo.any():
-                        p = line.pop()
-                        rest = np.flatnonzero(todo)
-                        near = rest[np.bitwise_count(x[rest] ^ x[p]).sum(axis=1, dtype=np.int64) <= most]
-                        todo[near] = False
-                        line += near.tolist()
-                        for q in near.tolist():
-                            if labels[q] not in joined:
-                                joined.add(labels[q])
-                                a.append(int(ids[p]))
-                                b.append(int(ids[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            sizes, heads = [], []
+            for v in batch.column(1):
+                h = shingle_hashes((v.as_py() or "").encode())[1]
+                order = np.lexsort((h, cells[_cells(h)]))
+                sizes.append(len(h)), heads.append(h[order[: len(h) - int(least_shared(np.float64(len(h)), similarity)) + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), batch.column(2)], ["content", "n", "head", "row"])
+
+    return run
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            heads = [np.frombuffer(v, dtype=np.int64) for v in part.column(2).to_pylist()]
+            count = [len(h) for h in heads]
+            columns = [np.concatenate(heads), np.repeat(part.column(0).to_numpy(), count), np.repeat(part.column(1).to_numpy(), count)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "content", "n"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+    """Columns of a task's rows by shingle and content, with the first row and the size of each shingle's rows."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return None
+    columns = [np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(batches[0].num_columns)]
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+    return columns, first, np.diff(np.r_[first, len(order)])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shingles that two contents have, with the least content of each and its size."""
+    found = _gathered(batches)
+    if found:
+        columns, first, size = found
+        keep, pivot = np.repeat(size > 1, size), np.repeat(first, size)
+        columns += [columns[1][pivot], columns[2][pivot]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "content", "n", "pivot", "pivot_n"])
+
+
+def _apart(similarity: float, bucket: int):
+    """Pairs of contents of different labels that share a shingle, each once a flush; sizes too different are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, out, held = _gathered(batches), [], 0
+
+        def flush():
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for first, size in zip(*found[1:], strict=True) if found else ():
+            content, n, label = (c[first : first + size] for c in found[0][1:])
+            kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
+            if len(kinds) == 1:
+                continue
+            # Every pair has an end outside the largest label.
+            others = np.flatnonzero(which != count.argmax())
+            for at in range(0, len(others), bucket):
+                i = others[at : at + bucket]
+                near = np.minimum(n[i, None], n) >= least_shared(np.maximum(n[i, None], n), similarity)
+                x, y = np.nonzero(near & (label[i, None] != label))
+                x = i[x]
+                out.append(np.stack([np.minimum(content[x], content[y]), np.maximum(content[x], content[y])], axis=1))
+                held += len(x)
+                if held > 1_000_000:
+                    yield flush()
+                    out, held = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_hashes((v.as_py() or "").encode())[1].tobytes() for v in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["content", "shingles"])
+
+
+def _settled(similarity: float):
+    """Pairs whose sets have that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= least_shared(np.float64(len(x) + len(y) - both), similarity))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _checked(pairs: DataFrame, rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, by the exact similarity of their shingle sets; of copies one row is read."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(heads.select("content", "row"), "content")
+    sets = written(rows.select("text", "row").join(ends, "row").select("content", "text").mapInArrow(tidied(_sets), "content long, shingles binary"))
+    of = lambda name: sets.select(F.col("content").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+    return written(both.mapInArrow(tidied(_settled(similarity)), "a long, b long"))
+
+
+def similar_links(rows: DataFrame, similarity: float, sample: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """(node, root): contents of rows (content, text, row: unique) with the least one that similar pairs reach.
+
+    Complete and exact: two sets of Jaccard similarity s or more share a shingle among the first n - ceil(s n) + 1 of each
+    in any common order (rare ones first here), and every pair that does is settled by the sets themselves. Contents of a
+    shingle are linked to one of them first; then all pairs of a shingle that still lie apart are compared.
+    """
+    cells = frequencies(rows, sample)
+    heads = rows.select("content", "text", "row").mapInArrow(tidied(_heads(cells, similarity)), "content long, n int, head binary, row long")
+    heads = written(heads.groupBy("content").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("row").alias("row")))
+    total = heads.agg(F.sum(F.length("head") / 8)).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // PART) + 1)
+    shingles = heads.select("content", "n", "head").mapInArrow(tidied(_exploded), "shingle long, content long, n int").repartition(parts, "shingle")
+    met = written(shingles.mapInArrow(tidied(_met), "shingle long, content long, n int, pivot long, pivot_n int"))
+    close = F.least("n", "pivot_n") >= F.ceil(similarity * F.greatest("n", "pivot_n") - 1e-9)
+    pairs = written(met.where(close & (F.col("pivot") != F.col("content"))).select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct())
+    begun = _checked(pairs, rows, heads, similarity)
+    labels = written(components(begun))
+    label = F.coalesce("root", "content").alias("label")
+    apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", "n", label).repartition(parts, "shingle")
+    apart = apart.mapInArrow(tidied(_apart(similarity, bucket)), "a long, b long").distinct()
+    further = _checked(written(apart.join(pairs, ["a", "b"], "left_anti")), rows, heads, similarity)
+    return components(begun.unionByName(further))
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row of each group of linked documents: that of the smallest id (a null id last; of repeated ids any one row).
 
     Documents with the same words are copies, those without words included. Others link where their sets of five-word
-    shingles have about the given similarity or more: candidates meet in covering tables of four word fingerprints, and
-    a 512-bit fingerprint of the shingles decides. Columns stay as they are.
+    shingles have the given Jaccard similarity or more: all such pairs, and only those. Columns stay as they are.
     """
-    rows = written(with_similarity_prints(docs, text).withColumn("_row", F.monotonically_increasing_id()))
-    prints = rows.groupBy(F.col("_content").alias("content")).agg(F.first("_seeds").alias("seeds"), F.first("_wide").alias("wide"))
-    prints, most = written(prints), reach(similarity) + SLACK
-    # The first fingerprint's tables join most copies; the others then only add what still lies apart.
-    begun = components(similar_links(prints.withColumns({"label": F.col("content"), "seeds": F.slice("seeds", 1, 1)}), most))
-    labelled = prints.join(begun, F.col("content") == F.col("node"), "left").withColumns({"label": F.coalesce("root", "content"), "seeds": F.slice("seeds", 2, SEEDS - 1)})
-    further = similar_links(written(labelled.select("content", "label", "seeds", "wide")), most)
-    groups = components(begun.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further))
+    rows = written(with_content(docs, text).withColumn("_row", F.monotonically_increasing_id()))
+    groups = similar_links(rows.select(F.col("_content").alias("content"), F.col(text).alias("text"), F.col("_row").alias("row")), similarity)
     named = rows.select(F.col("_content").alias("content"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
     named = named.join(groups, F.col("content") == F.col("node"), "left").select(F.coalesce("root", "content").alias("root"), "id", "row")
     named = written(named)

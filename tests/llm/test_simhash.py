@@ -118,3 +118,35 @@ def test_near_copies_go_and_others_stay(spark, bucket, monkeypatch):
         far += [1000 * i, 1000 * i + 100]
     left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert set(far) <= left and len(left & set(close)) <= (2 if bucket == 512 else 20)
+
+
+@pytest.mark.parametrize("bucket", [4, 512])
+def test_texts_of_one_word_set_meet(spark, bucket, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.RADIUS, bucket))
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words, *rng.choice(words, 5)])) for i in range(600)]
+    rows += [(1000 + i, " ".join(rng.permutation(words))) for i in range(40)]
+    left = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert left == [0, *range(1000, 1040)]
+
+
+def test_all_pairs_of_the_similarity_meet(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, n in enumerate([5, 9, 12, 20, 30, 40, 52, 80, 150, 400, 1000] * 12):
+        base = [f"w{x}" for x in rng.integers(0, 3000, n)]
+        if i % 3 == 0:
+            base[: n // 4] = [f"common{k}" for k in range(n // 4)]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 6):
+            copy = base.copy()
+            for at in rng.choice(n, max(1, k * n // 200), replace=False):
+                copy[at] = f"n{i}-{k}-{at}"
+            copy = base[:-1] + ["last"] if k == 5 else copy
+            rows.append((10 * i + k, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    edges = [(rows[i][0], rows[j][0]) for i, j in combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = set(groups([r[0] for r in rows], edges).values())
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert left == want
