@@ -9,21 +9,26 @@ still share their prefix with another. What shares 400 bytes is a repeated inter
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import spread
 
-from .common import table, tidied, written
+from .common import WORD, table, tidied, written
 
 LENGTH, GRAM = 400, 64
 #: Shards of one task, and of one owner beyond which windows are counted by key instead.
 SHARDS, HOT = 3000, 4096
+#: Bytes of a word's hash where words are compared, and words of the strings whose hashes own windows.
+CODE, WORDS = 6, 8
+_WORD = re.compile(WORD.encode())
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -262,8 +267,31 @@ def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _coded(words: int):
+    """Texts of that many words or more as the hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, codes = [], []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = data.split()
+                if len(found) >= words:
+                    keys.append(key), codes.append(b"".join(xxhash.xxh64_digest(w, 42)[:CODE] for w in found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.binary())], ["key", "data"])
+
+    return run
+
+
+def word_ranges(data: bytes, ranges: list[dict] | None) -> list[dict]:
+    """Byte ranges of the words whose hashes lie in ranges, each up to the word that follows."""
+    if not ranges:
+        return []
+    starts = [*(m.start() for m in _WORD.finditer(data)), len(data)]
+    return [{"start": starts[-(-a // CODE)], "stop": starts[b // CODE]} for a, b in joined_ranges(ranges)]
+
+
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False, **options
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False, words: int = 0, **options
 ) -> DataFrame:
     """``docs`` without its text but with kept (binary: what is left of the text's UTF-8; with ``as_text`` a string without
     the characters that were cut in two, null where the text was), n_bytes, n_removed and n_spans; columns of these names
@@ -271,21 +299,31 @@ def remove_repeats(
 
     Null text is empty. Texts shorter than ``length`` bytes stay whole. Rows with equal id and text are places of their
     own: both lose what they share. Whole texts count, with no limit on their length or on the size of a group.
+
+    With ``words``, strings of so many words that start elsewhere too go as well, however few bytes they have; white space
+    between words does not count there, and a word is known by 48 bits of its hash.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_key", "_data", "ranges")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_key", "_data", "ranges", "_spoken")
     key, data = F.xxhash64(F.col(doc_id), F.col(text)), F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyed = docs.select(key.alias("key"), data.alias("data")).where(F.length("data") >= length)
     ranges = repeated_ranges(keyed, length, **options)
     rest = [c for c in docs.columns if c != text]
     joined = docs.withColumn("_key", key).join(ranges.withColumnRenamed("key", "_key"), "_key", "left")
-    joined = joined.select(*rest, F.col(text).cast("binary").alias("_data"), "ranges")
+    if words:
+        coded = docs.select(key.alias("key"), data.alias("data")).mapInArrow(tidied(_coded(words)), "key long, data binary")
+        spoken = repeated_ranges(written(coded), CODE * words, CODE * min(WORDS, words), **options)
+        joined = joined.join(spoken.select(F.col("key").alias("_key"), F.col("ranges").alias("_spoken")), "_key", "left")
+    else:
+        joined = joined.withColumn("_spoken", F.lit(None).cast("array<struct<start: int, stop: int>>"))
+    joined = joined.select(*rest, F.col(text).cast("binary").alias("_data"), "ranges", "_spoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, removed, spans = [], [], [], []
-            for value, ranges_ in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("_data", "ranges")), strict=True):
-                given, runs = value.as_py(), joined_ranges(ranges_.as_py())
+            for value, ranges_, spoken_ in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("_data", "ranges", "_spoken")), strict=True):
+                given = value.as_py()
                 data = given or b""
+                runs = joined_ranges([*(ranges_.as_py() or []), *word_ranges(data, spoken_.as_py())])
                 stops = [0, *(b for _, b in runs)]
                 left = b"".join(data[a:b] for a, b in zip(stops, [*(a for a, _ in runs), len(data)], strict=True)) if runs else data
                 sizes.append(len(data)), removed.append(len(data) - len(left)), spans.append(len(runs))

@@ -41,3 +41,16 @@ def test_all_eleven_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    passage = [f"w{i}" for i in range(51)]
+    own = lambda k: [f"own{k}{i}" for i in range(20)]
+    texts = [" ".join([*own(k), *passage, *own(k + 1)]) for k in (10, 20)]
+    texts += [" ".join([*own(k), *passage[:50], *own(k + 1)]) for k in (30, 40)]
+    texts += [" ".join(own(50)) + "\n" + "  ".join(passage), None, "", "x" * 500, "x" * 500 + " y"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
+    assert len(" ".join(passage)) < 400
+    assert [got[k].split() for k in (0, 1, 4)] == [own(10) + own(11), own(20) + own(21), own(50)]
+    assert [got[k] for k in (2, 3)] == texts[2:4] and got[5] is None and got[6] == got[7] == "" and got[8] == " y"
