@@ -124,18 +124,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", toxic: str = "toxic", support: int = 5, ratio: float = 8.0, entries: int = 5000, most: int = 12_000
+    labelled: DataFrame, text: str = "text", toxic: str = "toxic", support: int = 5, ratio: float = 8.0, entries: int = 5000, most: int = 12_000,
+    weight: str | None = None,
 ) -> Lexicon:
     """A lexicon from labelled rows, of which at most about ``most`` are used (by hash, half of them toxic where there
-    are as many); rows with a null label are left out. Without toxic or clean rows the lexicon is empty.
+    are as many); rows with a null label are left out. Without toxic or clean rows the lexicon is empty. A row counts for
+    the curve as ``weight`` labelled rows, so that sampling by class does not move the score.
 
     An entry stands in at least ``support`` toxic documents and is at least ``ratio`` times likelier there. A beginning
     counts longer words only and needs three of them. Words that a beginning would match although clean texts have
     them as often become exceptions. At most ``entries`` of each kind, the surest first, come to the driver.
     """
-    rows = labelled.select(F.col(text).alias("text"), (F.col(toxic) > 0).alias("toxic")).where("toxic is not null")
+    rows = labelled.select(F.col(text).alias("text"), (F.col(toxic) > 0).alias("toxic"), (F.col(weight) if weight else F.lit(1.0)).alias("weight")).where("toxic is not null")
     rows = written(rows)
-    sizes = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("all")).collect()
+    sizes, whole = ({bool(r["toxic"]): r[c] for r in counted} for c in ("n", "all"))
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return Lexicon({}, {}, curve=(4.0 if n1 else -4.0, 0.0, 0.0))
@@ -177,7 +180,7 @@ def fit(
     sample = rows.mapInArrow(tidied(features), "matched double, words double, toxic boolean").toPandas()
     sample = sample.sort_values(["matched", "words", "toxic"])
     y = sample["toxic"].to_numpy(dtype=float)
-    weight = np.where(y > 0, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1))
+    weight = np.where(y > 0, whole[True] / max(y.sum(), 1), whole[False] / max((1 - y).sum(), 1))
     found.curve = _logistic(shape(sample["matched"], sample["words"]), y, weight)
     return found
 
@@ -216,7 +219,8 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fifth.
+    """(text, toxic, weight) of labelled documents outside the held-out fifth; the weight says for how many of its class a
+    taken one stands.
 
     ``bound`` limits how many labelled ids are taken, half of them toxic where there are as many: a hash threshold
     from the labels' counts. Their ids are then few enough, at any size of the input, to be sent to every task.
@@ -225,13 +229,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> Da
     sizes = {r[0]: r[1] for r in labels.groupBy((F.col("toxic") > 0)).count().collect()}
     share = {k: min(1.0, bound / 2 / max(n, 1)) for k, n in sizes.items()}
     keep = F.when(F.col("toxic") > 0, share.get(True, 1.0)).otherwise(share.get(False, 1.0))
-    chosen = labels.where(unit_hash("label", F.col("doc_id")) < keep)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen = labels.where(unit_hash("label", F.col("doc_id")) < keep).withColumn("weight", 1 / keep)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned without the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    lexicon = fit(training_rows(docs, table(spark, sf_dir, "labels")), weight="weight")
     scored = with_score(spread(docs), lexicon)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -38,3 +38,14 @@ def test_held_out_rows_are_not_learned_from(spark):
 
     want = {f"w{i}" for i in range(100) if zlib.crc32(str(i).encode()) % 5}
     assert {r["text"] for r in toxicity.training_rows(docs, labels).collect()} == want
+
+
+def test_a_bound_on_labels_leaves_the_ratio_of_classes(spark):
+    text = F.concat(F.lit("plain words of number "), "id", F.when(F.col("id") % 20 < 2, " moron").otherwise(""))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 20 == 0).cast("int").alias("toxic"))
+    whole, few = (toxicity.fit(toxicity.training_rows(docs, labels, bound), weight="weight") for bound in (12_000, 1000))
+    assert "moron" in whole.words and "moron" in few.words
+    for m, n in ((0.0, 5), (1.0, 6)):
+        a, b = (float(lex.score([lex.matched(toxicity.fold("moron")) * m], [n])[0]) for lex in (whole, few))
+        assert abs(a - b) < 0.12, (m, a, b)
