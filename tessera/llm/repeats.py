@@ -163,10 +163,11 @@ def _runs(flags: np.ndarray, first: int, length: int) -> Iterator[tuple[int, int
         yield first + a, first + b - 1 + length
 
 
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, size: int = SHARDS) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, size: int = SHARDS, code=bytes) -> DataFrame:
     """(key, ranges): for each row key of (key: long, data: binary) the byte ranges that repeated strings cover.
 
-    Keys may repeat if their data are equal; each such row counts as a place of its own.
+    Keys may repeat if their data are equal; each such row counts as a place of its own. Ranges are of what ``code`` makes
+    of the data.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
         for batch in batches:
             parts = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shards(np.frombuffer(data.as_buffer() or b"", dtype=np.uint8), hasher, length, gram)
+                found = shards(np.frombuffer(code(data.as_buffer() or b""), dtype=np.uint8), hasher, length, gram)
                 parts.append((np.full(len(found[0]), key, dtype=np.int64), *found))
             columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(6)]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -198,7 +199,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     total = wanted.count()
     buckets = max(1, -(-total // size))
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "kinds", "n", "first", "last")).alias("parts"))
-    texts = keyed.join(lists, "key").mapInArrow(tidied(_slices(length)), "owner long, kinds long, n long, key long, first int, data binary")
+    texts = keyed.join(lists, "key").mapInArrow(tidied(_slices(length, code)), "owner long, kinds long, n long, key long, first int, data binary")
     texts = written(texts)
     usual = texts.where(F.col("kinds") <= hot).withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int"))
     edges = usual.select("bucket", "n", "key", "first", "data").groupBy("bucket").applyInPandas(_merge(length), "key long, start int, stop int")
@@ -210,7 +211,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     return whole.unionByName(edges).unionByName(spans).groupBy("key").agg(F.collect_list("range").alias("ranges"))
 
 
-def _slices(length: int):
+def _slices(length: int, code=bytes):
     """The bytes of the wanted shards of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +220,7 @@ def _slices(length: int):
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for key, data, parts in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("key", "data", "parts")), strict=True):
-                key, data = key.as_py(), data.as_py()
+                key, data = key.as_py(), code(data.as_py())
                 for p in parts.as_py():
                     row = (p["owner"], p["kinds"], p["n"], key, p["first"], data[p["first"] : p["last"] + length])
                     for c, v in zip(out, row, strict=True):
@@ -267,19 +268,9 @@ def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _coded(words: int):
-    """Texts of that many words or more as the hashes of their words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, codes = [], []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = data.split()
-                if len(found) >= words:
-                    keys.append(key), codes.append(b"".join(xxhash.xxh64_digest(w, 42)[:CODE] for w in found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.binary())], ["key", "data"])
-
-    return run
+def coded(data: bytes) -> bytes:
+    """A text as the hashes of its words."""
+    return b"".join(xxhash.xxh64_digest(w, 42)[:CODE] for w in bytes(data).split())
 
 
 def word_ranges(data: bytes, ranges: list[dict] | None) -> list[dict]:
@@ -310,8 +301,8 @@ def remove_repeats(
     rest = [c for c in docs.columns if c != text]
     joined = docs.withColumn("_key", key).join(ranges.withColumnRenamed("key", "_key"), "_key", "left")
     if words:
-        coded = docs.select(key.alias("key"), data.alias("data")).mapInArrow(tidied(_coded(words)), "key long, data binary")
-        spoken = repeated_ranges(written(coded), CODE * words, CODE * min(WORDS, words), **options)
+        spoken = docs.select(key.alias("key"), data.alias("data")).where(F.length("data") >= 2 * words - 1)
+        spoken = repeated_ranges(spoken, CODE * words, CODE * min(WORDS, words), code=coded, **options)
         joined = joined.join(spoken.select(F.col("key").alias("_key"), F.col("ranges").alias("_spoken")), "_key", "left")
     else:
         joined = joined.withColumn("_spoken", F.lit(None).cast("array<struct<start: int, stop: int>>"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import spread
 
-from .common import components, table, tidied, written
+from .common import components, removed, table, tidied, written
 
 RADIUS = 3
 #: Distinct fingerprints of a bucket that one row holds; larger buckets are cut by further masks.
@@ -330,7 +330,9 @@ def _checked(pairs: DataFrame, rows: DataFrame, heads: DataFrame, similarity: fl
     sets = written(rows.select("text", "row").join(ends, "row").select("content", "text").mapInArrow(tidied(_sets), "content long, shingles binary"))
     of = lambda name: sets.select(F.col("content").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
-    return written(both.mapInArrow(tidied(_settled(similarity)), "a long, b long"))
+    both = written(both.mapInArrow(tidied(_settled(similarity)), "a long, b long"))
+    removed(sets)
+    return both
 
 
 def similar_links(rows: DataFrame, similarity: float, sample: int = 4, bucket: int = BUCKET) -> DataFrame:
@@ -354,8 +356,11 @@ def similar_links(rows: DataFrame, similarity: float, sample: int = 4, bucket: i
     label = F.coalesce("root", "content").alias("label")
     apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", "n", label).repartition(parts, "shingle")
     apart = apart.mapInArrow(tidied(_apart(similarity, bucket)), "a long, b long").distinct()
-    further = _checked(written(apart.join(pairs, ["a", "b"], "left_anti")), rows, heads, similarity)
-    return components(begun.unionByName(further))
+    apart = written(apart.join(pairs, ["a", "b"], "left_anti"))
+    further = _checked(apart, rows, heads, similarity)
+    groups = components(begun.unionByName(further))
+    removed(heads, met, pairs, begun, labels, apart, further)
+    return groups
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
