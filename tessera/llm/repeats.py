@@ -2,9 +2,11 @@
 
 Every window of that length is owned by the smallest hash of its k-byte strings, so equal windows have equal owners.
 Runs of windows with one owner are the shards: a hash of the owner groups them, equal shards collapse to a count, and
-owners seen once are done unless a text repeats itself within their run. The other shards are merged by refining the interleaving of their suffixes: places by the
+owners seen once are done unless a text repeats itself within their run. The other shards of a bucket are joined and their suffixes ranked by prefix doubling, which
+replaces a merge of Burrows-Wheeler transforms: no transform is built. Places are sorted by the
 first 8 bytes, then, from the place of the suffix that follows, by 16, 32, up to 400, keeping only suffixes that
-still share their prefix with another. What shares 400 bytes is a repeated interval. Nothing re-sorts all suffixes.
+still share their prefix with another. What shares 400 bytes is a repeated interval. Each round sorts the suffixes still open. Owners of
+very many shards are counted by hashes of windows instead.
 """
 
 from __future__ import annotations
