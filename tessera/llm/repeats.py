@@ -1,37 +1,73 @@
-"""Exact removal of repeated passages: strings of 400 bytes that start at two places or more.
+"""Exact removal of repeated passages: strings of 400 bytes (or of so many words) that start at two places or more.
 
-Every window of that length is owned by the smallest hash of its k-byte strings, so equal windows have equal owners.
+Every window of that length is owned by the smallest hash of its k-unit strings, so equal windows have equal owners.
 Runs of windows with one owner are the shards: a hash of the owner groups them, equal shards collapse to a count, and
-owners seen once are done unless a text repeats itself within their run. The other shards of a bucket are joined and their suffixes ranked by prefix doubling, which
-replaces a merge of Burrows-Wheeler transforms: no transform is built. Places are sorted by the
-first 8 bytes, then, from the place of the suffix that follows, by 16, 32, up to 400, keeping only suffixes that
-still share their prefix with another. What shares 400 bytes is a repeated interval. Each round sorts the suffixes still open. Owners of
-very many shards are counted by hashes of windows instead.
+owners seen once are done unless a text repeats itself within their run. The other shards of a bucket are merged as
+Burrows-Wheeler transforms are, by refining one interleave of all their suffixes: a suffix's row moves from the row of the
+suffix that follows it, by its preceding symbol, stably, so that each pass puts one more symbol of the common prefix in
+front. Symbols are 16 bytes (or 3 words), so 400 bytes take 25 passes. Where the interleave falls into blocks, the number
+of passes is the common prefix; rows alone in a block are done and move no further; blocks left at the end are the
+repeated intervals. A shard's own rows need no sorting first, as the same passes order them.
+
+Owners of over ``HOT`` different shards are not merged in one task: their windows are counted by 128 bits of hash instead.
+Equal shards, and words, are told by 64 bits of hash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import spread
 
-from .common import WORD, table, tidied, written
+from .common import removed, table, tidied, written
 
 LENGTH, GRAM = 400, 64
-#: Shards of one task, and of one owner beyond which windows are counted by key instead.
-SHARDS, HOT = 3000, 4096
-#: Bytes of a word's hash where words are compared, and words of the strings whose hashes own windows.
-CODE, WORDS = 6, 8
-_WORD = re.compile(WORD.encode())
+#: Words of a passage that counts as repeated (over 50), and of the strings whose hashes own its windows.
+PASSAGE, WORDS = 51, 8
+#: Shards of one bucket, and of one owner beyond which windows are counted by key instead.
+SHARDS, HOT = 1500, 1024
+#: Units of a symbol: bytes, words.
+SYMBOL = 16, 3
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: bytes (number 0) or words (number 1), their length, and the length of owning strings."""
+
+    number: int
+    length: int
+    gram: int
+
+    @property
+    def symbol(self) -> int:
+        return SYMBOL[self.number]
+
+    @property
+    def kind(self) -> type:
+        return (np.uint8, np.uint64)[self.number]
+
+    def read(self, data: np.ndarray, sums: np.ndarray | None, hasher: Hasher) -> np.ndarray:
+        """The units of a text, given its prefix sums."""
+        if self.number == 0:
+            return data
+        starts, stops = words_of(data)
+        return hasher.of(hasher.sums(data) if sums is None else sums, starts, stops)
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop in bytes."""
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[data], True].astype(np.int8)))
+    return edge[::2], edge[1::2]
 
 
 class Hasher:
@@ -78,9 +114,9 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - w : width - w + n])
 
 
-def shards(data: np.ndarray, hasher: Hasher, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, last window, owner, content hash, inner) of the runs of windows of one text; a run is split where
-    it would be longer than a window can reach.
+def shards(data: np.ndarray, hasher: Hasher, length: int = LENGTH, gram: int = GRAM, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(first window, last window, owner, content hash, inner) of the runs of windows of one text, given as bytes or as
+    words; a run is split where it would be longer than a window can reach.
 
     ``inner`` tells that the owner comes again inside the run after a window began with it. Two equal windows of one run
     make the text between them periodic, so that an owner then stands at a window's start before the last.
@@ -88,7 +124,7 @@ def shards(data: np.ndarray, hasher: Hasher, length: int = LENGTH, gram: int = G
     if len(data) < length:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty, empty, empty
-    sums = hasher.sums(data)
+    sums = hasher.sums(data) if sums is None else sums
     width = length - gram + 1
     grams = hasher.grams(sums, gram)
     owner = sliding_min(grams, width)
@@ -107,55 +143,79 @@ def shards(data: np.ndarray, hasher: Hasher, length: int = LENGTH, gram: int = G
     return first, last, owner[first].view(np.int64), content.view(np.int64), inner.astype(np.int64)
 
 
-def shared_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text a flag by window start: whether that window starts at another place of these texts too.
+def repeated_starts(pieces: list[np.ndarray], length: int = LENGTH, symbol: int = SYMBOL[0]) -> list[np.ndarray]:
+    """For each piece a flag by window start: whether that window starts at another place of these pieces too.
 
-    Exact: places are ranks of byte strings, refined by doubling, never hashes.
+    Exact: blocks of the interleave are told by symbols, never by hashes of strings.
     """
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts) + b"\0" * 8, dtype=np.uint8)
     n = int(ends[-1]) if len(ends) else 0
+    data = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.uint8)
     left = np.repeat(ends, sizes) - np.arange(n)
-    word = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | data[i : i + n]
-    at = np.flatnonzero(left >= 8)
-    place = np.full(n + 1, -1, dtype=np.int64)
-    at, place[at] = _places(at, word[at])
-    at = at[place[at] >= 0]
-    depth = 8
-    while depth < length and len(at):
-        step = min(depth, length - depth)
-        at = at[left[at] >= depth + step]
-        ahead = place[at + step]
-        at, ahead = at[ahead >= 0], ahead[ahead >= 0]
-        key = place[at] * np.int64(n + 1) + ahead
-        finer = np.full(n + 1, -1, dtype=np.int64)
-        depth += step
-        if depth == length:
+    before = np.repeat(sizes, sizes) - left
+    passes, symbol = (length - 1) // symbol, min(symbol, length)
+    last = length - passes * symbol
+    names = _names(data, left, symbol)
+    deepest = names if last == symbol else _names(data, left, last)
+    rows = np.flatnonzero(deepest >= 0)
+    rows = rows[np.argsort(deepest[rows], kind="stable")]
+    block = deepest[rows]
+    for _ in range(passes):
+        if not len(rows):
             break
-        at, finer[at] = _places(at, key)
-        at = at[finer[at] >= 0]
-        place = finer
+        keep = before[rows] >= symbol
+        rows, block = rows[keep] - symbol, block[keep]
+        name = names[rows]
+        keep = name >= 0
+        rows, block, name = rows[keep], block[keep], name[keep]
+        # Distributed by the preceding symbol; the running number keeps the order of rows with the same one.
+        order = np.sort(name << np.int64(32) | np.arange(len(rows))) & np.int64(0xFFFFFFFF)
+        rows, block, name = rows[order], block[order], name[order]
+        new = np.r_[True, (name[1:] != name[:-1]) | (block[1:] != block[:-1])][: len(rows)]
+        shared = ~(new & np.r_[new[1:], True][: len(rows)])
+        rows, block = rows[shared], np.cumsum(new)[shared]
     flags = np.zeros(n, dtype=bool)
-    if len(at):
-        flags[at] = _places(at, key)[1] >= 0
+    flags[rows] = True
     starts = ends - sizes
     return [flags[a : max(a, b - length + 1)] for a, b in zip(starts, ends, strict=True)]
 
 
-def _places(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _names(data: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    """Dense names of the strings of ``width`` units at all places, equal for equal strings; -1 where a string stands once
+    or runs over the end."""
+    n, size = len(data), 1
+    if data.dtype == np.uint8 and width >= 8:
+        padded, size = np.r_[data, np.zeros(8, dtype=np.uint8)], 8
+        key = np.zeros(n, dtype=np.uint64)
+        for i in range(8):
+            key = key << np.uint64(8) | padded[i : i + n]
+    else:
+        key = data
+    names = np.full(n, -1, dtype=np.int64)
+    at = np.flatnonzero(left >= size)
+    names[at] = _places(key[at])
+    while size < width:
+        step = min(size, width - size)
+        at = np.flatnonzero((names >= 0) & (left >= size + step))
+        ahead = names[at + step]
+        at, ahead = at[ahead >= 0], ahead[ahead >= 0]
+        key, names = names[at] * np.int64(n + 1) + ahead, np.full(n, -1, dtype=np.int64)
+        names[at] = _places(key)
+        size += step
+    return names
+
+
+def _places(key: np.ndarray) -> np.ndarray:
     """Dense ranks of keys, -1 for those that occur once."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
-    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, dtype=bool)
-    alone = new & np.r_[new[1:], True] if len(ranked) else new
+    new = np.r_[True, ranked[1:] != ranked[:-1]][: len(key)]
     rank = np.cumsum(new) - 1
-    rank[alone] = -1
+    rank[new & np.r_[new[1:], True][: len(key)]] = -1
     out = np.empty(len(key), dtype=np.int64)
     out[order] = rank
-    return at, out
+    return out
 
 
 def _runs(flags: np.ndarray, first: int, length: int) -> Iterator[tuple[int, int]]:
@@ -165,66 +225,85 @@ def _runs(flags: np.ndarray, first: int, length: int) -> Iterator[tuple[int, int
         yield first + a, first + b - 1 + length
 
 
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, size: int = SHARDS, code=bytes) -> DataFrame:
-    """(key, ranges): for each row key of (key: long, data: binary) the byte ranges that repeated strings cover.
+def repeated_ranges(keyed: DataFrame, units: list[Unit], hot: int = HOT, size: int = SHARDS) -> DataFrame:
+    """(key, ranges): for each row key of (key: long, data: binary) the ranges (unit, start, stop) that repeated strings
+    of each unit cover, counted in that unit.
 
-    Keys may repeat if their data are equal; each such row counts as a place of its own. Ranges are of what ``code`` makes
-    of the data.
+    Keys may repeat if their data are equal; each such row counts as a place of its own.
     """
+    of = {u.number: u for u in units}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        names = ["key", "unit", "first", "last", "owner", "content", "inner"]
+        kinds = [pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int8()]
         for batch in batches:
             parts = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shards(np.frombuffer(code(data.as_buffer() or b""), dtype=np.uint8), hasher, length, gram)
-                parts.append((np.full(len(found[0]), key, dtype=np.int64), *found))
-            columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(6)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], ["key", "first", "last", "owner", "content", "inner"])
-
-    rows = written(keyed.mapInArrow(tidied(cut), "key long, first int, last int, owner long, content long, inner long"))
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.frombuffer(value.as_buffer() or b"", dtype=np.uint8)
+                sums = hasher.sums(data)
+                for unit in units:
+                    own = unit.read(data, sums, hasher)
+                    first, last, owner, content, inner = shards(own, hasher, unit.length, unit.gram, sums if unit.number == 0 else None)
+                    # Owners of words and of bytes never meet.
+                    owner = owner ^ np.int64(unit.number * 0x5DEECE66D)
+                    n = len(first)
+                    parts.append((np.full(n, key, dtype=np.int64), np.full(n, unit.number, dtype=np.int8), first, last, owner, content, inner))
+            columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(7)]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    rows = made = written(keyed.mapInArrow(tidied(cut), "key long, unit byte, first int, last int, owner long, content long, inner byte"))
     several = (F.count("*") > 1).alias("several")
     seen = rows.groupBy("owner").agg(several, (F.min("content") == F.max("content")).alias("alike"), F.max("inner").alias("again"))
-    seen = seen.where("several or again > 0").select("owner", (F.col("several") & F.col("alike")).alias("alike"))
+    seen = written(seen.where("several or again > 0").select("owner", (F.col("several") & F.col("alike")).alias("alike")))
     # Written first, so that a hot owner's rows can be split in the join instead of sharing the sum's partitioning.
-    rows = written(rows.drop("inner").join(written(seen), "owner"))
-    covered = F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop")).alias("range")
+    rows = written(rows.drop("inner").join(seen, "owner"))
+    removed(made, seen)
+    length = F.element_at(F.create_map(*[F.lit(x).cast("int") for u in units for x in (u.number, u.length)]), F.col("unit").cast("int"))
+    covered = F.struct("unit", F.col("first").alias("start"), (F.col("last") + length).alias("stop")).alias("range")
     whole = rows.where("alike").select("key", covered)
     mixed = rows.where("not alike")
-    kinds = mixed.groupBy("owner", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one"))
+    kinds = mixed.groupBy("owner", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last", "unit")).alias("one"))
     kinds = written(kinds)
     whole = whole.unionByName(mixed.join(kinds.where("n > 1").select("owner", "content"), ["owner", "content"]).select("key", covered))
     open_ = kinds.groupBy("owner").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0")
-    wanted = kinds.join(open_, "owner").select("owner", "kinds", "n", "one.*")
-    wanted = written(wanted)
-    total = wanted.count()
-    buckets = max(1, -(-total // size))
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "kinds", "n", "first", "last")).alias("parts"))
-    texts = keyed.join(lists, "key").mapInArrow(tidied(_slices(length, code)), "owner long, kinds long, n long, key long, first int, data binary")
+    wanted = written(kinds.join(open_, "owner").select("owner", "kinds", "n", "one.*"))
+    buckets = max(1, -(-wanted.count() // size))
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "unit", "kinds", "n", "first", "last")).alias("parts"))
+    texts = keyed.join(lists, "key").mapInArrow(tidied(_slices(of)), "owner long, unit byte, kinds long, n long, key long, first int, data binary")
     texts = written(texts)
     usual = texts.where(F.col("kinds") <= hot).withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int"))
-    edges = usual.select("bucket", "n", "key", "first", "data").groupBy("bucket").applyInPandas(_merge(length), "key long, start int, stop int")
-    edges = edges.select("key", F.struct("start", "stop").alias("range"))
-    windows = texts.where(F.col("kinds") > hot).mapInArrow(tidied(_windows(length)), "a long, b long, n long, key long, start int")
-    many = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    spans = windows.where("n = 1").join(many, ["a", "b"])
-    spans = spans.select("key", F.struct("start", (F.col("start") + length).alias("stop")).alias("range"))
-    return whole.unionByName(edges).unionByName(spans).groupBy("key").agg(F.collect_list("range").alias("ranges"))
-
-
-def _slices(length: int, code=bytes):
-    """The bytes of the wanted shards of each text."""
+    edges = usual.select("bucket", "unit", "n", "key", "first", "data").groupBy("bucket", "unit").applyInPandas(_merge(of), "key long, unit byte, start int, stop int")
+    edges = edges.select("key", F.struct("unit", "start", "stop").alias("range"))
+    windows = texts.where(F.col("kinds") > hot).mapInArrow(tidied(_windows(of)), "a long, b long, n long, key long, unit byte, first int, start int")
+    many = windows.groupBy("a", "b", "unit").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    spans = windows.where("n = 1").join(many, ["a", "b", "unit"])
+    # Neighbouring windows of a shard become one range; a shard has no more windows than a window has owning strings.
+    place = F.row_number().over(Window.partitionBy("key", "unit", "first").orderBy("start"))
+    spans = spans.select("key", "unit", "first", "start", (F.col("start") - place).alias("run"))
+    spans = spans.groupBy("key", "unit", "first", "run").agg(F.min("start").alias("start"), F.max("start").alias("end"))
+    spans = spans.select("key", F.struct("unit", "start", (F.col("end") + length).alias("stop")).alias("range"))
+    found = written(whole.unionByName(edges).unionByName(spans).groupBy("key").agg(F.collect_list("range").alias("ranges")))
+    removed(rows, kinds, wanted, texts)
+    return found
+
+
+def _slices(of: dict[int, Unit]):
+    """The units of the wanted shards of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["owner", "kinds", "n", "key", "first", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["owner", "unit", "kinds", "n", "key", "first", "data"]
+        kinds = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        hasher = Hasher()
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for key, data, parts in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("key", "data", "parts")), strict=True):
-                key, data = key.as_py(), code(data.as_py())
+            for key, value, parts in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("key", "data", "parts")), strict=True):
+                key, data, own = key.as_py(), np.frombuffer(value.as_buffer(), dtype=np.uint8), {}
                 for p in parts.as_py():
-                    row = (p["owner"], p["kinds"], p["n"], key, p["first"], data[p["first"] : p["last"] + length])
+                    unit = of[p["unit"]]
+                    if unit not in own:
+                        own[unit] = unit.read(data, None, hasher)
+                    row = (p["owner"], unit.number, p["kinds"], p["n"], key, p["first"], own[unit][p["first"] : p["last"] + unit.length].tobytes())
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
@@ -232,37 +311,39 @@ def _slices(length: int, code=bytes):
     return run
 
 
-def _merge(length: int):
+def _merge(of: dict[int, Unit]):
     """Ranges of the single shards of a bucket that some other shard there shares."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = shared_windows(pdf["data"].tolist(), length)
-        out = [(k, a, b) for k, first, n, f in zip(pdf["key"], pdf["first"], pdf["n"], flags, strict=True) if n == 1 for a, b in _runs(f, first, length)]
-        return pd.DataFrame(out, columns=["key", "start", "stop"])
+        unit = of[int(pdf["unit"].iloc[0])]
+        flags = repeated_starts([np.frombuffer(d, dtype=unit.kind) for d in pdf["data"]], unit.length, unit.symbol)
+        out = [(k, unit.number, a, b) for k, first, n, f in zip(pdf["key"], pdf["first"], pdf["n"], flags, strict=True) if n == 1 for a, b in _runs(f, first, unit.length)]
+        return pd.DataFrame(out, columns=["key", "unit", "start", "stop"])
 
     return run
 
 
-def _windows(length: int):
-    """Two hashes for every window of every shard: the exact way for owners with very many different shards."""
+def _windows(of: dict[int, Unit]):
+    """Two hashes for every window of every shard, for owners with very many different shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = Hasher(), Hasher(0xC2B2AE3D27D4EB4F)
+        names = ["a", "b", "n", "key", "unit", "first", "start"]
         for batch in batches:
-            for n, key, first, data in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                text = np.frombuffer(data, dtype=np.uint8)
-                a, b = (h.grams(h.sums(text), length).view(np.int64) for h in hashers)
+            for number, n, key, first, data in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5, 6)), strict=True):
+                own = np.frombuffer(data, dtype=of[number].kind)
+                a, b = (h.grams(h.sums(own), of[number].length).view(np.int64) for h in hashers)
                 m = len(a)
-                columns = [pa.array(a), pa.array(b), pa.array(np.full(m, n)), pa.array(np.full(m, key)), pa.array(np.arange(first, first + m, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "key", "start"])
+                columns = [pa.array(a), pa.array(b), *(pa.array(np.full(m, v), k) for v, k in ((n, pa.int64()), (key, pa.int64()), (number, pa.int8()), (first, pa.int32())))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(first, first + m, dtype=np.int32))], names)
 
     return run
 
 
-def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
+def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the union of ranges."""
     out: list[tuple[int, int]] = []
-    for r in sorted((r["start"], r["stop"]) for r in ranges or ()):
+    for r in sorted(ranges):
         if out and r[0] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], r[1]))
         else:
@@ -270,64 +351,66 @@ def joined_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def coded(data: bytes) -> bytes:
-    """A text as the hashes of its words."""
-    return b"".join(xxhash.xxh64_digest(w, 42)[:CODE] for w in bytes(data).split())
-
-
-def word_ranges(data: bytes, ranges: list[dict] | None) -> list[dict]:
-    """Byte ranges of the words whose hashes lie in ranges, each up to the word that follows."""
-    if not ranges:
-        return []
-    starts = [*(m.start() for m in _WORD.finditer(data)), len(data)]
-    return [{"start": starts[-(-a // CODE)], "stop": starts[b // CODE]} for a, b in joined_ranges(ranges)]
+def byte_ranges(data: bytes, ranges: list[dict] | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Byte ranges of the ranges of bytes and of those of words; the latter reach up to the word that follows."""
+    by = [[(r["start"], r["stop"]) for r in ranges or () if r["unit"] == k] for k in (0, 1)]
+    if by[1]:
+        starts = np.r_[words_of(np.frombuffer(data, dtype=np.uint8))[0], len(data)].tolist()
+        by[1] = [(starts[a], starts[b]) for a, b in joined_ranges(by[1])]
+    return by[0], by[1]
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False, words: int = 0, **options
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    as_text: bool = False,
+    words: int = 0,
+    cut_words: bool = True,
+    **options,
 ) -> DataFrame:
     """``docs`` without its text but with kept (binary: what is left of the text's UTF-8; with ``as_text`` a string without
-    the characters that were cut in two, null where the text was), n_bytes, n_removed and n_spans; columns of these names
-    are replaced.
+    the characters that were cut in two, null where the text was), n_bytes, n_removed, n_spans and n_passage; columns of
+    these names are replaced.
 
     Null text is empty. Texts shorter than ``length`` bytes stay whole. Rows with equal id and text are places of their
-    own: both lose what they share. Whole texts count, with no limit on their length or on the size of a group.
+    own: both lose what they share. Whole texts count, with no limit on their length or on the size of a group. An empty
+    table gives an empty one.
 
-    With ``words``, strings of so many words that start elsewhere too go as well, however few bytes they have; white space
-    between words does not count there, and a word is known by 48 bits of its hash.
+    With ``words``, n_passage counts the bytes in strings of so many words that start elsewhere too, however few bytes
+    those have, and unless ``cut_words`` is false they go as well; white space between words does not count there, and a
+    word is known by 64 bits of its hash. Without, n_passage is 0.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_key", "_data", "ranges", "_spoken")
-    key, data = F.xxhash64(F.col(doc_id), F.col(text)), F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    keyed = docs.select(key.alias("key"), data.alias("data")).where(F.length("data") >= length)
-    ranges = repeated_ranges(keyed, length, **options)
-    rest = [c for c in docs.columns if c != text]
-    joined = docs.withColumn("_key", key).join(ranges.withColumnRenamed("key", "_key"), "_key", "left")
-    if words:
-        spoken = docs.select(key.alias("key"), data.alias("data")).where(F.length("data") >= 2 * words - 1)
-        spoken = repeated_ranges(spoken, CODE * words, CODE * min(WORDS, words), code=coded, **options)
-        joined = joined.join(spoken.select(F.col("key").alias("_key"), F.col("ranges").alias("_spoken")), "_key", "left")
-    else:
-        joined = joined.withColumn("_spoken", F.lit(None).cast("array<struct<start: int, stop: int>>"))
-    joined = joined.select(*rest, F.col(text).cast("binary").alias("_data"), "ranges", "_spoken")
+    units = [Unit(0, length, gram), *([Unit(1, words, min(WORDS, words))] if words else [])]
+    rest = [c for c in docs.columns if c not in (text, "kept", "n_bytes", "n_removed", "n_spans", "n_passage")]
+    # The other columns travel as one, so that no name can clash.
+    docs = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("given"), F.struct(*rest).alias("rest"))
+    least = min([length, *([2 * words - 1] if words else [])])
+    ranges = repeated_ranges(docs.select("key", F.col("given").alias("data")).where(F.length("given") >= least), units, **options)
+    joined = docs.join(ranges, "key", "left").select("rest", "given", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, removed, spans = [], [], [], []
-            for value, ranges_, spoken_ in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("_data", "ranges", "_spoken")), strict=True):
+            kept, counts = [], []
+            for value, found in zip(batch.column(1), batch.column(2), strict=True):
                 given = value.as_py()
                 data = given or b""
-                runs = joined_ranges([*(ranges_.as_py() or []), *word_ranges(data, spoken_.as_py())])
+                by_bytes, by_words = byte_ranges(data, found.as_py())
+                runs = joined_ranges([*by_bytes, *(by_words if cut_words else ())])
                 stops = [0, *(b for _, b in runs)]
                 left = b"".join(data[a:b] for a, b in zip(stops, [*(a for a, _ in runs), len(data)], strict=True)) if runs else data
-                sizes.append(len(data)), removed.append(len(data) - len(left)), spans.append(len(runs))
+                counts.append((len(data), len(data) - len(left), len(runs), sum(b - a for a, b in by_words)))
                 kept.append(left if not as_text else None if given is None else left.decode("utf-8", "ignore"))
-            columns = [batch.column(i) for i in range(len(rest))]
-            columns += [pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, removed, spans))]
-            yield pa.RecordBatch.from_arrays(columns, [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
+            columns = [batch.column(0), pa.array(kept, pa.string() if as_text else pa.binary())]
+            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["rest", "kept", "n_bytes", "n_removed", "n_spans", "n_passage"])
 
-    kind = "string" if as_text else "binary"
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), f"kept {kind}, n_bytes long, n_removed long, n_spans long"])
-    return joined.mapInArrow(tidied(run), fields)
+    counted = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans", "n_passage")]
+    fields = T.StructType([docs.schema["rest"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *counted])
+    out = joined.mapInArrow(tidied(run), fields)
+    return out.select(*[F.col("rest").getField(c).alias(c) for c in rest], "kept", "n_bytes", "n_removed", "n_spans", "n_passage")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
@@ -345,6 +428,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to strings of 400 bytes that start elsewhere too, and the digest of the rest."""
+    """What every document loses to strings of 400 bytes that start elsewhere too, and the digest of the rest; n_passage
+    tells the bytes of its passages of over 50 words that stand elsewhere too, which may be shorter than 400 bytes."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(docs, words=PASSAGE, cut_words=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
