@@ -1,17 +1,23 @@
 """Main text of web pages by wrapper induction.
 
-Every page's DOM tree is aligned with that of its host's reference page by simple tree matching. Text slots that
-hold the same words on nearly all of a host's pages are its template; the rest, less what tags, roles and names mark as
-menus, headers, footers, sidebars, notices, adverts, forms or comments, is content.
+A host's wrapper is one tree: up to ``MODELS`` of its pages are aligned one after the other by simple tree matching, and
+what a page has beyond the tree so far is put in where it stands. Then every page of the host is aligned with the wrapper
+and votes: text slots that read the same on nearly all pages are template, and article containers that hold most of the
+varying text are the host's main nodes. A page's text is what stands in its main nodes, less template slots, less what
+tags, roles and names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments. Only a page that the
+host's main nodes say nothing about goes by its own article or main element.
 """
 
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,20 +52,25 @@ HEAD_TAGS, HEAD_ROLES, HEAD_NAMES = {"header"}, {"banner"}, set("header masthead
 MAIN_NAMES = set("article main content post entry story".split())
 #: Parts that make a name tell of the layout (``has-sidebar``) instead of the element's own role.
 STATE_NAMES = {"has", "with", "no", "without", "is", "js", "wrap", "wrapper", "layout"}
+#: Parts that may stand beside a role's name (``blog-sidebar``, ``comment-list``); with any other the name tells a topic.
+PLACE_NAMES = set(
+    "site blog page post entry article main content list section box area block container inner outer left right top bottom primary secondary "
+    "global link links bar item items text body title group row col column slot unit module panel count icon button buttons zone wide small large".split()
+)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Text slot sizes and cells of one alignment beyond which children are paired in order of shape alone.
-CELLS = 250_000
+#: Pages that a host's wrapper is built from, pages that must agree before a slot is template, and the share that must.
+MODELS, PAGES_LEAST, SHARE = 8, 8, 0.9
 
 
 class Node:
     """A block element, or (tag ``#text``) a run of text and inline elements inside one."""
 
-    __slots__ = ("tag", "name", "kids", "text", "links", "side", "main", "slot", "shape")
+    __slots__ = ("tag", "name", "kids", "text", "links", "side", "main", "slot", "shape", "size", "texts")
 
-    def __init__(self, tag: str, name: str = "", side: bool = False, main: int = 0):
+    def __init__(self, tag: str, name: str = "", side: bool = False, main: int = 0, text: str = ""):
         self.tag, self.name, self.side, self.main = tag, name, side, main
         self.kids: list[Node] = []
-        self.text, self.links, self.slot, self.shape = "", 0, -1, 0
+        self.text, self.links, self.slot, self.shape, self.size, self.texts = text, 0, -1, 0, 1, None
 
 
 def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, int]:
@@ -75,9 +86,10 @@ def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, int]:
         side = side or "display:none" in found.get("style", "").replace(" ", "").lower()
         if name and not side and tag not in ("html", "body", "main"):
             tokens = [{p.lower() for p in NAME_PARTS.findall(token)} for token in name.replace(".", " ").split()]
-            parts = {p for token in tokens if not token & STATE_NAMES for p in token}
-            side = bool(parts & ASIDE_NAMES) and not (tag == "article" and not parts & {"ad", "ads", "advert", "promo", "comment", "related", "sponsored", "teaser"})
-            side = side or (not inside_main and bool(parts & HEAD_NAMES) and not parts & MAIN_NAMES)
+            roles = [token for token in tokens if not token & STATE_NAMES]
+            side = any(token & ASIDE_NAMES and token <= ASIDE_NAMES | PLACE_NAMES for token in roles)
+            side = side and not (tag == "article" and not set().union(*roles) & {"ad", "ads", "advert", "promo", "comment", "related", "sponsored", "teaser"})
+            side = side or (not inside_main and any(token & HEAD_NAMES and token <= HEAD_NAMES | PLACE_NAMES and not token & MAIN_NAMES for token in roles))
         if role in ("main", "article"):
             main = max(main, 2)
     return name, side, main
@@ -173,146 +185,207 @@ def parse(source: str | None) -> Node:
     return root
 
 
-def _number(root: Node) -> None:
-    """Slots in page order; shapes bottom up, equal for trees of equal tags and names."""
-    order, stack, slot = [], [root], 0
+def _order(root: Node) -> list[Node]:
+    """All nodes in page order."""
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        if node.tag == "#text":
-            node.slot, slot = slot, slot + 1
         stack.extend(reversed(node.kids))
+    return order
+
+
+def _number(root: Node) -> list[Node]:
+    """Nodes in page order, numbered; sizes and shapes bottom up, shapes equal for trees of equal tags and names."""
+    order = _order(root)
+    for i, node in enumerate(order):
+        node.slot = i
     for node in reversed(order):
         node.shape = hash((node.tag, node.name, tuple(k.shape for k in node.kids)))
+        node.size = 1 + sum(k.size for k in node.kids)
+    return order
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of text slots that the best simple tree matching of two trees puts together."""
-    pairs: list[tuple[Node, Node]] = []
-    known: dict[tuple[int, int], int] = {}
+class Matching:
+    """The best simple tree matching of two trees: equal nodes, ancestors and order kept, as many pairs as can be.
 
-    def same(x: Node, y: Node) -> bool:
-        return x.tag == y.tag and x.name == y.name
+    Exact at every size and depth: values of pairs of subtrees are kept by shape and found with a list of what is still
+    to do, lists of children are aligned row by row, and pairs are read back by halving, in memory linear in the lists.
+    Time grows with the product of the lists' lengths after equal ends are taken off.
+    """
 
-    def weight(x: Node, y: Node) -> int:
-        if not same(x, y):
-            return 0
-        if not x.kids or not y.kids:
-            return 1
-        key = (id(x), id(y))
-        if key not in known:
-            known[key] = 1 + match(x.kids, y.kids, None)
-        return known[key]
-
-    def match(xs: list[Node], ys: list[Node], out: list | None) -> int:
-        """Weight of the best ordered matching of two lists of children; with ``out``, its pairs too."""
-        lo, n, m, total = 0, len(xs), len(ys), 0
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+
+    @staticmethod
+    def trimmed(xs: list[Node], ys: list[Node]) -> tuple[int, int, int]:
+        """Length of the equal start, and where the rests end. A best matching pairs equal ends."""
+        lo, n, m = 0, len(xs), len(ys)
         while lo < min(n, m) and xs[lo].shape == ys[lo].shape:
-            if out is None:
-                total += size(xs[lo])
-            else:
-                out.append((xs[lo], ys[lo]))
             lo += 1
-        tail = []
         while n > lo and m > lo and xs[n - 1].shape == ys[m - 1].shape:
             n, m = n - 1, m - 1
-            if out is None:
-                total += size(xs[n])
-            else:
-                tail.append((xs[n], ys[m]))
-        p, q = xs[lo:n], ys[lo:m]
-        if p and q and len(p) * len(q) <= CELLS:
-            rows = [[0] * (len(q) + 1)]
-            grid = []
-            for x in p:
-                above, row, line = rows[-1], [0], []
-                for j, y in enumerate(q):
-                    w = weight(x, y)
-                    line.append(w)
-                    row.append(max(above[j + 1], row[j], above[j] + w) if w else max(above[j + 1], row[j]))
-                rows.append(row)
-                grid.append(line)
-            total += rows[-1][-1]
-            if out is not None:
-                i, j, found = len(p), len(q), []
-                while i and j:
-                    w = grid[i - 1][j - 1]
-                    if w and rows[i][j] == rows[i - 1][j - 1] + w:
-                        found.append((p[i - 1], q[j - 1]))
-                        i, j = i - 1, j - 1
-                    elif rows[i][j] == rows[i - 1][j]:
-                        i -= 1
-                    else:
-                        j -= 1
-                out += reversed(found)
-        elif p and q:
-            places: dict[int, list[int]] = {}
-            for j, y in enumerate(q):
-                places.setdefault(y.shape, []).append(j)
-            last = -1
-            for x in p:
-                j = next((j for j in places.get(x.shape, ()) if j > last), None)
-                if j is not None:
-                    last = j
-                    total += size(x)
-                    if out is not None:
-                        out.append((x, q[j]))
-        if out is not None:
-            out += reversed(tail)
-        return total
-
-    sizes: dict[int, int] = {}
-
-    def size(x: Node) -> int:
-        if id(x) not in sizes:
-            n, stack = 0, [x]
-            while stack:
-                y = stack.pop()
-                n += 1
-                stack.extend(y.kids)
-            sizes[id(x)] = n
-        return sizes[id(x)]
-
-    todo = [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        if x.tag == "#text":
-            pairs.append((x, y))
-        elif x.kids and y.kids:
-            out: list[tuple[Node, Node]] = []
-            match(x.kids, y.kids, out)
-            todo += out
-    return pairs
+        return lo, n, m
+
+    def value(self, x: Node, y: Node) -> int | None:
+        """Pairs in the best matching of two subtrees with their roots paired, None if not known yet."""
+        if x.tag != y.tag or x.name != y.name:
+            return 0
+        if x.shape == y.shape:
+            return x.size
+        if not x.kids or not y.kids:
+            return 1
+        return self.known.get((x.shape, y.shape))
+
+    def table(self, xs: list[Node], ys: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values by kind of child, and the kinds of both lists; finds those that are not known first."""
+        kinds = [{n.shape: n for n in side} for side in (xs, ys)]
+        todo = [(x, y) for x in kinds[0].values() for y in kinds[1].values() if self.value(x, y) is None]
+        while todo:
+            x, y = todo[-1]
+            if self.value(x, y) is not None:
+                todo.pop()
+                continue
+            lo, n, m = self.trimmed(x.kids, y.kids)
+            p, q = x.kids[lo:n], y.kids[lo:m]
+            own = [{k.shape: k for k in side} for side in (p, q)]
+            missing = [(a, b) for a in own[0].values() for b in own[1].values() if self.value(a, b) is None]
+            if missing:
+                todo += missing
+                continue
+            ends = sum(k.size for k in x.kids[:lo]) + sum(k.size for k in x.kids[n:])
+            self.known[x.shape, y.shape] = 1 + ends + (int(_last_row(*self._values(p, q, own))[-1]) if p and q else 0)
+        return self._values(xs, ys, kinds)
+
+    def _values(self, xs: list[Node], ys: list[Node], kinds: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grid = np.array([[self.value(x, y) for y in kinds[1].values()] for x in kinds[0].values()], dtype=np.int64)
+        number = [{shape: i for i, shape in enumerate(k)} for k in kinds]
+        return grid, np.array([number[0][x.shape] for x in xs]), np.array([number[1][y.shape] for y in ys])
+
+    def children(self, xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
+        """Places of the children that the best matching of two lists pairs."""
+        lo, n, m = self.trimmed(xs, ys)
+        pairs = [(i, i) for i in range(lo)]
+        if n > lo and m > lo:
+            grid, p, q = self.table(xs[lo:n], ys[lo:m])
+            todo = [(0, n - lo, 0, m - lo)]
+            while todo:
+                a, b, c, d = todo.pop()
+                if a == b or c == d:
+                    continue
+                if b - a == 1:
+                    values = grid[p[a], q[c:d]]
+                    if values.max() > 0:
+                        pairs.append((lo + a, lo + c + int(values.argmax())))
+                    continue
+                half = (a + b) // 2
+                before = _last_row(grid, p[a:half], q[c:d])
+                after = _last_row(grid, p[half:b][::-1], q[c:d][::-1])[::-1]
+                cut = c + int((before + after).argmax())
+                todo += [(a, half, c, cut), (half, b, cut, d)]
+        pairs += [(n + i, m + i) for i in range(len(xs) - n)]
+        return sorted(pairs)
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """All pairs of nodes below two roots, the roots included."""
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            if x.kids and y.kids:
+                todo += [(x.kids[i], y.kids[j]) for i, j in self.children(x.kids, y.kids)]
+        return out
+
+
+def _last_row(grid: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Best value of aligning all of one list with every beginning of the other."""
+    row = np.zeros(len(q) + 1, dtype=np.int64)
+    for x in p:
+        row[1:] = np.maximum(row[1:], row[:-1] + grid[x, q])
+        row = np.maximum.accumulate(row)
+    return row
+
+
+def wrapper(pages: list[str | None]) -> Node:
+    """One tree that the pages' trees are laid into; a text slot holds the text that most of them have there."""
+    root = parse(None)
+    for page in pages:
+        tree, matching = parse(page), Matching()
+        for x, y in matching.pairs(tree, root):
+            if x.tag == "#text":
+                y.texts.update([x.text])
+                continue
+            partner, kids, j = dict(matching.children(x.kids, y.kids)), [], 0
+            for i, kid in enumerate(x.kids):
+                if i in partner:
+                    kids += y.kids[j : partner[i] + 1]
+                    j = partner[i] + 1
+                else:
+                    for node in _order(kid):
+                        node.texts = Counter([node.text]) if node.tag == "#text" else None
+                    kids.append(kid)
+            y.kids = kids + y.kids[j:]
+        _number(root)
+    for node in _order(root):
+        if node.tag == "#text":
+            node.text = max(sorted(node.texts), key=node.texts.get)
+    return root
 
 
-def content(root: Node) -> list[Node]:
-    """Text slots of the article: of the outermost article, else main, else all that is beside nothing.
+def packed(root: Node) -> bytes:
+    return pickle.dumps([(n.tag, n.name, n.side, n.main, n.text, len(n.kids)) for n in _order(root)])
 
-    Without either container, lists and blocks of which most text is links are left out as menus.
-    """
-    rank, stack = 0, [(root, False)]
-    while stack:
-        node, side = stack.pop()
-        side = side or node.side
-        if not side and node.main > rank and _has_text(node):
-            rank = node.main
-        stack.extend((k, side) for k in node.kids)
-    out: list[Node] = []
-    todo = [(root, rank == 0)]
+
+def unpacked(data: bytes) -> Node:
+    rows = pickle.loads(data)
+    nodes = [Node(*r[:5]) for r in rows]
+    open_: list[list] = []
+    for node, row in zip(nodes, rows, strict=True):
+        while open_ and not open_[-1][1]:
+            open_.pop()
+        if open_:
+            open_[-1][0].kids.append(node)
+            open_[-1][1] -= 1
+        open_.append([node, row[5]])
+    _number(nodes[0])
+    return nodes[0]
+
+
+def _inside(root: Node, starts) -> list[Node]:
+    """Unmarked text slots in page order below the unmarked nodes for which ``starts`` holds."""
+    out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
         if node.side:
             continue
+        inside = inside or starts(node)
         if node.tag == "#text":
             if inside:
                 out.append(node)
             continue
-        if rank == 0 and node.tag in ("ul", "ol", "div", "p", "section", "td", "table") and _linked(node):
-            continue
-        todo.extend((k, inside or (rank > 0 and node.main == rank)) for k in reversed(node.kids))
+        todo.extend((k, inside) for k in reversed(node.kids))
     return out
 
 
+def content(root: Node) -> list[Node]:
+    """Text slots of the article by the page alone: of the outermost article, else main, else all that is beside nothing.
+
+    Without either container, lists that hold nothing but links are left out as menus.
+    """
+    rank, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        if node.side:
+            continue
+        if node.main > rank and _has_text(node):
+            rank = node.main
+        stack.extend(node.kids)
+    if rank:
+        return _inside(root, lambda node: node.main == rank)
+    menus = {id(x) for node in _order(root) if node.tag in ("ul", "ol", "menu") and _linked(node) for x in _order(node)}
+    return [x for x in _inside(root, lambda node: True) if id(x) not in menus]
+
+
 def _has_text(node: Node) -> bool:
     stack = [node]
     while stack:
@@ -326,71 +399,129 @@ def _has_text(node: Node) -> bool:
 
 
 def _linked(node: Node) -> bool:
-    chars, links, stack = 0, 0, [node]
-    while stack:
-        x = stack.pop()
-        chars, links = chars + len(x.text), links + x.links
-        stack.extend(x.kids)
-    return chars > 0 and links > 0.6 * chars
+    leaves = [x for x in _order(node) if x.text]
+    return bool(leaves) and all(x.links >= len(x.text) for x in leaves)
+
+
+@dataclass
+class Model:
+    """A host's wrapper with what its pages voted: slots that are template, and main nodes."""
+
+    root: Node
+    fixed: frozenset[int]
+    mains: frozenset[int]
+
+    def text_of(self, page: str | None) -> list[str]:
+        tree = parse(page)
+        pairs = Matching().pairs(tree, self.root)
+        fixed = {id(x) for x, y in pairs if y.slot in self.fixed and x.text == y.text}
+        mains = {id(x) for x, y in pairs if y.slot in self.mains and not x.side}
+        names = {(y.tag, y.name) for y in _order(self.root) if y.slot in self.mains}
+        slots = _inside(tree, lambda n: id(n) in mains or (n.tag, n.name) in names) if mains else []
+        return [x.text for x in slots or content(tree) if id(x) not in fixed]
+
+
+class Models:
+    """The models of the hosts that a task has met of late, and trees of their wrappers."""
+
+    def __init__(self, read, most: int = 200):
+        self.read, self.most, self.held = read, most, {}
+
+    def of(self, host: str, *data):
+        if host not in self.held:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            self.held[host] = self.read(*data)
+        return self.held[host]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slot, seen, same) of the reference's content slots, summed by batch."""
-    trees: dict[str, tuple[int, Node]] = {}
+    """(host, node, seen, same, chars): pages with a wrapper's node, with its text, and unmarked characters below it."""
+    models = Models(unpacked)
     for batch in batches:
-        seen, same = Counter(), Counter()
-        for host, page, reference in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-            model = _reference(trees, host, reference)
-            for mine, slot in align(parse(page), model):
-                seen[host, slot.slot] += 1
-                same[host, slot.slot] += mine.text == slot.text
-        keys = list(seen)
+        sums = [Counter(), Counter(), Counter()]
+        for host, page, data in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            tree = parse(page)
+            pairs = Matching().pairs(tree, models.of(host, data))
+            chars, order = {}, _order(tree)
+            for node in reversed(order):
+                chars[id(node)] = 0 if node.side else len(node.text) + sum(chars[id(k)] for k in node.kids)
+            slots = {id(n) for n in content(tree)}
+            # A page that says all that the wrapper says is the page it was built from, or a copy: no vote on template.
+            copy = all(x.text == y.text for x, y in pairs if id(x) in slots)
+            for x, y in pairs:
+                sums[2][host, y.slot] += chars[id(x)]
+                if x.tag == "#text" and not copy:
+                    sums[0][host, y.slot] += 1
+                    sums[1][host, y.slot] += x.text == y.text
+        keys = list(sums[2])
         columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32())]
-        columns += [pa.array([c[k] for k in keys], pa.int64()) for c in (seen, same)]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "seen", "same"])
-
-
-def _reference(trees: dict, host: str, source: str | None) -> Node:
-    if host not in trees:
-        if len(trees) > 200:
-            trees.clear()
-        trees[host] = parse(source)
-    return trees[host]
+        columns += [pa.array([c[k] for k in keys], pa.int64()) for c in sums]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "node", "seen", "same", "chars"])
+
+
+def _elected(data: bytes, votes: list[dict], pages_least: int, share: float) -> Model:
+    """The model that a wrapper's votes make."""
+    root = unpacked(data)
+    by = {v["node"]: v for v in votes}
+    fixed = frozenset(n for n, v in by.items() if v["seen"] >= pages_least and v["same"] >= v["seen"] * share)
+    chars = {n: v["chars"] for n, v in by.items()}
+    # Of articles, else of mains: the outermost unmarked ones, if they hold at least half of what is beside nothing.
+    for rank in (3, 2):
+        found, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if node.side:
+                continue
+            if node.main == rank:
+                found.append(node.slot)
+            else:
+                todo.extend(node.kids)
+        if found and 2 * sum(chars.get(n, 0) for n in found) >= chars.get(root.slot, 0) > 0:
+            return Model(root, fixed, frozenset(found))
+    return Model(root, fixed, frozenset())
 
 
 def extract_text(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", pages_least: int = 8, share: float = 0.9
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", pages_least: int = PAGES_LEAST, share: float = SHARE
 ) -> DataFrame:
     """(page_id, url, text) of every page; blocks are joined by a newline, text is empty where nothing is left.
 
-    A host's reference is its page of smallest id. A slot belongs to the template if at least ``pages_least``
-    pages have it and it reads the same on ``share`` of them; every page votes. Pages without a host share one, whose
-    template is not used. Null html has no text; pages with a null id are extracted without a reference's votes when
-    their host has no other. Reference trees join by host: Spark sends small tables to all tasks and splits hot hosts.
+    A slot belongs to the template if at least ``pages_least`` pages have it and it reads the same on ``share`` of them;
+    every page votes, but copies of the wrapper's pages. Hosts of fewer pages have main nodes only. Pages without a host go
+    by themselves. Null html has no text. Rows that repeat an id are pages of their own. Extra columns are left out, an
+    empty table gives an empty one. Wrappers join by host: Spark sends small tables to all tasks and splits hot hosts.
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_and_path(F.col(url))[0].alias("host"))
-    first = src.where("host <> '' and html is not null").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    models = src.select("page_id", "host", F.col("html").alias("model")).join(first, ["host", "page_id"]).dropDuplicates(["host"]).select("host", "model")
-    models = written(models)
-    votes = src.where("html is not null").join(models, "host").select("host", "html", "model").mapInArrow(tidied(_votes), "host string, slot int, seen long, same long")
-    votes = votes.groupBy("host", "slot").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-    fixed = votes.where((F.col("seen") >= pages_least) & (F.col("same") >= F.col("seen") * share))
-    models = models.join(fixed.groupBy("host").agg(F.collect_list("slot").alias("slots")), "host")
-    joined = src.join(written(models), "host", "left")
+    usable = src.where("host <> '' and html is not null")
+    # One page of each of so many hash classes, so that no host's pages come together.
+    chosen = usable.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(MODELS)).alias("part")).agg(F.min("page_id").alias("page_id"))
+    chosen = usable.join(chosen.select("host", "page_id"), ["host", "page_id"]).dropDuplicates(["host", "page_id"]).select("host", "page_id", "html")
+
+    def build(pdf):
+        pdf = pdf.sort_values("page_id")
+        return pdf.head(1)[["host"]].assign(wrapper=[packed(wrapper(pdf["html"].tolist()))])
+
+    wrappers = written(chosen.groupBy("host").applyInPandas(build, "host string, wrapper binary"))
+    votes = usable.join(wrappers, "host").select("host", "html", "wrapper").mapInArrow(tidied(_votes), "host string, node int, seen long, same long, chars long")
+    votes = votes.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("seen", "same", "chars")])
+    # A wrapper has as many nodes as the pages that it is built from.
+    votes = votes.groupBy("host").agg(F.collect_list(F.struct("node", "seen", "same", "chars")).alias("votes"))
+    joined = src.join(written(wrappers.join(votes, "host")), "host", "left")
     kind = src.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[int, Node]] = {}
+        models = Models(lambda data, votes: _elected(data, votes, pages_least, share))
         for batch in batches:
             names = batch.schema.names
             texts = []
-            for host, page, model, slots in zip(*(batch.column(names.index(n)).to_pylist() for n in ("host", "html", "model", "slots")), strict=True):
-                tree = parse(page)
-                drop = set()
-                if slots and model is not None:
-                    template = set(slots)
-                    drop = {x.slot for x, y in align(tree, _reference(trees, host, model)) if y.slot in template and x.text == y.text}
-                texts.append("\n".join(x.text for x in content(tree) if x.slot not in drop))
+            for host, page, data, votes in zip(*(batch.column(names.index(n)) for n in ("host", "html", "wrapper", "votes")), strict=True):
+                host, page = host.as_py(), page.as_py()
+                if not data.is_valid:
+                    texts.append("\n".join(x.text for x in content(parse(page))))
+                    continue
+                model = models.held.get(host) or models.of(host, data.as_py(), votes.as_py())
+                texts.append("\n".join(model.text_of(page)))
             columns = [batch.column(names.index("page_id")), batch.column(names.index("url")), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 

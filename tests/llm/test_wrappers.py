@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import wrappers
 
 SHELL = """<!DOCTYPE html><html><head><title>t &amp; t</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
@@ -39,8 +41,68 @@ def test_wrapper_drops_what_all_pages_of_a_host_share(spark):
     assert wrappers.extract_text(df.limit(0)).count() == 0
 
 
+def brute_value(x, y):
+    """Simple tree matching as it is defined, by recursion over all pairs of children."""
+    if (x.tag, x.name) != (y.tag, y.name):
+        return 0
+    grid = [[0] * (len(y.kids) + 1)]
+    for a in x.kids:
+        row = [0]
+        for j, b in enumerate(y.kids):
+            row.append(max(grid[-1][j + 1], row[j], grid[-1][j] + brute_value(a, b)))
+        grid.append(row)
+    return 1 + grid[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    node = wrappers.Node(rng.choice("ab"), rng.choice(["", "x"]) if depth < 2 else "")
+    node.kids = [random_tree(rng, depth + 1) for _ in range(rng.randint(0, 4 - depth))] if depth < 4 else []
+    return node
+
+
 def test_alignment_is_the_best_ordered_matching():
-    a = wrappers.parse("<div><h2>a</h2><p>b</p><table><tr><td>c</td></tr></table><p>d</p></div>")
-    b = wrappers.parse("<div><p>B</p><h3>x</h3><table><tr><td>C</td></tr></table><p>D</p><p>E</p></div>")
-    pairs = sorted((x.text, y.text) for x, y in wrappers.align(a, b))
-    assert pairs in ([("b", "B"), ("c", "C"), ("d", last)] for last in "DE")
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = random_tree(rng), random_tree(rng)
+        b.tag, b.name = a.tag, a.name
+        order = [wrappers._number(t) for t in (a, b)]
+        pairs = wrappers.Matching().pairs(a, b)
+        assert len(pairs) == brute_value(a, b)
+        up = [{id(k): n.slot for n in o for k in n.kids} for o in order]
+        seen = sorted((x.slot, y.slot) for x, y in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(seen, seen[1:], strict=False))
+        for x, y in pairs[1:]:
+            assert (x.tag, x.name) == (y.tag, y.name) and (up[0][id(x)], up[1][id(y)]) in seen
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda tail: "<div>" * 2000 + f"<p>{tail}</p><i>x</i>"
+    long = lambda k: "<div>" + "".join(f"<{'h2' if (i * k) % 7 < 3 else 'section'}>{i}</section></h2>" for i in range(1500)) + "</div>"
+    rows = [(1, "http://d.example/1", deep("one")), (2, "http://d.example/2", deep("two</p><ul><li>more</ul><p>end")), (3, "http://e.example/3", long(2)), (4, "http://e.example/4", long(3))]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "one\nx" and got[2] == "two\nmore\nend\nx"
+    assert got[3] == got[4] == "\n".join(map(str, range(1500)))
+
+
+def test_a_site_whose_template_no_name_tells(spark):
+    body = lambda i: "".join(f"<div class='b{j}'>Part {j} of story {i}</div>" for j in range(1 + i % 4))
+    html = lambda i: f"<div class='q1'>The Daily Page</div><div class='q2'><div>{body(i)}</div><div class='q3'>Sent from our town</div></div><div class='q4'>All rights kept</div>"
+    rows = [(i, f"http://plain.example/{i}", html(i)) for i in range(20)] + [(50 + i, "http://small.example/", html(i)) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(f"Part {j} of story {i}" for j in range(1 + i % 4)) for i in range(20))
+    assert got[50].startswith("The Daily Page\n")
+
+
+def test_main_nodes_are_chosen_by_the_host(spark):
+    teaser = "<div><article>Teaser</article></div>"
+    rows = [(i, f"http://t.example/{i}", teaser + f"<div>A long story number {i} that no element calls an article</div>") for i in range(5)]
+    rows += [(10 + i, f"http://a.example/{i}", f"<p>lead {i}</p><article><p>Story {i} with enough words</p></article>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == "Story 0 with enough words"
+
+
+def test_names_of_topics_and_linked_words_stay():
+    html = "<article><div class='legal-analysis'>one</div><section class='promotion-history'>two</section><div class='comment-list'>gone</div><div class='related-links'>gone</div></article>"
+    assert [x.text for x in wrappers.content(wrappers.parse(html))] == ["one", "two"]
+    html = "<div class='post-content'><p>I saw <a>a long linked sentence</a></p><p>tail</p></div>"
+    assert [x.text for x in wrappers.content(wrappers.parse(html))] == ["I saw a long linked sentence", "tail"]
