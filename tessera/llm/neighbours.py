@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,20 +36,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 42) ->
     return centres
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows hold a usable vector (finite, not zero, of the commonest length) and those as unit rows in double."""
-    rows = column.to_pylist()
-    sizes = [len(r) for r in rows if r]
-    width = max(set(sizes), key=sizes.count) if sizes else 0
-    good = np.array([bool(r) and len(r) == width and None not in r for r in rows], dtype=bool)
-    x = np.array([r for r, g in zip(rows, good, strict=True) if g], dtype=np.float64).reshape(-1, width)
-    with np.errstate(all="ignore"):
-        top = np.abs(x).max(axis=1, initial=0.0)
-        fine = np.isfinite(top) & (top > 0)
-        x = x[fine] / top[fine][:, None]
-        x /= np.linalg.norm(x, axis=1)[:, None]
-    good[np.flatnonzero(good)[~fine]] = False
-    return good, x
+def unit_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, places, unit rows in double) of the usable vectors of each width: not null or empty, finite, not zero."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        with np.errstate(all="ignore"):
+            top = np.abs(x).max(axis=1)
+            fine = np.isfinite(top) & (top > 0)
+            x = x[fine] / top[fine][:, None]
+            x /= np.linalg.norm(x, axis=1)[:, None]
+        if len(x):
+            yield int(width), at[fine], x
 
 
 def near_duplicates(
@@ -63,10 +63,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
-    Rows link where labels are equal and not null and the cosine is ``least`` or more; a vector that is null, zero,
-    of odd length or holds null or non-finite components links with nothing. Rows that repeat a vec_id are vectors of
-    their own when links are counted and share that id's component. A null vec_id is its own component with null id.
-    ``sample`` bounds the rows on which the cells are fitted; the largest (label, cell) is dealt out in pairs of blocks.
+    Rows link where labels are equal and not null and the cosine is ``least`` or more; a vector that is null, zero
+    or holds null or non-finite components links with nothing, vectors of different length never with each other. Rows
+    that repeat a vec_id are vectors of their own when links are counted and share that id's component. A null vec_id is
+    its own component with null id. Extra columns are left out, an empty table gives an empty one. ``sample`` bounds the
+    rows on which the cells are fitted, for the commonest length among them; vectors of any other length have one cell.
+    The largest (label, cell) is dealt out in pairs of blocks.
     """
     src = vectors.select(
         F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding")
@@ -76,33 +78,34 @@ def near_duplicates(
     n = usable.count()
     share = min(1.0, sample / max(n, 1))
     chosen = usable.where(unit_hash("cells", F.col("vec_id")) < share).orderBy("vec_id", "row").limit(2 * sample).select("embedding").toArrow()
-    x = unit_rows(chosen.column(0).combine_chunks())[1] if n else np.zeros((0, 1))
+    x = max((u for _, _, u in unit_rows(chosen.column(0).combine_chunks())), key=len, default=np.zeros((0, 1)))
     centres = spherical_kmeans(x, max(1, min(4096, n // per_cell))) if len(x) else np.zeros((1, 1))
     gaps = np.sqrt(np.maximum(0.0, 2 - 2 * centres @ centres.T)) * np.sqrt(2 - 2 * least) / 2 + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = centres.shape[1]
         for batch in batches:
-            good, unit = unit_rows(batch.column(3))
-            if unit.shape[1] != width:
-                continue
-            scores = unit @ centres.T
-            home = np.argmax(scores, axis=1)
-            near = scores[np.arange(len(home)), home][:, None] - scores <= gaps[home]
-            kept = batch.filter(pa.array(good))
-            cells = [np.flatnonzero(r).astype(np.int32) for r in near]
-            columns = [*kept.columns[:3], pa.array(list(unit), pa.list_(pa.float64())), pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "label", "unit", "home", "cells"])
+            for width, at, unit in unit_rows(batch.column(3)):
+                if width == centres.shape[1]:
+                    scores = unit @ centres.T
+                    home = np.argmax(scores, axis=1)
+                    near = scores[np.arange(len(home)), home][:, None] - scores <= gaps[home]
+                    cells = [np.flatnonzero(r).astype(np.int32) for r in near]
+                else:
+                    home, cells = np.zeros(len(at), dtype=np.int32), [np.zeros(1, dtype=np.int32)] * len(at)
+                kept = batch.take(pa.array(at))
+                columns = [*kept.columns[:3], pa.array(np.full(len(at), width), pa.int32()), pa.array(list(unit), pa.list_(pa.float64()))]
+                columns += [pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "label", "width", "unit", "home", "cells"])
 
     kind = usable.schema["label"].dataType.simpleString()
-    placed = written(usable.mapInArrow(tidied(assign), f"row long, vec_id long, label {kind}, unit array<double>, home int, cells array<int>"))
-    sizes = placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("size"))
+    placed = written(usable.mapInArrow(tidied(assign), f"row long, vec_id long, label {kind}, width int, unit array<double>, home int, cells array<int>"))
+    sizes = placed.select("label", "width", F.explode("cells").alias("cell")).groupBy("label", "width", "cell").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size")
-    dealt = placed.withColumn("cell", F.explode("cells")).join(sizes, ["label", "cell"])
+    dealt = placed.withColumn("cell", F.explode("cells")).join(sizes, ["label", "width", "cell"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
-    links = written(dealt.groupBy("label", "cell", "lo", "hi").applyInPandas(_compare(least), "a long, b long, row long, links long"))
+    links = written(dealt.groupBy("label", "width", "cell", "lo", "hi").applyInPandas(_compare(least), "a long, b long, row long, links long"))
     counts = links.where("row is not null").groupBy("row").agg(F.sum("links").alias("n_links"))
     groups = components(links.where("a is not null").select("a", "b"))
     rows = src.select("row", "vec_id").join(counts, "row", "left").join(groups, F.col("vec_id") == F.col("node"), "left")
