@@ -124,7 +124,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", toxic: str = "toxic", support: int = 5, ratio: float = 8.0, entries: int = 5000, most: int = 12_000,
+    labelled: DataFrame, text: str = "text", toxic: str = "toxic", support: int = 5, ratio: float = 8.0, most: int = 12_000,
     weight: str | None = None,
 ) -> Lexicon:
     """A lexicon from labelled rows, of which at most about ``most`` are used (by hash, half of them toxic where there
@@ -133,7 +133,8 @@ def fit(
 
     An entry stands in at least ``support`` toxic documents and is at least ``ratio`` times likelier there. A beginning
     counts longer words only and needs three of them. Words that a beginning would match although clean texts have
-    them as often become exceptions. At most ``entries`` of each kind, the surest first, come to the driver.
+    them as often become exceptions. All entries come to the driver; their number is bounded by the ``most`` rows used.
+    Repeated rows count as often as they stand, empty tables give an empty lexicon.
     """
     rows = labelled.select(F.col(text).alias("text"), (F.col(toxic) > 0).alias("toxic"), (F.col(weight) if weight else F.lit(1.0)).alias("weight")).where("toxic is not null")
     rows = written(rows)
@@ -152,23 +153,17 @@ def fit(
     t_all, c_all = total.get(True, 0) + 1.0, total.get(False, 0) + 1.0
     odds = F.log(((F.col("toxic") + 0.5) / t_all) / ((F.col("clean") + 0.5) / c_all))
 
-    def surest(df: DataFrame) -> list:
-        df = df.where(F.col("toxic") >= support).withColumn("weight", odds).where(F.col("weight") >= math.log(ratio))
-        return df.orderBy((F.col("weight") * F.sqrt("toxic")).desc(), df.columns[0]).limit(entries).collect()
-
-    lexicon = {r["word"]: r["weight"] for r in surest(words.where("length(word) > 2"))}
-    stems = words.select(F.explode(F.sequence(F.lit(4), F.lit(8))).alias("n"), "word", "toxic", "clean").where("length(word) > n")
-    stems = stems.groupBy(F.expr("substring(word, 1, n)").alias("stem"))
-    stems = stems.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("kinds"))
-    beginnings = {r["stem"]: r["weight"] for r in surest(stems.where("kinds >= 3"))}
-    spared: set[str] = set()
-    if beginnings:
-        heads = [F.substring("word", 1, n).isin(sorted(s for s in beginnings if len(s) == n)) for n in range(4, 9) if any(len(s) == n for s in beginnings)]
-        inside = heads[0]
-        for h in heads[1:]:
-            inside = inside | h
-        known = words.where(inside & (F.col("clean") >= support) & (odds <= math.log(2)))
-        spared = {r["word"] for r in known.orderBy(F.col("clean").desc(), "word").limit(entries).collect()}
+    def sure(df: DataFrame) -> DataFrame:
+        return df.where(F.col("toxic") >= support).withColumn("weight", odds).where(F.col("weight") >= math.log(ratio))
+
+    lexicon = {r["word"]: r["weight"] for r in sure(words.where("length(word) > 2")).select("word", "weight").collect()}
+    parts = words.select("word", "toxic", "clean", F.explode(F.sequence(F.lit(4), F.lit(8))).alias("n")).where("length(word) > n")
+    parts = parts.withColumn("stem", F.expr("substring(word, 1, n)"))
+    stems = parts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("kinds"))
+    heads = written(sure(stems.where("kinds >= 3")).select("stem", "weight"))
+    beginnings = {r["stem"]: r["weight"] for r in heads.collect()}
+    known = parts.where((F.col("clean") >= support) & (odds <= math.log(2))).join(heads, "stem", "left_semi")
+    spared = {r["word"] for r in known.select("word").distinct().collect()}
     found = Lexicon(lexicon, beginnings, frozenset(spared - set(lexicon)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +194,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def with_score(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1, computed in place; null and empty texts score as no words, a column of the
-    same name is replaced."""
+    """``docs`` with a score from 0 to 1, computed in place row by row; null and empty texts score as no words, repeated
+    rows alike, a column of the same name is replaced and all others stay; an empty table gives an empty one."""
     docs = docs.drop(score)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"])
 
