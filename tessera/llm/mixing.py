@@ -44,12 +44,14 @@ def source_targets(
 def with_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **targets
 ) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies.
+    """``docs`` with _size, _source_size, _target and _copies; columns of these names (and _source, _rate) are replaced.
 
     The per-source table is joined without a hint: Spark broadcasts it where its measured size allows and
     otherwise joins by key, splitting a hot source. Equal ids draw alike; a null id draws as the word null;
-    null text has size 0. Extra columns stay as they are.
+    null text has size 0, repeated rows are documents of their own. Extra columns stay as they are, an empty table gives
+    an empty one.
     """
+    docs = docs.drop("_size", "_source_size", "_target", "_copies", "_source", "_rate")
     sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     per = source_targets(sized, **targets).select(
         F.col("source").alias("_source"),
@@ -63,10 +65,13 @@ def with_copies(
     return joined.withColumn("_copies", whole + extra).drop("_source", "_rate")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves: every document as often as it is taken, columns as given."""
-    copies = with_copies(docs, **options).where("_copies > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mixed rows themselves: every document as often as it is taken, all columns as given, whatever their names."""
+    rest = [c for c in docs.columns if c != text]
+    inner = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), F.struct(*rest).alias("rest"))
+    copies = with_copies(inner, **options).where("_copies > 0")
+    copies = copies.select("text", "rest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    return copies.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import spread
 
@@ -176,15 +177,15 @@ def shingle_hashes(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int,
 
 
 def with_content(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _content, the hash of the A-Z lower-cased words, computed in place; null text counts as empty."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_content long"])
+    """``docs`` with content, the hash of the A-Z lower-cased words, computed in place; null text counts as empty."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("content", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             found = [xxhash.xxh64_intdigest(b" ".join((v.as_py() or "").encode().lower().split()), 42) for v in texts]
             hashes = pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "_content"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "content"])
 
     return docs.mapInArrow(tidied(run), schema)
 
@@ -367,17 +368,22 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row of each group of linked documents: that of the smallest id (a null id last; of repeated ids any one row).
 
     Documents with the same words are copies, those without words included. Others link where their sets of five-word
-    shingles have the given Jaccard similarity or more: all such pairs, and only those. Columns stay as they are.
+    shingles have the given Jaccard similarity or more: all such pairs, and only those. Columns stay as they are,
+    whatever their names; an empty table gives an empty one.
     """
-    rows = written(with_content(docs, text).withColumn("_row", F.monotonically_increasing_id()))
-    groups = similar_links(rows.select(F.col("_content").alias("content"), F.col(text).alias("text"), F.col("_row").alias("row")), similarity)
-    named = rows.select(F.col("_content").alias("content"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    # The other columns travel as one, so that no name can clash.
+    rest = [c for c in docs.columns if c != text]
+    inner = docs.select(F.col(text).alias("text"), F.struct(*rest).alias("rest"))
+    rows = written(with_content(inner).withColumn("row", F.monotonically_increasing_id()))
+    groups = similar_links(rows.select("content", "text", "row"), similarity)
+    named = rows.select("content", F.col("rest").getField(doc_id).alias("id"), "row")
     named = named.join(groups, F.col("content") == F.col("node"), "left").select(F.coalesce("root", "content").alias("root"), "id", "row")
     named = written(named)
     order = F.struct(F.col("id").isNull(), "id", "row")
     first = written(named.groupBy("root").agg(F.min(order).getField("row").alias("first")))
-    gone = named.join(first, "root").where("row <> first").select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = named.join(first, "root").where("row <> first").select("row")
+    kept = rows.join(gone, "row", "left_anti")
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

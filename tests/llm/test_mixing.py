@@ -42,6 +42,9 @@ def test_mix_repeats_whole_rows(spark, odd, none):
     assert total == sum(by.values())
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(odd.repartition(5)).collect()))
     assert mixing.mix(none).count() == 0
+    named = odd.withColumns({c: F.lit(c) for c in ("_size", "_rate", "_source", "_copies", "_copy", "rest", "a.b")})
+    again = mixing.mix(named)
+    assert again.columns == named.columns and sorted(map(str, again.select(*odd.columns).collect())) == sorted(map(str, mixed.collect()))
 
 
 def test_many_documents_come_near_their_target(spark):
