@@ -31,11 +31,22 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def png_encode(samples: np.ndarray, filters: int | np.ndarray = 0, level: int = 6) -> bytes:
-    """PNG bytes of (height, width) or (height, width, channels) uint8 samples; ``filters`` holds 0 to 4, one or by row."""
+def chosen_filters(rows: np.ndarray, c: int = 1) -> np.ndarray:
+    """For each row none (0), left (1) or up (2): the one whose residues, as signed bytes, have the smallest absolute sum."""
+    left, up = rows.copy(), rows.copy()
+    left[:, c:] -= rows[:, :-c]
+    up[1:] -= rows[:-1]
+    sums = [np.abs(x.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for x in (rows, left, up)]
+    return np.argmin(sums, axis=0).astype(np.uint8)
+
+
+def png_encode(samples: np.ndarray, filters: int | np.ndarray | None = None, level: int = 6) -> bytes:
+    """PNG bytes of (height, width) or (height, width, channels) uint8 samples; ``filters`` holds 0 to 4, one or by row,
+    or is chosen by row."""
     h, w = samples.shape[:2]
     c = samples.shape[2] if samples.ndim == 3 else 1
     rows = np.ascontiguousarray(samples).reshape(h, w * c)
+    filters = chosen_filters(rows, c) if filters is None else filters
     kinds = np.broadcast_to(np.asarray(filters, dtype=np.uint8), (h,))
     raw = np.empty((h, w * c + 1), dtype=np.uint8)
     raw[:, 0] = kinds
@@ -103,31 +114,39 @@ def png_decode(data: bytes) -> np.ndarray:
 
 
 def _unfilter(raw: np.ndarray, c: int) -> np.ndarray:
-    """Samples of filtered rows: sums along the row or down the column for runs of rows, else pixel by pixel."""
+    """Samples of filtered rows.
+
+    Without average and Paeth rows: sums along the left-filtered rows, then sums down each run of up-filtered ones. With
+    them, pixels that stand on one anti-diagonal need only those of the two before it, so each is undone at once.
+    """
     kinds, out = raw[:, 0], raw[:, 1:].copy()
     if not kinds.any():
         return out
     if kinds.max() > 4:
         raise ValueError("unknown filter")
     h, n = out.shape
-    starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-    for lo, hi in zip(starts, np.r_[starts[1:], h], strict=True):
-        kind = kinds[lo]
-        if kind == 1:
-            out[lo:hi] = np.cumsum(out[lo:hi].reshape(hi - lo, n // c, c), axis=1, dtype=np.uint8).reshape(hi - lo, n)
-        elif kind == 2:
-            if lo:
-                out[lo] += out[lo - 1]
-            out[lo:hi] = np.cumsum(out[lo:hi], axis=0, dtype=np.uint8)
-        elif kind > 2:
-            zero = np.zeros(c, dtype=np.uint8)
-            for y in range(lo, hi):
-                above = out[y - 1] if y else np.zeros(n, dtype=np.uint8)
-                for x in range(0, n, c):
-                    left = out[y, x - c : x] if x else zero
-                    corner = above[x - c : x] if x else zero
-                    out[y, x : x + c] += _predict(int(kind), left, above[x : x + c], corner)
-    return out
+    if kinds.max() <= 2:
+        left, up = kinds == 1, kinds == 2
+        if left.any():
+            out[left] = np.cumsum(out[left].reshape(-1, n // c, c), axis=1, dtype=np.uint8).reshape(-1, n)
+        if up.any():
+            # Sums modulo 256 down the whole column; what they were at a run's start is taken back.
+            sums = np.cumsum(np.where(up[:, None], out, 0), axis=0, dtype=np.uint8)
+            base = np.maximum.accumulate(np.where(up, -1, np.arange(h)))
+            start = np.where((base >= 0)[:, None], out[base] - sums[base], 0).astype(np.uint8)
+            out = np.where(up[:, None], start + sums, out)
+        return out
+    grid = np.zeros((h + 1, n // c + 1, c), dtype=np.uint8)
+    grid[1:, 1:] = out.reshape(h, n // c, c)
+    for d in range(h + n // c - 1):
+        y = np.arange(max(0, d - n // c + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner, kind = grid[y + 1, x], grid[y, x + 1], grid[y, x], kinds[y]
+        for k in range(1, 5):
+            at = np.flatnonzero(kind == k)
+            if len(at):
+                grid[y[at] + 1, x[at] + 1] += _predict(k, left[at], up[at], corner[at])
+    return grid[1:, 1:].reshape(h, n)
 
 
 def _basis(size: int, low: int) -> np.ndarray:
@@ -161,7 +180,9 @@ def cosine_hash(grey: np.ndarray) -> str:
 def to_png(df: DataFrame, text: str = "text", media: str = "media", width: int = WIDTH, level: int = 6) -> DataFrame:
     """``df`` without its text but with ``media``: the text's UTF-8 bytes, zero-filled to whole rows, as a PNG.
 
-    Null and empty texts make one row of zeros. Runs in place, batch by batch, without a shuffle.
+    Each row is filtered by none, left or up. Null and empty texts make one row of zeros, repeated rows and equal texts
+    give equal images, other columns stay as they are, an empty table gives an empty one. Runs in place, batch by batch,
+    without a shuffle.
     """
     rest = [c for c in df.columns if c not in (text, media)]
     src = df.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(media))
@@ -184,7 +205,8 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature
 
 def png_features(df: DataFrame, media: str = "media", tail: int = 64) -> DataFrame:
     """``df`` with what is read back from the stored images: size and SHA-256 of the samples, CRC-32 of the last
-    ``tail`` of them, and the cosine hash. A null image gives nulls; a damaged one fails the task."""
+    ``tail`` of them, and the cosine hash. A null image gives nulls; a damaged one fails the task. Columns of these
+    names must not be there before."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
