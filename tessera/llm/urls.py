@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,9 +34,23 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+#: Public suffixes of two labels under which names are registered, as far as this list goes.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr",
+    "co.in", "co.kr", "co.za", "com.ar", "com.tw",
+)
+IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
+
+
+def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, its port left out: the suffix is the last label, or the last two where they
+    are one of ``suffixes``; the domain has one label more. An address in numbers (or in brackets) is its own domain and suffix."""
+    name = F.regexp_replace(host, r":\d*$", "")
+    whole = name.rlike(IPV4) | name.startswith("[")
+    longer = F.substring_index(name, ".", -2).isin(*suffixes)
+    suffix = F.when(whole, name).when(longer, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(whole, name).when(longer, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return domain, suffix
 
 
 def _strength(level: DataFrame) -> float:
@@ -58,14 +72,15 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, D
     """
     hosts = outcomes.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    # Written once: outcomes are not read again for each level and each moment.
+    hosts = written(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     base = ((total["k"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
     top = _strength(suffixes.withColumn("m", F.lit(base)))
     suffixes = suffixes.select("suffix", ((F.lit(top * base) + F.col("k")) / (F.lit(top) + F.col("n"))).alias("suffix_mean"))
-    domains = domains.join(suffixes, "suffix")
+    domains = written(domains.join(suffixes, "suffix"))
     mid = _strength(domains.withColumn("m", F.col("suffix_mean")))
     domains = domains.select("domain", ((F.lit(mid) * F.col("suffix_mean") + F.col("k")) / (F.lit(mid) + F.col("n"))).alias("domain_mean"))
     hosts = hosts.join(domains, "domain")
@@ -86,7 +101,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules=R
 
     ``outcomes`` are (url, good). Hosts, not pages, are joined to the reputation tables; pages then join their
     host's bound by key, where Spark splits a hot host. An unseen host has its domain's mean, an unseen domain its
-    suffix's, an unseen suffix the overall mean. Columns of these names in ``pages`` are replaced.
+    suffix's, an unseen suffix the overall mean. Columns of these names in ``pages`` are replaced; repeated rows are
+    judged alike, an empty table gives an empty one.
     """
     host, path = host_and_path(F.col(url))
     seen = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), F.col("good").cast("long").alias("good"))
@@ -124,11 +140,20 @@ WITH parts AS (
          WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix
+    regexp_replace(host, ':[0-9]*$', '') AS name
   FROM judged
+), named AS (
+  SELECT *, regexp_matches(name, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') OR starts_with(name, '[') AS whole,
+    list_aggregate(string_split(name, '.')[-2:], 'string_agg', '.') IN ({suffixes}) AS longer FROM ruled
+), levels AS (
+  SELECT page_id, host, path, rule,
+    CASE WHEN whole THEN name WHEN longer THEN list_aggregate(string_split(name, '.')[-3:], 'string_agg', '.')
+         ELSE list_aggregate(string_split(name, '.')[-2:], 'string_agg', '.') END AS domain,
+    CASE WHEN whole THEN name WHEN longer THEN list_aggregate(string_split(name, '.')[-2:], 'string_agg', '.')
+         ELSE string_split(name, '.')[-1] END AS suffix FROM named
 ), h AS (
   SELECT host, domain, suffix, COUNT(*)::DOUBLE AS n, SUM(quality)::DOUBLE AS k
-  FROM ruled JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY ALL
+  FROM levels JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY ALL
 ), d AS (SELECT domain, suffix, SUM(n) AS n, SUM(k) AS k FROM h GROUP BY ALL
 ), s AS (SELECT suffix, SUM(n) AS n, SUM(k) AS k FROM d GROUP BY ALL
 ), g AS (SELECT (SUM(k) + 1.0::DOUBLE) / (SUM(n) + 2.0::DOUBLE) AS base FROM s
@@ -143,14 +168,14 @@ WITH parts AS (
 ), rh AS (SELECT SUM(pow(k - n * m, 2) - n * m * (1 - m)) / SUM(n * m * (1 - m) * (n - 1)) AS rho FROM hm
 ), kh AS (SELECT round(1 / LEAST(GREATEST(rho, 0.001::DOUBLE), 0.9::DOUBLE) - 1, 4) AS v FROM rh
 ), post AS (
-  SELECT page_id, ruled.host, path, rule,
+  SELECT page_id, levels.host, path, rule,
     v * COALESCE(domain_mean, suffix_mean, base) + COALESCE(k, 0) AS a,
     v * (1 - COALESCE(domain_mean, suffix_mean, base)) + COALESCE(n, 0) - COALESCE(k, 0) AS b
-  FROM ruled LEFT JOIN (SELECT host, n, k FROM h) hh ON ruled.host = hh.host
-    LEFT JOIN dm ON ruled.domain = dm.domain LEFT JOIN sm ON ruled.suffix = sm.suffix, g, kh
+  FROM levels LEFT JOIN (SELECT host, n, k FROM h) hh ON levels.host = hh.host
+    LEFT JOIN dm ON levels.domain = dm.domain LEFT JOIN sm ON levels.suffix = sm.suffix, g, kh
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) >= 0.6 THEN 'allow' ELSE 'block' END AS verdict
 FROM post
-"""
+""".replace("{suffixes}", ", ".join(f"'{s}'" for s in SUFFIXES))

@@ -43,3 +43,13 @@ def test_bound_is_finite(spark, n, k):
 
     value = spark.range(1).select(urls.lower_bound(F.lit(n), F.lit(k), F.lit(0.5), 4.0, 1.645)).first()[0]
     assert -1 < value < 1
+
+
+def test_domains_and_suffixes(spark):
+    hosts = ["a.co.uk", "x.b.co.uk:80", "co.uk", "10.1.2.3", "10.1.2.3:8080", "[::1]:80", "www.a.com", "a.com:", "localhost", ""]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    from pyspark.sql import functions as F
+
+    domain, suffix = urls.domain_and_suffix(F.col("host"))
+    got = [(r[0], r[1]) for r in df.coalesce(1).select(domain, suffix).collect()]
+    assert got == [("a.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("10.1.2.3",) * 2, ("10.1.2.3",) * 2, ("[::1]",) * 2, ("a.com", "com"), ("a.com", "com"), ("localhost",) * 2, ("", "")]
