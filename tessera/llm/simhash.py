@@ -145,23 +145,11 @@ def components_of(prints: DataFrame) -> DataFrame:
     return joined.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
-#: Counters of the sketch that orders shingles; shingles of one task's part of the join.
-CELLS, PART = 1 << 21, 250_000
-
-
-def _majority(x: np.ndarray) -> np.ndarray:
-    """For (n, k) hashes the k words of bits that are set in over half of the n; counts are summed three rows at a time."""
-    n, ones, todo = len(x), np.zeros((x.shape[1], 64), dtype=np.int64), [(1, x)]
-    while todo:
-        weight, rows = todo.pop()
-        while len(rows) > 48:
-            m = len(rows) // 3
-            a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
-            todo.append((2 * weight, (a & b) | (c & (a ^ b))))
-            rows = np.concatenate([a ^ b ^ c, rows[3 * m :]])
-        bits = np.unpackbits(np.ascontiguousarray(rows.astype(">u8")).view(np.uint8).reshape(len(rows), -1, 8), axis=2)
-        ones += weight * bits.reshape(len(rows), -1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1).view(">u8").ravel().astype(np.uint64)
+#: Counters of the sketch that orders shingles; shingles of one task's part of the join; bits that tell which rows to read
+#: (a megabyte at any size of the input); pairs that a task compares at once.
+CELLS, PART, MARKS, PAIRS = 1 << 21, 250_000, 1 << 23, 2_000_000
+#: Parities of a set's hashes by their lowest eight bits, as longs.
+BITS = ["b0", "b1", "b2", "b3"]
 
 
 def shingle_hashes(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
@@ -223,17 +211,29 @@ def least_shared(n, similarity: float):
     return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
+def most_apart(n, m, similarity: float):
+    """Shingles that stand in one of two sets only, at most, if sets of n and m are similar. Parities differ in no more bits."""
+    return (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """256 bits, each whether the set has an odd number of hashes with those lowest eight bits."""
+    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
 def _heads(cells: np.ndarray, similarity: float):
     """The first shingles of each text in the common order, so many that two similar sets have one of them in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, heads = [], []
-            for v in batch.column(1):
+            sizes, heads, bits = [], [], np.zeros((batch.num_rows, 4), dtype=np.int64)
+            for i, v in enumerate(batch.column(1)):
                 h = shingle_hashes((v.as_py() or "").encode())[1]
                 order = np.lexsort((h, cells[_cells(h)]))
                 sizes.append(len(h)), heads.append(h[order[: len(h) - int(least_shared(np.float64(len(h)), similarity)) + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), batch.column(2)], ["content", "n", "head", "row"])
+                bits[i] = parities(h)
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), batch.column(2), *(pa.array(bits[:, k].copy()) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["content", "n", "head", "row", *BITS])
 
     return run
 
@@ -242,10 +242,9 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            heads = [np.frombuffer(v, dtype=np.int64) for v in part.column(2).to_pylist()]
-            count = [len(h) for h in heads]
-            columns = [np.concatenate(heads), np.repeat(part.column(0).to_numpy(), count), np.repeat(part.column(1).to_numpy(), count)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "content", "n"])
+            heads = [np.frombuffer(v, dtype=np.int64) for v in part.column(1).to_pylist()]
+            columns = [np.concatenate(heads), np.repeat(part.column(0).to_numpy(), [len(h) for h in heads])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "content"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
@@ -261,17 +260,18 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.n
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shingles that two contents have, with the least content of each and its size."""
+    """Rows of shingles that two contents have, with the least content of each."""
     found = _gathered(batches)
     if found:
         columns, first, size = found
-        keep, pivot = np.repeat(size > 1, size), np.repeat(first, size)
-        columns += [columns[1][pivot], columns[2][pivot]]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "content", "n", "pivot", "pivot_n"])
+        keep = np.repeat(size > 1, size)
+        columns.append(columns[1][np.repeat(first, size)])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "content", "pivot"])
 
 
-def _apart(similarity: float, bucket: int):
-    """Pairs of contents of different labels that share a shingle, each once a flush; sizes too different are left out."""
+def _apart(similarity: float):
+    """Pairs of contents of different labels that share a shingle, each once a flush, but for those that sizes or parities
+    tell to be unlike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, out, held = _gathered(batches), [], 0
@@ -281,16 +281,19 @@ def _apart(similarity: float, bucket: int):
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for first, size in zip(*found[1:], strict=True) if found else ():
-            content, n, label = (c[first : first + size] for c in found[0][1:])
+            content, n, label, *bits = (c[first : first + size] for c in found[0][1:])
             kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
             if len(kinds) == 1:
                 continue
             # Every pair has an end outside the largest label.
             others = np.flatnonzero(which != count.argmax())
-            for at in range(0, len(others), bucket):
-                i = others[at : at + bucket]
-                near = np.minimum(n[i, None], n) >= least_shared(np.maximum(n[i, None], n), similarity)
-                x, y = np.nonzero(near & (label[i, None] != label))
+            step = max(1, PAIRS // int(size))
+            for at in range(0, len(others), step):
+                i = others[at : at + step]
+                differ = sum(np.bitwise_count((b[i, None] ^ b).view(np.uint64)).astype(np.int16) for b in bits)
+                near = (label[i, None] != label) & (differ <= most_apart(n[i, None], n, similarity))
+                near &= np.minimum(n[i, None], n) >= least_shared(np.maximum(n[i, None], n), similarity)
+                x, y = np.nonzero(near)
                 x = i[x]
                 out.append(np.stack([np.minimum(content[x], content[y]), np.maximum(content[x], content[y])], axis=1))
                 held += len(x)
@@ -325,41 +328,81 @@ def _settled(similarity: float):
     return run
 
 
+def _marked(ends: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashes of the rows of ends: rows that it does not hold need not be read."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, dtype=bool)
+        for batch in batches:
+            bits[_place(batch.column(0).to_numpy())] = True
+        blocks = np.packbits(bits).reshape(256, -1)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "bits"])
+
+    def add(pdf):
+        return pdf.head(1).assign(bits=[np.bitwise_or.reduce([np.frombuffer(v, dtype=np.uint8) for v in pdf["bits"]]).tobytes()])
+
+    out = np.zeros((256, MARKS // 8 // 256), dtype=np.uint8)
+    for r in ends.select("row").mapInArrow(tidied(mark), "block int, bits binary").groupBy("block").applyInPandas(add, "block int, bits binary").collect():
+        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
+
+
+def _place(row: np.ndarray) -> np.ndarray:
+    return ((row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
+
+
 def _checked(pairs: DataFrame, rows: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by the exact similarity of their shingle sets; of copies one row is read."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(heads.select("content", "row"), "content")
-    sets = written(rows.select("text", "row").join(ends, "row").select("content", "text").mapInArrow(tidied(_sets), "content long, shingles binary"))
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(heads.select("content", "row"), "content"))
+    marks = _marked(ends)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marks[_place(batch.column(1).to_numpy())]))
+
+    wanted = rows.select("text", "row").mapInArrow(tidied(read), "text string, row long")
+    sets = written(wanted.join(ends, "row").select("content", "text").mapInArrow(tidied(_sets), "content long, shingles binary"))
     of = lambda name: sets.select(F.col("content").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
     both = written(both.mapInArrow(tidied(_settled(similarity)), "a long, b long"))
-    removed(sets)
+    removed(ends, sets)
     return both
 
 
-def similar_links(rows: DataFrame, similarity: float, sample: int = 4, bucket: int = BUCKET) -> DataFrame:
+def similar_links(rows: DataFrame, similarity: float, sample: int = 4) -> DataFrame:
     """(node, root): contents of rows (content, text, row: unique) with the least one that similar pairs reach.
 
     Complete and exact: two sets of Jaccard similarity s or more share a shingle among the first n - ceil(s n) + 1 of each
-    in any common order (rare ones first here), and every pair that does is settled by the sets themselves. Contents of a
-    shingle are linked to one of them first; then all pairs of a shingle that still lie apart are compared.
+    in any common order (rare ones first here), and every pair that does is settled by the sets themselves, unless sizes or
+    parities already tell that it is unlike. Contents of a shingle are linked to one of them first; then all pairs of a
+    shingle that still lie apart are compared.
     """
     cells = frequencies(rows, sample)
-    heads = rows.select("content", "text", "row").mapInArrow(tidied(_heads(cells, similarity)), "content long, n int, head binary, row long")
-    heads = written(heads.groupBy("content").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("row").alias("row")))
+    fields = f"content long, n int, head binary, row long, {', '.join(f'{b} long' for b in BITS)}"
+    heads = rows.select("content", "text", "row").mapInArrow(tidied(_heads(cells, similarity)), fields)
+    heads = heads.groupBy("content").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "head", *BITS)])
+    heads = written(heads)
     total = heads.agg(F.sum(F.length("head") / 8)).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // PART) + 1)
-    shingles = heads.select("content", "n", "head").mapInArrow(tidied(_exploded), "shingle long, content long, n int").repartition(parts, "shingle")
-    met = written(shingles.mapInArrow(tidied(_met), "shingle long, content long, n int, pivot long, pivot_n int"))
-    close = F.least("n", "pivot_n") >= F.ceil(similarity * F.greatest("n", "pivot_n") - 1e-9)
-    pairs = written(met.where(close & (F.col("pivot") != F.col("content"))).select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct())
+    shingles = heads.select("content", "head").mapInArrow(tidied(_exploded), "shingle long, content long").repartition(parts, "shingle")
+    met = written(shingles.mapInArrow(tidied(_met), "shingle long, content long, pivot long"))
+    sketch = heads.select("content", "n", *BITS)
+    pairs = met.where("pivot <> content").select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sketch.select([F.col(c).alias(end if c == "content" else f"{end}_{c}") for c in sketch.columns]), end)
+    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+    close = F.least("a_n", "b_n") >= F.ceil(similarity * F.greatest("a_n", "b_n") - 1e-9)
+    pairs = written(pairs.where(close & (differ <= most_apart(F.col("a_n"), F.col("b_n"), similarity))).select("a", "b"))
     begun = _checked(pairs, rows, heads, similarity)
     labels = written(components(begun))
     label = F.coalesce("root", "content").alias("label")
-    apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", "n", label).repartition(parts, "shingle")
-    apart = apart.mapInArrow(tidied(_apart(similarity, bucket)), "a long, b long").distinct()
+    apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", label)
+    apart = apart.join(sketch, "content").select("shingle", "content", "n", "label", *BITS).repartition(parts, "shingle")
+    apart = apart.mapInArrow(tidied(_apart(similarity)), "a long, b long").distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"))
     further = _checked(apart, rows, heads, similarity)
-    groups = components(begun.unionByName(further))
+    groups = written(components(begun.unionByName(further)))
     removed(heads, met, pairs, begun, labels, apart, further)
     return groups
 
