@@ -201,7 +201,7 @@ def parse_scorer_log(lines: DataFrame) -> DataFrame:
     """(matched, found, gold, precision, recall, f1) from lines (value) with ``Total: m / f / g``; numbers are summed."""
     number = r"([0-9]+(?:\.[0-9]+)?)"
     pattern = rf"Total:\s*{number}\s*/\s*{number}\s*/\s*{number}"
-    rows = lines.where(F.col("value").rlike(pattern)).select(*[F.regexp_extract("value", pattern, i + 1).cast("double").alias(n) for i, n in enumerate(("matched", "found", "gold"))])
+    rows = lines.where(F.col("value").rlike(pattern)).select(*[F.regexp_extract("value", pattern, i + 1).try_cast("double").alias(n) for i, n in enumerate(("matched", "found", "gold"))])
     sums = rows.agg(*[F.sum(n).alias(n) for n in ("matched", "found", "gold")])
     precision, recall, f1 = prf(F.col("matched"), F.col("found"), F.col("gold"))
     return sums.select("*", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))

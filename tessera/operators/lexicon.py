@@ -122,13 +122,17 @@ def route_pos(words: DataFrame, counts: DataFrame) -> DataFrame:
     return words.join(counts, "word", "left").select("word", F.when(F.col("adj").isNull(), unseen).otherwise(seen).alias("routes"))
 
 
-def index_strings(df: DataFrame, column: str) -> DataFrame:
-    """(value, idx): distinct strings numbered from 0 in their own order.
+def index_strings(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """(value, idx): distinct strings numbered from 0 as they are first seen in the order of a column, else in their own
+    order.
 
     Numbers come from a range partitioning and each partition's offset, not from one task over all strings.
     """
-    distinct = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return number(distinct, "value", 0)
+    rows = df.where(F.col(column).isNotNull())
+    if order is None:
+        return number(rows.select(F.col(column).alias("value")).distinct(), "value", 0)
+    first = rows.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_first"))
+    return number(first.select("value", F.struct("_first", "value").alias("_place")), "_place", 0).drop("_place")
 
 
 def number(df: DataFrame, by: str, start: int) -> DataFrame:

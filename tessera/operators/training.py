@@ -65,6 +65,23 @@ def softmax_loss_grad(events: DataFrame, weights: DataFrame, margin: float = 0.0
     return loss, grad.groupBy("idx").agg(F.sum(F.col("value") * F.col("share")).alias("grad"))
 
 
+def argument_loss_grad(rows: DataFrame, indexed: DataFrame, weights: DataFrame, l2: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """One row (loss) and (idx, grad) of the argument model: a softmax over the spans of each role of each instance.
+
+    ``rows`` are (inst, role, start, stop, is_gold), ``indexed`` their features (idx); the bias is feature 0 of every span.
+    The penalty l2 |w|^2 is shared by the number of roles that are decided.
+    """
+    inst, cand = F.struct("inst", "role").alias("inst"), F.struct("start", "stop").alias("cand")
+    known = indexed.where("idx <> 0").join(rows, ["inst", "role", "start", "stop"]).select(inst, cand, "idx", F.lit(1.0).alias("value"), F.col("is_gold").alias("gold"))
+    bias = rows.select(inst, cand, F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("value"), F.col("is_gold").alias("gold"))
+    loss, grad = softmax_loss_grad(known.unionByName(bias), weights)
+    n = rows.select("inst", "role").distinct().agg(F.count("*").alias("n"))
+    penalty = weights.agg((l2 * F.sum(F.col("weight") * F.col("weight"))).alias("penalty"))
+    loss = loss.crossJoin(penalty).crossJoin(n).select((F.col("loss") + F.coalesce("penalty", F.lit(0.0)) / F.col("n")).alias("loss"))
+    pulled = grad.join(weights, "idx", "full_outer").crossJoin(n)
+    return loss, pulled.select("idx", (F.coalesce("grad", F.lit(0.0)) + 2 * l2 * F.coalesce("weight", F.lit(0.0)) / F.col("n")).alias("grad"))
+
+
 def latent_loss_grad(events: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for events with a hidden ``unit`` inside each candidate: sums of exponentials over units; the gradient is
     the posterior over all less that within the gold candidate."""

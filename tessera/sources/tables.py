@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 
 def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(line, name): lines of one file with their number; RDD numbering, as a line's place is not in its row."""
-    rows = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    return rows.toDF(f"{name} string, line long")
+    """(line, name): lines of the files of a path, in order of file names and places, numbered from 0."""
+    from tessera.operators.lexicon import number
+
+    # Within one stretch of a file rows come in order, which the growing id keeps.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.text(path).select(F.col("value").alias(name), place.alias("place"))
+    return number(rows, "place", 0).select(F.col("idx").cast("long").alias("line"), name)
 
 
 def read_cost_matrix(spark: SparkSession, path: str) -> DataFrame:
