@@ -9,25 +9,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Links that a walk to the root follows at most; longer chains (or circles) end there.
-DEPTH = 64
-
-
 def with_heads(tokens: DataFrame) -> DataFrame:
     """(sid, heads): the heads of each sentence in token order; ids are taken to be 1 to n."""
     pairs = F.array_sort(F.collect_list(F.struct("id", "head")))
-    return tokens.groupBy("sid").agg(F.transform(pairs, lambda x: x["head"]).alias("heads"))
+    return tokens.groupBy("sid").agg(F.transform(pairs, lambda x: x["head"].cast("int")).alias("heads"))
+
+
+def links_up(heads: Column) -> Column:
+    """Links from each token to the root, for all tokens at once: every round doubles how far each has looked, so that a
+    sentence of n tokens takes log n rounds at any depth. Tokens that never reach the root get n or more."""
+    jump = F.transform(heads, lambda h: F.when(h > 0, h).otherwise(0))
+    start = F.struct(jump.alias("jump"), F.transform(jump, lambda h: F.when(h > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))).alias("links"))
+
+    def further(acc: Column, _: Column) -> Column:
+        at = lambda name, j: F.when(j > 0, F.get(acc[name], j - 1)).otherwise(0)
+        return F.struct(
+            F.transform(acc["jump"], lambda j: at("jump", j)).alias("jump"),
+            F.transform(acc["links"], lambda n, i: n + at("links", F.get(acc["jump"], i))).alias("links"),
+        )
 
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(heads) + 1)).cast("int") + 1)
+    return F.aggregate(rounds, start, further, lambda acc: acc["links"])
 
-def up(heads: Column, start: Column, depth: int = DEPTH) -> Column:
-    """Array of a token and its ancestors, nearest first, without the root's 0."""
+
+def deepest(heads: Column) -> Column:
+    """How many links a walk from any token can take; walks of circles are cut at the sentence's length."""
+    return F.least(F.coalesce(F.array_max(links_up(heads)), F.lit(0)) + 1, F.size(heads)).cast("int")
+
+
+def up(heads: Column, start: Column, deep: Column) -> Column:
+    """Array of a token and its ancestors, nearest first, without the root's 0; ``deep`` bounds the walk (:func:`deepest`)."""
     step = lambda acc, _: F.when(
         F.element_at(acc, -1) > 0, F.concat(acc, F.array(F.get(heads, F.element_at(acc, -1) - 1)))
     ).otherwise(acc)
-    chain = F.aggregate(F.sequence(F.lit(1), F.least(F.size(heads), F.lit(depth))), F.array(start.cast("int")), step)
+    chain = F.aggregate(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), F.array(start.cast("int")), step)
     return F.filter(chain, lambda x: x > 0)
 
 
+def _chains(tokens: DataFrame) -> DataFrame:
+    """(sid, id, chain): every token with itself and its ancestors."""
+    rows = with_heads(tokens).withColumn("deep", deepest(F.col("heads"))).select("sid", "heads", "deep", F.posexplode("heads").alias("pos", "head"))
+    return rows.select("sid", (F.col("pos") + 1).alias("id"), up(F.col("heads"), F.col("pos") + 1, F.col("deep")).alias("chain"))
+
+
 def children(tokens: DataFrame) -> DataFrame:
     """(sid, id, children): each node, 0 for the root, with its children in order."""
     kids = tokens.groupBy("sid", F.col("head").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("children"))
@@ -36,9 +60,7 @@ def children(tokens: DataFrame) -> DataFrame:
 
 def ancestors(tokens: DataFrame) -> DataFrame:
     """(sid, id, ancestor, hops): every token with each of its ancestors; hops count from 1."""
-    chains = with_heads(tokens).select("sid", "heads", F.posexplode("heads").alias("pos", "head"))
-    chain = chains.select("sid", (F.col("pos") + 1).alias("id"), up(F.col("heads"), F.col("pos") + 1).alias("chain"))
-    return chain.select("sid", "id", F.posexplode("chain").alias("hops", "ancestor")).where("hops > 0").select("sid", "id", "ancestor", "hops")
+    return _chains(tokens).select("sid", "id", F.posexplode("chain").alias("hops", "ancestor")).where("hops > 0").select("sid", "id", "ancestor", "hops")
 
 
 def descendants(tokens: DataFrame) -> DataFrame:
@@ -48,8 +70,8 @@ def descendants(tokens: DataFrame) -> DataFrame:
 
 def depth(tokens: DataFrame) -> DataFrame:
     """(sid, id, depth): links to the root; a token whose head is 0 has depth 1."""
-    chains = with_heads(tokens).select("sid", "heads", F.posexplode("heads").alias("pos", "head"))
-    return chains.select("sid", (F.col("pos") + 1).alias("id"), F.size(up(F.col("heads"), F.col("pos") + 1)).alias("depth"))
+    rows = with_heads(tokens).select("sid", F.posexplode(links_up(F.col("heads"))).alias("pos", "links"))
+    return rows.select("sid", (F.col("pos") + 1).alias("id"), (F.col("links") + 1).cast("int").alias("depth"))
 
 
 def constituents(tokens: DataFrame) -> DataFrame:
@@ -116,9 +138,10 @@ def path(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     The walk starts with ``=`` and a's label; ``^`` and a label for each step up, ``!`` and a label for each step down.
     """
     labels = F.transform(F.array_sort(F.collect_list(F.struct("id", "head", "deprel"))), lambda x: x["deprel"])
-    heads = F.transform(F.array_sort(F.collect_list(F.struct("id", "head", "deprel"))), lambda x: x["head"])
+    heads = F.transform(F.array_sort(F.collect_list(F.struct("id", "head", "deprel"))), lambda x: x["head"].cast("int"))
     by = tokens.groupBy("sid").agg(heads.alias("heads"), labels.alias("labels"))
-    both = pairs.join(by, "sid").withColumns({"_a": up(F.col("heads"), F.col("a")), "_b": up(F.col("heads"), F.col("b"))})
+    by = by.withColumn("deep", deepest(F.col("heads")))
+    both = pairs.join(by, "sid").withColumns({"_a": up(F.col("heads"), F.col("a"), F.col("deep")), "_b": up(F.col("heads"), F.col("b"), F.col("deep"))})
     common = F.array_intersect("_a", "_b")
     both = both.withColumn("lca", F.coalesce(F.get(common, F.lit(0)), F.lit(0)))
     label = lambda x: F.coalesce(F.get("labels", x - 1), F.lit("ROOT"))
@@ -152,8 +175,10 @@ def voice(tokens: DataFrame) -> DataFrame:
     be, have = ["be", "am", "is", "are", "was", "were", "been", "being"], ["have", "has", "had", "having"]
     pieces = F.array_sort(F.collect_list(F.struct("id", "head", "postag", F.lower("form").alias("form"))))
     by = tokens.groupBy("sid").agg(pieces.alias("t"))
-    by = by.select("sid", "t", F.transform("t", lambda x: x["head"]).alias("heads"), F.explode("t").alias("x")).where(F.col("x.postag").startswith("V"))
-    chain = F.slice(up(F.col("heads"), F.col("x.id")), 2, DEPTH)
+    by = by.withColumn("heads", F.transform("t", lambda x: x["head"].cast("int"))).withColumn("deep", deepest(F.col("heads")))
+    by = by.select("sid", "t", "heads", "deep", F.explode("t").alias("x")).where(F.col("x.postag").startswith("V"))
+    walk = up(F.col("heads"), F.col("x.id"), F.col("deep"))
+    chain = F.slice(walk, 2, F.size(walk))
     verdict = lambda y: (
         F.when(y["postag"].startswith("NN") | y["form"].isin(be), "PAS").when(y["form"].isin(have), "ACT").when(y["postag"].isin("VBZ", "VBD", "VBP", "MD"), "PAS")
     )
@@ -175,8 +200,7 @@ def match_constituent(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 def ancestry_chains(tokens: DataFrame, k: int) -> DataFrame:
     """(sid, id, chain): each token with up to k nearest ancestors, nearest first."""
-    chains = with_heads(tokens).select("sid", "heads", F.posexplode("heads").alias("pos", "head"))
-    return chains.select("sid", (F.col("pos") + 1).alias("id"), F.slice(up(F.col("heads"), F.col("pos") + 1), 2, k).alias("chain"))
+    return _chains(tokens).select("sid", "id", F.slice("chain", 2, k).alias("chain"))
 
 
 def topological_rank(tokens: DataFrame) -> DataFrame:

@@ -32,24 +32,26 @@ FROM tok JOIN w ON w.w = lower(form) AND w.p IS NOT DISTINCT FROM CASE WHEN post
 
 
 def q_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Relations between parts' words: parts of one brand share a sense, brands of one maker point to each other."""
-    part = read(spark, sf, "part").where("p_partkey <= 400")
+    """Relations between parts' words: parts of one brand, type and size share a sense, senses of one brand point to larger
+    sizes; inflections count too."""
+    part = read(spark, sf, "part").withColumn("p_brand", F.concat_ws("/", "p_brand", "p_type", F.lpad(F.col("p_size").cast("string"), 2, "0")))
     words = part.select(F.concat(F.lit("w"), "p_partkey").alias("word"), "p_brand", "p_size")
     senses = words.select("word", F.col("p_brand").alias("synset"))
     brands = part.select("p_brand").distinct()
-    maker = F.expr("substring(p_brand, 1, length(p_brand) - 1)")
+    maker = F.expr("substring(p_brand, 1, length(p_brand) - 3)")
     other = brands.select(F.col("p_brand").alias("target"), maker.alias("m"))
     pointers = brands.select(F.col("p_brand").alias("synset"), maker.alias("m")).join(other, "m").where("synset < target").select("synset", F.lit("hype").alias("fine"), "target")
     stop = words.where("p_size = 1").select("word").distinct()
     related = lexicon.collapse_relations(lexicon.related_words(words.select("word"), senses, pointers, stop))
-    return related.where("relation <> 'derivation'").groupBy("word", "relation").agg(F.count("*").alias("n"))
+    return related.groupBy("word", "relation").agg(F.count("*").alias("n"))
 
 
 RELATIONS_SQL = """
-WITH p AS (SELECT 'w' || p_partkey AS word, p_brand AS b, p_size FROM part WHERE p_partkey <= 400), q AS (SELECT * FROM p WHERE p_size <> 1)
+WITH p AS (SELECT 'w' || p_partkey AS word, concat_ws('/', p_brand, p_type, lpad(p_size::VARCHAR, 2, '0')) AS b, p_size FROM part), q AS (SELECT * FROM p WHERE p_size <> 1)
 SELECT word, 'identity' AS relation, 1 AS n FROM p
 UNION ALL SELECT q.word, 'synonym', COUNT(*) FROM q JOIN p ON q.b = p.b AND q.word <> p.word GROUP BY ALL
-UNION ALL SELECT q.word, 'hypernym', COUNT(*) FROM q JOIN p ON left(q.b, length(q.b) - 1) = left(p.b, length(p.b) - 1) AND q.b < p.b GROUP BY ALL"""
+UNION ALL SELECT word, 'derivation', 5 FROM q
+UNION ALL SELECT q.word, 'hypernym', COUNT(*) FROM q JOIN p ON left(q.b, length(q.b) - 3) = left(p.b, length(p.b) - 3) AND q.b < p.b GROUP BY ALL"""
 
 
 def q_base_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +112,47 @@ def q_score_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("metric", "numer", "pden", "rden", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+_SCORE = """SELECT '{name}' AS metric, SUM(CASE WHEN g IS NOT NULL AND p IS NOT NULL THEN g ELSE 0 END)::DOUBLE AS numer, SUM(COALESCE(p, 0))::DOUBLE AS pden, SUM(COALESCE(g, 0))::DOUBLE AS rden FROM
+ (SELECT sid, {keys}, MAX({points}) AS g FROM {gold} GROUP BY ALL) gg FULL JOIN (SELECT sid, {keys}, MAX({points}) AS p FROM {pred} GROUP BY ALL) pp USING (sid, {keys})"""
+
+
+def _score_sql() -> str:
+    """The thirteen metrics over the same frames and roles."""
+    plan = [
+        ("targets by span", "t", "1", "gf", "pf"), ("frames with correct targets", "t, frame", "1", "gf", "pf"), ("argument spans with correct targets", "t, a", "1", "ga", "pa"),
+        ("argument spans with correct targets and frames", "t, frame, a", "1", "ga", "pa"), ("arguments, labeled", "t, frame, a, role", "points", "ga", "pa"),
+        ("core arguments, labeled", "t, frame, a, role", "core", "ga", "pa"), ("frames (correct targets only)", "t, frame", "1", "gf SEMI JOIN common USING (sid, t)", "pf SEMI JOIN common USING (sid, t)"),
+        ("argument spans (correct targets only)", "t, a", "1", "ga SEMI JOIN common USING (sid, t)", "pa SEMI JOIN common USING (sid, t)"),
+        ("argument spans (correct targets and frames only)", "t, frame, a", "1", "ga SEMI JOIN exact USING (sid, t, frame)", "pa SEMI JOIN exact USING (sid, t, frame)"),
+        ("arguments, labeled (correct targets and frames only)", "t, frame, a, role", "points", "ga SEMI JOIN exact USING (sid, t, frame)", "pa SEMI JOIN exact USING (sid, t, frame)"),
+        ("core arguments, labeled (correct targets and frames only)", "t, frame, a, role", "core", "ga SEMI JOIN exact USING (sid, t, frame)", "pa SEMI JOIN exact USING (sid, t, frame)"),
+        ("total frames and labeled arguments", "t, frame, a, role", "points", "(SELECT sid, t, frame, -1 AS a, '' AS role, 1.0 AS points FROM gf UNION ALL SELECT sid, t, frame, a, role, points FROM ga) x",
+         "(SELECT sid, t, frame, -1 AS a, '' AS role, 1.0 AS points FROM pf UNION ALL SELECT sid, t, frame, a, role, points FROM pa) x"),
+        ("targets by token", "t", "1", "gf", "pf"),
+    ]
+    rows = " UNION ALL ".join(_SCORE.format(name=n, keys=k, points=w, gold=g, pred=p) for n, k, w, g, p in plan)
+    return f"""WITH tok AS ({ITEM_TOKENS_SQL}), gf AS (SELECT sid, id - 1 AS t, left(postag, 1) AS frame FROM tok WHERE id % 3 = 0),
+pf AS (SELECT sid, id - 1 AS t, CASE WHEN id % 4 = 0 THEN left(postag, 1) ELSE 'X' END AS frame FROM tok WHERE id % 2 = 0), c(frame, role, points) AS (VALUES ('N', 'r0', 1.0), ('V', 'r0', 1.0), ('N', 'r1', 0.5)),
+ga AS (SELECT sid, t, f.frame, t + 1 AS a, 'r' || t % 2 AS role, COALESCE(points, 0.5) AS points, CASE WHEN points >= 1 THEN 1.0 ELSE 0.0 END AS core FROM gf f LEFT JOIN c ON c.frame = f.frame AND c.role = 'r' || t % 2),
+pa AS (SELECT sid, t, f.frame, t + 1 AS a, 'r' || t % 3 AS role, COALESCE(points, 0.5) AS points, CASE WHEN points >= 1 THEN 1.0 ELSE 0.0 END AS core FROM pf f LEFT JOIN c ON c.frame = f.frame AND c.role = 'r' || t % 3),
+common AS (SELECT DISTINCT sid, t FROM gf JOIN pf USING (sid, t)), exact AS (SELECT DISTINCT sid, t, frame FROM gf JOIN pf USING (sid, t, frame)), m AS ({rows})
+SELECT metric, numer, pden, rden, round(numer / pden, 6) AS precision, round(numer / rden, 6) AS recall FROM m"""
+
+
+SCORE_SQL = _score_sql()
+
+
 def q_split_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of each document by rule, with their length in words."""
     rows = read(spark, sf, "documents").select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("place", "sentence"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.size(F.split("sentence", " +"))).alias("longest"))
 
 
+SENTENCES_SQL = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.?!][''")]{0,2})\s+([\p{Lu}\d"''`(])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1)) AS p FROM documents),
+s AS (SELECT doc_id, trim(replace(replace(unnest(p), chr(39) || chr(39), ' ' || chr(39) || chr(39) || ' '), '``', ' `` ')) AS s FROM p)
+SELECT doc_id, COUNT(*) AS sentences, MAX(len(string_split_regex(s, ' +')))::INTEGER AS longest FROM s WHERE s <> '' GROUP BY doc_id"""
+
+
 def q_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     """Items' tokens in no constituent of two to four words, by tag."""
     tokens = item_tokens(read(spark, sf, "benchmark"))
@@ -150,4 +187,4 @@ SELECT sid, (id - 1)::INTEGER AS start, 1 AS n, CASE length(w) % 3 WHEN 0 THEN '
 
 FUNCTIONS = (q_lemmas, q_relations, q_base_features, q_argument_features, q_argument_decode, q_score_sentences, q_split_sentences, q_uncovered, q_turn_tokens, q_kb_lookup)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
-ORACLES = {"q_lemmas": LEMMAS_SQL, "q_relations": RELATIONS_SQL, "q_base_features": BASE_SQL, "q_uncovered": UNCOVERED_SQL, "q_kb_lookup": KB_SQL}
+ORACLES = {"q_lemmas": LEMMAS_SQL, "q_relations": RELATIONS_SQL, "q_base_features": BASE_SQL, "q_uncovered": UNCOVERED_SQL, "q_kb_lookup": KB_SQL, "q_split_sentences": SENTENCES_SQL, "q_score_sentences": SCORE_SQL}

@@ -232,4 +232,6 @@ ORACLES = {
     "q_offsets": OFFSETS_SQL,
     "q_counters": COUNTERS_SQL,
     "q_write_once": ONCE_SQL,
+    "q_counter_pivot": """WITH k AS (SELECT DISTINCT event_type AS k FROM events), u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, event_type AS k, COUNT(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, '{' || string_agg('"' || k || '":' || COALESCE(n, 0), ',' ORDER BY k) || '}' AS counts FROM u CROSS JOIN k LEFT JOIN c USING (user_id, k) GROUP BY user_id""",
 }

@@ -296,3 +296,15 @@ def test_models_from_ml(spark):
     assert acc == {"train": 1.0, "dev": 1.0, "test": 1.0}
     assert training.multinomial_cv(df, ["x"], "label", grid=(0.1, 0.01), folds=2).bestModel.transform(df).where("prediction = label").count() == 40
     assert training.random_forest(df, ["x"], "label", trees=5).transform(df).count() == 40
+
+
+def test_long_chains_and_circles_are_walked_to_the_end(spark):
+    rows = [(1, i, i - 1, "x", "NN", "d") for i in range(1, 301)] + [(2, 1, 2, "x", "NN", "d"), (2, 2, 1, "x", "NN", "d"), (2, 3, 0, "x", "NN", "d"), (3, 1, 0, "x", "NN", "d")]
+    tokens = spark.createDataFrame(rows, "sid int, id int, head int, form string, postag string, deprel string")
+    depth = {(r["sid"], r["id"]): r["depth"] for r in trees.depth(tokens).collect()}
+    assert all(depth[1, i] == i for i in range(1, 301)) and depth[2, 3] == depth[3, 1] == 1 and depth[2, 1] > 3
+    found = trees.ancestors(tokens).where("sid = 1").groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in found} == {i: i - 1 for i in range(2, 301)}
+    spans = {r["id"]: (r["first"], r["last"]) for r in trees.constituents(tokens).where("sid = 1").collect()}
+    assert spans[1] == (1, 300) and spans[299] == (299, 300)
+    assert trees.ancestors(tokens).where("sid = 2").count() < 10
