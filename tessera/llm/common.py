@@ -53,6 +53,11 @@ def removed(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def struct_of(names: list[str]) -> Column:
+    """The columns of these names, whatever signs they hold, as one."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

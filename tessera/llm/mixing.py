@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, unit_hash, word_count
+from .common import struct_of, table, unit_hash, word_count, written
 
 
 def source_targets(
@@ -46,8 +46,8 @@ def with_copies(
 ) -> DataFrame:
     """``docs`` with _size, _source_size, _target and _copies; columns of these names (and _source, _rate) are replaced.
 
-    The per-source table is joined without a hint: Spark broadcasts it where its measured size allows and
-    otherwise joins by key, splitting a hot source. Equal ids draw alike; a null id draws as the word null;
+    The per-source table is written first and joined without a hint: Spark knows its size, broadcasts it where that
+    allows, so that no text is shuffled, and otherwise joins by key, splitting a hot source. Equal ids draw alike; a null id draws as the word null;
     null text has size 0, repeated rows are documents of their own. Extra columns stay as they are, an empty table gives
     an empty one.
     """
@@ -59,6 +59,7 @@ def with_copies(
         F.col("target").alias("_target"),
         F.col("rate").alias("_rate"),
     )
+    per = written(per)
     whole = F.floor("_rate")
     extra = (unit_hash(seed, F.col(doc_id)) < F.col("_rate") - whole).cast("long")
     joined = docs.withColumn("_size", word_count(F.col(text))).join(per, F.col(source).eqNullSafe(F.col("_source")))
@@ -68,7 +69,7 @@ def with_copies(
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed rows themselves: every document as often as it is taken, all columns as given, whatever their names."""
     rest = [c for c in docs.columns if c != text]
-    inner = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), F.struct(*rest).alias("rest"))
+    inner = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), struct_of(rest).alias("rest"))
     copies = with_copies(inner, **options).where("_copies > 0")
     copies = copies.select("text", "rest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
     return copies.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])

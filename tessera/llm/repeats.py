@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tessera.session import spread
 
-from .common import removed, table, tidied, written
+from .common import removed, struct_of, table, tidied, written
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage that counts as repeated (over 50), and of the strings whose hashes own its windows.
@@ -270,7 +270,8 @@ def repeated_ranges(keyed: DataFrame, units: list[Unit], hot: int = HOT, size: i
     wanted = written(kinds.join(open_, "owner").select("owner", "kinds", "n", "one.*"))
     buckets = max(1, -(-wanted.count() // size))
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "unit", "kinds", "n", "first", "last")).alias("parts"))
-    texts = keyed.join(lists, "key").mapInArrow(tidied(_slices(of)), "owner long, unit byte, kinds long, n long, key long, first int, data binary")
+    # Lists are hashed, here as ranges below, so that texts need no sorting.
+    texts = keyed.join(lists.hint("shuffle_hash"), "key").mapInArrow(tidied(_slices(of)), "owner long, unit byte, kinds long, n long, key long, first int, data binary")
     texts = written(texts)
     usual = texts.where(F.col("kinds") <= hot).withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int"))
     edges = usual.select("bucket", "unit", "n", "key", "first", "data").groupBy("bucket", "unit").applyInPandas(_merge(of), "key long, unit byte, start int, stop int")
@@ -386,10 +387,10 @@ def remove_repeats(
     units = [Unit(0, length, gram), *([Unit(1, words, min(WORDS, words))] if words else [])]
     rest = [c for c in docs.columns if c not in (text, "kept", "n_bytes", "n_removed", "n_spans", "n_passage")]
     # The other columns travel as one, so that no name can clash.
-    docs = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("given"), F.struct(*rest).alias("rest"))
+    docs = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("given"), struct_of(rest).alias("rest"))
     least = min([length, *([2 * words - 1] if words else [])])
     ranges = repeated_ranges(docs.select("key", F.col("given").alias("data")).where(F.length("given") >= least), units, **options)
-    joined = docs.join(ranges, "key", "left").select("rest", "given", "ranges")
+    joined = docs.join(ranges.hint("shuffle_hash"), "key", "left").select("rest", "given", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,7 +420,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A document of which nothing is left stays with an empty text, a null text stays null; other columns stay as they are.
     """
     own = [c for c in docs.columns if c != text]
-    inner = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.struct(*own).alias("rest"))
+    inner = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), struct_of(own).alias("rest"))
     out = remove_repeats(inner, as_text=True, **options)
     columns = {text: F.col("kept")}
     if n_chars in own:

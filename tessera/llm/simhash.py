@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.session import spread
 
-from .common import components, removed, table, tidied, written
+from .common import components, removed, struct_of, table, tidied, written
 
 RADIUS = 3
 #: Distinct fingerprints of a bucket that one row holds; larger buckets are cut by further masks.
@@ -345,7 +345,7 @@ def _marked(ends: DataFrame) -> np.ndarray:
     out = np.zeros((256, MARKS // 8 // 256), dtype=np.uint8)
     for r in ends.select("row").mapInArrow(tidied(mark), "block int, bits binary").groupBy("block").applyInPandas(add, "block int, bits binary").collect():
         out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
+    return out.ravel()
 
 
 def _place(row: np.ndarray) -> np.ndarray:
@@ -359,10 +359,12 @@ def _checked(pairs: DataFrame, rows: DataFrame, heads: DataFrame, similarity: fl
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(marks[_place(batch.column(1).to_numpy())]))
+            at = _place(batch.column(1).to_numpy())
+            yield batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
     wanted = rows.select("text", "row").mapInArrow(tidied(read), "text string, row long")
-    sets = written(wanted.join(ends, "row").select("content", "text").mapInArrow(tidied(_sets), "content long, shingles binary"))
+    # Ends are hashed, so that texts need no sorting.
+    sets = written(wanted.join(ends.hint("shuffle_hash"), "row").select("content", "text").mapInArrow(tidied(_sets), "content long, shingles binary"))
     of = lambda name: sets.select(F.col("content").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
     both = written(both.mapInArrow(tidied(_settled(similarity)), "a long, b long"))
@@ -416,7 +418,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     # The other columns travel as one, so that no name can clash.
     rest = [c for c in docs.columns if c != text]
-    inner = docs.select(F.col(text).alias("text"), F.struct(*rest).alias("rest"))
+    inner = docs.select(F.col(text).alias("text"), struct_of(rest).alias("rest"))
     rows = written(with_content(inner).withColumn("row", F.monotonically_increasing_id()))
     groups = similar_links(rows.select("content", "text", "row"), similarity)
     named = rows.select("content", F.col("rest").getField(doc_id).alias("id"), "row")
@@ -425,7 +427,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     order = F.struct(F.col("id").isNull(), "id", "row")
     first = written(named.groupBy("root").agg(F.min(order).getField("row").alias("first")))
     gone = named.join(first, "root").where("row <> first").select("row")
-    kept = rows.join(gone, "row", "left_anti")
+    kept = rows.join(gone.hint("shuffle_hash"), "row", "left_anti")
     return kept.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 

@@ -27,7 +27,7 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str | None = None, keep: int = 300_000):
+    def __init__(self, path: str | None = None, keep: int = 150_000):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
