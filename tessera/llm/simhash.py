@@ -399,8 +399,12 @@ def similar_links(rows: DataFrame, similarity: float, sample: int = 4) -> DataFr
     begun = _checked(pairs, rows, heads, similarity)
     labels = written(components(begun))
     label = F.coalesce("root", "content").alias("label")
-    apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", label)
-    apart = apart.join(sketch, "content").select("shingle", "content", "n", "label", *BITS).repartition(parts, "shingle")
+    # All shingles of one pivot are compared in one task, as like contents share many: each pair then leaves it once. Of a
+    # pivot with many rows shingles are dealt out to several tasks.
+    hot = met.groupBy("pivot").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
+    apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", "pivot", label)
+    apart = apart.join(hot, "pivot", "left").withColumn("part", F.pmod("shingle", F.coalesce("parts", F.lit(1))))
+    apart = apart.join(sketch, "content").repartition(parts, "pivot", "part").select("shingle", "content", "n", "label", *BITS)
     apart = apart.mapInArrow(tidied(_apart(similarity)), "a long, b long").distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"))
     further = _checked(apart, rows, heads, similarity)
