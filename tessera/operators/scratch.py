@@ -16,7 +16,11 @@ def _own_base() -> str:
 
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, gone when the driver ends; where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_base()
     name = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
