@@ -30,7 +30,11 @@ def scratch(spark: SparkSession) -> str:
 
     Only where that setting is absent (tests on one machine) a local folder is set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_base()
     folder = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
