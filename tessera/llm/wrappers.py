@@ -496,7 +496,9 @@ def extract_text(
     usable = src.where("host <> '' and html is not null")
     # One page of each of so many hash classes, so that no host's pages come together.
     chosen = usable.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(MODELS)).alias("part")).agg(F.min("page_id").alias("page_id"))
-    chosen = usable.join(chosen.select("host", "page_id"), ["host", "page_id"]).dropDuplicates(["host", "page_id"]).select("host", "page_id", "html")
+    # Written first: the size of its files is known then, and where it is small Spark need not shuffle html to find it.
+    chosen = written(chosen.select("host", "page_id"))
+    chosen = usable.join(chosen, ["host", "page_id"]).dropDuplicates(["host", "page_id"]).select("host", "page_id", "html")
 
     def build(pdf):
         pdf = pdf.sort_values("page_id")
