@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -435,13 +436,27 @@ class Models:
         return self.held[host]
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with html compressed row by row: half of its bytes as shuffled, and less than a shuffle's own blocks save."""
+    pack = zstandard.ZstdCompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index("html")
+        rows = [pack.compress(v.as_buffer()) if v.is_valid else None for v in batch.column(at)]
+        columns = [pa.array(rows, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def _page(data: bytes | None) -> str | None:
+    return None if data is None else zstandard.decompress(data).decode()
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, node, seen, same, chars): pages with a wrapper's node, with its text, and unmarked characters below it."""
     models = Models(unpacked)
     for batch in batches:
         sums = [Counter(), Counter(), Counter()]
         for host, page, data in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-            tree = parse(page)
+            tree = parse(_page(page))
             pairs = Matching().pairs(tree, models.of(host, data))
             chars, order = {}, _order(tree)
             for node in reversed(order):
@@ -493,6 +508,7 @@ def extract_text(
     empty table gives an empty one. Wrappers join by host: Spark sends small tables to all tasks and splits hot hosts.
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_and_path(F.col(url))[0].alias("host"))
+    kind = src.schema["page_id"].dataType.simpleString()
     usable = src.where("host <> '' and html is not null")
     # One page of each of so many hash classes, so that no host's pages come together.
     chosen = usable.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(MODELS)).alias("part")).agg(F.min("page_id").alias("page_id"))
@@ -505,12 +521,14 @@ def extract_text(
         return pdf.head(1)[["host"]].assign(wrapper=[packed(wrapper(pdf["html"].tolist()))])
 
     wrappers = written(chosen.groupBy("host").applyInPandas(build, "host string, wrapper binary"))
+    # What travels to the wrappers and back is compressed.
+    src = src.mapInArrow(tidied(_zipped), f"page_id {kind}, url string, html binary, host string")
+    usable = src.where("host <> '' and html is not null")
     votes = usable.join(wrappers, "host").select("host", "html", "wrapper").mapInArrow(tidied(_votes), "host string, node int, seen long, same long, chars long")
     votes = votes.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("seen", "same", "chars")])
     # A wrapper has as many nodes as the pages that it is built from.
     votes = votes.groupBy("host").agg(F.collect_list(F.struct("node", "seen", "same", "chars")).alias("votes"))
     joined = src.join(written(wrappers.join(votes, "host")), "host", "left")
-    kind = src.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = Models(lambda data, votes: _elected(data, votes, pages_least, share))
@@ -518,7 +536,7 @@ def extract_text(
             names = batch.schema.names
             texts = []
             for host, page, data, votes in zip(*(batch.column(names.index(n)) for n in ("host", "html", "wrapper", "votes")), strict=True):
-                host, page = host.as_py(), page.as_py()
+                host, page = host.as_py(), _page(page.as_py())
                 if not data.is_valid:
                     texts.append("\n".join(x.text for x in content(parse(page))))
                     continue
