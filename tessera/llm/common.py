@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,9 +58,27 @@ def removed(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def named(name: str) -> Column:
+    """The column of this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def struct_of(names: list[str]) -> Column:
     """The columns of these names, whatever signs they hold, as one."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+    return F.struct(*[named(c) for c in names])
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it; letter case doesn't tell names apart."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def wider(schema: StructType, **fields: str) -> StructType:
+    """``schema`` with further fields of these types."""
+    return StructType([*schema.fields, *(StructField(k, StructType.fromDDL(f"x {v}")[0].dataType) for k, v in fields.items())])
 
 
 def word_count(text: Column) -> Column:
@@ -86,6 +105,19 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return wrapped
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name: they travel under plain ones."""
+    names, plain = df.columns, [f"c{i}" for i in range(max(len(df.columns), len(schema)))]
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain[: batch.num_columns])
+
+    src = df.select(*[named(c).alias(p) for c, p in zip(names, plain)])
+    out = src.mapInArrow(tidied(inner), StructType([StructField(p, f.dataType) for p, f in zip(plain, schema)]))
+    return out.select(*[F.col(p).alias(f.name) for p, f in zip(plain, schema)])
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b: long) with the smallest node that it reaches.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import spread
 
-from .common import table, tidied
+from .common import mapped, named, table, wider
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -185,7 +185,7 @@ def to_png(df: DataFrame, text: str = "text", media: str = "media", width: int =
     without a shuffle.
     """
     rest = [c for c in df.columns if c not in (text, media)]
-    src = df.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(media))
+    src = df.select(*[named(c) for c in rest], F.coalesce(named(text).cast("binary"), F.lit(b"")).alias(media))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,16 +197,16 @@ def to_png(df: DataFrame, text: str = "text", media: str = "media", width: int =
                 out.append(png_encode(np.frombuffer(data, dtype=np.uint8).reshape(-1, width), level=level))
             yield batch.set_column(at, media, pa.array(out, type=pa.binary()))
 
-    return src.mapInArrow(tidied(encode), src.schema)
+    return mapped(src, encode, src.schema)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "feature": "string"}
 
 
 def png_features(df: DataFrame, media: str = "media", tail: int = 64) -> DataFrame:
     """``df`` with what is read back from the stored images: size and SHA-256 of the samples, CRC-32 of the last
     ``tail`` of them, and the cosine hash. A null image gives nulls; a damaged one fails the task. Columns of these
-    names must not be there before."""
+    names must not be there before; repeated rows get equal values."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,11 +220,10 @@ def png_features(df: DataFrame, media: str = "media", tail: int = 64) -> DataFra
                 crc.append(None if grey is None else zlib.crc32(payload[-tail:]))
                 feature.append(None if grey is None else cosine_hash(grey))
             columns = [*batch.columns, pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), pa.array(feature, pa.string())]
-            names = [*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+            names = [*batch.schema.names, *FEATURES]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), FEATURES])
-    return df.mapInArrow(tidied(decode), schema)
+    return mapped(df, decode, wider(df.schema, **FEATURES))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.session import spread
 
-from .common import components, removed, struct_of, table, tidied, written
+from .common import components, mapped, removed, struct_of, table, tidied, wider, written
 
 RADIUS = 3
 #: Distinct fingerprints of a bucket that one row holds; larger buckets are cut by further masks.
@@ -49,7 +49,6 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     """``docs`` with the fingerprint as a signed long; null text counts as empty. Computed in place."""
     docs = docs.drop(name)
     out = docs if keep_text else docs.drop(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{name}` long"])
     names = [*out.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +59,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
             kept = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if keep_text or n != text]
             yield pa.RecordBatch.from_arrays([*kept, signed], names)
 
-    return docs.mapInArrow(tidied(run), schema)
+    return mapped(docs, run, wider(out.schema, **{name: "long"}))
 
 
 def covering_masks(radius: int = RADIUS, free: int = (1 << 64) - 1) -> list[int]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import spread
 
-from .common import table, tidied, unit_hash, written
+from .common import mapped, table, tidied, unit_hash, wider, written
 
 #: Letters of other scripts that look like the Latin letter, and signs used for letters.
 HOMOGLYPHS = {
@@ -197,7 +197,6 @@ def with_score(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str
     """``docs`` with a score from 0 to 1, computed in place row by row; null and empty texts score as no words, repeated
     rows alike, a column of the same name is replaced and all others stay; an empty table gives an empty one."""
     docs = docs.drop(score)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +204,7 @@ def with_score(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str
             values = lexicon.score([p[0] for p in pairs], [p[1] for p in pairs]) if pairs else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, score])
 
-    return docs.mapInArrow(tidied(run), fields)
+    return mapped(docs, run, wider(docs.schema, **{score: "double"}))
 
 
 def held_out() -> F.Column:
@@ -218,9 +217,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> Da
     taken one stands.
 
     ``bound`` limits how many labelled ids are taken, half of them toxic where there are as many: a hash threshold
-    from the labels' counts. Their ids are then few enough, at any size of the input, to be sent to every task.
+    from the labels' counts. An id with several labels counts as the largest. Their ids are then few enough, at any size of the input, to be sent to every task.
     """
-    labels = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    labels = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in labels.groupBy((F.col("toxic") > 0)).count().collect()}
     share = {k: min(1.0, bound / 2 / max(n, 1)) for k, n in sizes.items()}
     keep = F.when(F.col("toxic") > 0, share.get(True, 1.0)).otherwise(share.get(False, 1.0))
