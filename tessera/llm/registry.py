@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import media, mixing, neighbours, packing, repeats, rollups, simhash, toxicity, urls, wrappers
+from . import exact, media, mixing, neighbours, packing, repeats, resampling, rollups, simhash, toxicity, urls, wrappers
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_exact_dedup": exact.op11_exact_dedup,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +26,5 @@ ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
     "op9_token_counts": rollups.OP9_SQL,
     "op10_url_filters": urls.OP10_SQL,
+    "op11_exact_dedup": exact.OP11_SQL,
 }
