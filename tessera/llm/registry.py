@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, media, mixing, neighbours, packing, repeats, resampling, rollups, simhash, toxicity, urls, wrappers
+from . import exact, media, mixing, negatives, neighbours, packing, repeats, resampling, rollups, simhash, toxicity, urls, wrappers
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_url_filters": urls.op10_url_filters,
     "op11_exact_dedup": exact.op11_exact_dedup,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_token_counts": rollups.OP9_SQL,
     "op10_url_filters": urls.OP10_SQL,
     "op11_exact_dedup": exact.OP11_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
