@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -42,10 +43,30 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a batch that tables on their way to disk send to Python: texts may be long, and batches stand in memory twice.
+BATCH = 2000
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from a Parquet table in a scratch folder: lineage ends there."""
     folder = scratch(df.sparkSession)
-    df.write.parquet(folder)
+    with short_batches(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
