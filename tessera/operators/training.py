@@ -1,27 +1,28 @@
-"""Training of log-linear models: alphabets, events, losses with gradients as aggregations, and fitting loops.
+"""Training of log-linear models: alphabets, events, losses with gradients as aggregations, and baselines of Spark ML.
 
 Events are rows (inst, cand, idx, value, gold[, cost]): one for each feature of each candidate of an instance. Weights
-are a table (idx, weight). Losses and gradients are two joins and three aggregations; only the gradient's non-zero
-entries and a few scalars come to the driver in the fitting loop, where the weights are a numpy vector of the alphabet.
+are a table (idx, weight). A loss with its gradient is a join by idx, sums by candidate, a window over each instance's
+candidates and a join back. The fitting loops over these are in :mod:`tessera.operators.fitting`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lexicon import number
-from tessera.operators.scratch import written
+
+
+#: Parts into which frame features are dealt where every base feature meets them all; no row holds more than a part.
+DEALS = 64
 
 
 def build_alphabet(base: DataFrame, frame_features: DataFrame, least: int = 2) -> DataFrame:
     """(feature, idx): base features of at least ``least`` targets, each with every frame feature, numbered from 0."""
     kept = base.groupBy("feature").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least).select("feature")
-    names = frame_features.select("frame_feature").distinct().agg(F.collect_list("frame_feature").alias("names"))
-    both = kept.join(F.broadcast(names)).select("feature", F.explode("names").alias("frame_feature"))
+    names = frame_features.select("frame_feature").distinct().withColumn("deal", F.pmod(F.xxhash64("frame_feature"), F.lit(DEALS)))
+    deals = names.groupBy("deal").agg(F.collect_list("frame_feature").alias("names"))
+    both = kept.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).join(deals, "deal").select("feature", F.explode("names").alias("frame_feature"))
     return number(both.select(F.concat_ws(" ", "frame_feature", "feature").alias("feature")), "feature", 0)
 
 
@@ -46,10 +47,10 @@ def _probabilities(events: DataFrame, weights: DataFrame, margin: float) -> Data
     scored = events.join(weights, "idx", "left").groupBy("inst", "cand").agg(
         F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).alias("s"), F.bool_or("gold").alias("gold"), F.max("cost").alias("cost")
     )
-    scored = scored.select("inst", "cand", "gold", (F.col("s") + margin * F.col("cost")).alias("s"))
-    top = scored.groupBy("inst").agg(F.max("s").alias("m"))
-    total = scored.join(top, "inst").groupBy("inst").agg((F.first("m") + F.log(F.sum(F.exp(F.col("s") - F.col("m"))))).alias("lse"))
-    return scored.join(total, "inst")
+    everyone = Window.partitionBy("inst")  # its candidates: frames, spans
+    scored = scored.select("inst", "cand", "gold", (F.col("s") + margin * F.col("cost")).alias("s")).withColumn("m", F.max("s").over(everyone))
+    lse = F.col("m") + F.log(F.sum(F.exp(F.col("s") - F.col("m"))).over(everyone))
+    return scored.withColumn("lse", lse).drop("m")
 
 
 def softmax_loss_grad(events: DataFrame, weights: DataFrame, margin: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -97,91 +98,6 @@ def latent_loss_grad(events: DataFrame, weights: DataFrame) -> tuple[DataFrame,
     return loss, grad
 
 
-def as_table(spark: SparkSession, w: np.ndarray) -> DataFrame:
-    """(idx, weight) of the entries that are not 0."""
-    at = np.flatnonzero(w)
-    rows = [(int(i), float(w[i])) for i in at]
-    return spark.createDataFrame(rows, "idx long, weight double")
-
-
-def fit(
-    events: DataFrame,
-    size: int,
-    loss_grad: Callable = softmax_loss_grad,
-    l2: float = 0.1,
-    most: int = 2000,
-    memory: int = 6,
-    tolerance: float = 1e-4,
-    checkpoint: str | None = None,
-    every: int = 10,
-    start: np.ndarray | None = None,
-) -> np.ndarray:
-    """Weights that minimise the loss plus l2 |w|^2 by limited-memory quasi-Newton steps with a backtracking line search.
-
-    Events are written once, clustered by instance, and read by every round. Stops at |g| <= tolerance max(1, |w|).
-    ``checkpoint`` is a folder for the weights every few rounds; ``start`` continues from such a table. If no step helps,
-    the last weights stand.
-    """
-    spark = events.sparkSession
-    data = written(events.repartition("inst"))
-    w = np.zeros(size) if start is None else start.copy()
-
-    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, grad = loss_grad(data, as_table(spark, x))
-        g = np.zeros(size)
-        rows = grad.toPandas()
-        g[rows["idx"].to_numpy(dtype=np.int64)] = rows["grad"].to_numpy(dtype=float)
-        return float(loss.first()["loss"] or 0.0) + l2 * float(x @ x), g + 2 * l2 * x
-
-    f, g = value(w)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    for turn in range(1, most + 1):
-        if np.linalg.norm(g) <= tolerance * max(1.0, np.linalg.norm(w)):
-            break
-        step, q, alphas = 1.0 if past else min(1.0, 1.0 / np.abs(g).sum()), g.copy(), []
-        for s, y in reversed(past):
-            alphas.append(s @ q / (y @ s))
-            q -= alphas[-1] * y
-        if past:
-            s, y = past[-1]
-            q *= (s @ y) / (y @ y)
-        for (s, y), a in zip(past, reversed(alphas), strict=True):
-            q += (a - (y @ q) / (y @ s)) * s
-        slope = -(g @ q)
-        for _ in range(12):
-            f2, g2 = value(w - step * q)
-            if f2 <= f + 1e-4 * step * slope:
-                break
-            step /= 2
-        else:
-            break
-        s, y = -step * q, g2 - g
-        if s @ y > 1e-12:
-            past = [*past, (s, y)][-memory:]
-        w, f, g = w + s, f2, g2
-        if checkpoint and turn % every == 0:
-            as_table(spark, w).write.mode("overwrite").parquet(f"{checkpoint}/weights_{turn:05d}")
-    return w
-
-
-def minibatch_sgd(events: DataFrame, size: int, passes: int = 5, batch: int = 100, rate: float = 0.1, seed: int = 7, l2: float = 0.0, loss_grad: Callable = softmax_loss_grad, checkpoint: str | None = None) -> np.ndarray:
-    """Stochastic steps: in every pass instances are dealt without replacement into batches by a seeded hash."""
-    spark = events.sparkSession
-    data = written(events.repartition("inst"))
-    n = data.select("inst").distinct().count()
-    parts, w = max(1, -(-n // batch)), np.zeros(size)
-    for turn in range(passes):
-        deal = F.pmod(F.xxhash64("inst", F.lit(seed + turn)), F.lit(parts))
-        for part in range(parts):
-            _, grad = loss_grad(data.where(deal == part), as_table(spark, w))
-            rows = grad.toPandas()
-            w = w * (1 - 2 * rate * l2)
-            w[rows["idx"].to_numpy(dtype=np.int64)] -= rate * rows["grad"].to_numpy(dtype=float) / batch
-        if checkpoint:
-            as_table(spark, w).write.mode("overwrite").parquet(f"{checkpoint}/weights_{turn:05d}")
-    return w
-
-
 def prune_params(params: DataFrame, alphabet: DataFrame, threshold: float = 0.001) -> DataFrame:
     """(feature, weight) of the weights beyond the threshold, with their names."""
     return params.where(F.abs("weight") > threshold).join(alphabet, "idx").select("feature", "weight")

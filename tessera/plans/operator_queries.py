@@ -323,19 +323,21 @@ SELECT n.inst, n.role, string_agg(n.span || '=' || i, ';' ORDER BY n.span) AS sp
 
 
 def q_argument_loss(spark: SparkSession, sf: str) -> DataFrame:
-    """Loss and gradient of a softmax over each role's spans, with the bias as feature 0 and the penalty by instances."""
+    """Loss and gradient of a softmax over each role's spans, with the bias as feature 0 and the penalty by instances. The
+    bias moves all spans of a role alike, so only its penalty shows: its weight is large."""
     rows, features = _arguments(spark, sf)
     alphabet = training.distinct_alphabet(features)
-    loss, grad = training.argument_loss_grad(rows, arguments.index_features(features, alphabet), _weights(alphabet), l2=0.5)
-    return grad.select("idx", F.round("grad", 5).alias("grad")).unionByName(loss.select(F.lit(-1).cast("long").alias("idx"), F.round("loss", 4).alias("grad")))
+    weights = _weights(alphabet).unionByName(spark.createDataFrame([(0, 1024.0)], "idx long, weight double"))
+    loss, grad = training.argument_loss_grad(rows, arguments.index_features(features, alphabet), weights, l2=0.5)
+    return grad.select("idx", (F.round("grad", 5) + 0.0).alias("grad")).unionByName(loss.select(F.lit(-1).cast("long").alias("idx"), F.round("loss", 4).alias("grad")))
 
 
 ARGUMENT_LOSS_SQL = ARGUMENTS_SQL + """, e AS (SELECT inst, role, start, is_gold, idx, weight FROM f JOIN w USING (feature) JOIN rows_ USING (inst, role, start, stop)),
 c AS (SELECT inst, role, start, bool_or(is_gold) AS gold, SUM(weight) AS s FROM e GROUP BY ALL), z AS (SELECT inst, role, ln(SUM(exp(s))) AS z FROM c GROUP BY ALL),
 q AS (SELECT inst, role, start, gold, s, z, exp(s - z) - gold::INTEGER AS share FROM c JOIN z USING (inst, role)), n AS (SELECT COUNT(*) AS n FROM z)
-SELECT idx, round(SUM(share) + MAX(2 * 0.5 * weight) / MAX(n), 5) AS grad FROM e JOIN q USING (inst, role, start), n GROUP BY idx
-UNION ALL SELECT 0, round(SUM(share), 5) FROM q
-UNION ALL SELECT -1, round((SELECT SUM(z - s) FROM q WHERE gold) + 0.5 * (SELECT SUM(weight * weight) FROM w) / MAX(n), 4) FROM n"""
+SELECT idx, round(SUM(share) + MAX(2 * 0.5 * weight) / MAX(n), 5) + 0.0 AS grad FROM e JOIN q USING (inst, role, start), n GROUP BY idx
+UNION ALL SELECT 0, round(SUM(share) + 1024.0 / MAX(n), 5) + 0.0 FROM q, n
+UNION ALL SELECT -1, round((SELECT SUM(z - s) FROM q WHERE gold) + 0.5 * (1024.0 * 1024.0 + (SELECT SUM(weight * weight) FROM w)) / MAX(n), 4) FROM n"""
 
 
 def q_extract_events(spark: SparkSession, sf: str) -> DataFrame:

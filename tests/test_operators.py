@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import arguments, counters, evaluation, frames, hierarchy, lexicon, prep, targets, training, trees
+from tessera.operators import arguments, counters, evaluation, fitting, frames, hierarchy, lexicon, prep, targets, training, trees
 from tessera.streaming import stream
 
 TOKENS = "sid long, id int, form string, lemma string, postag string, head int, deprel string"
@@ -169,8 +169,9 @@ def test_gradient_is_the_loss_derivative(spark):
     latent = ev.withColumn("unit", F.col("idx") % 2)
     w = rng.normal(size=4)
     for f in (lambda x: training.softmax_loss_grad(ev, x, 0.5), lambda x: training.latent_loss_grad(latent, x)):
-        loss = lambda v: f(training.as_table(spark, v))[0].first()["loss"]  # noqa: E731, B023
-        grad = {r["idx"]: r["grad"] for r in f(training.as_table(spark, w))[1].collect()}
+        table = lambda v: spark.createDataFrame([(j, float(x)) for j, x in enumerate(v)], "idx long, weight double")
+        loss = lambda v: f(table(v))[0].first()["loss"]  # noqa: E731, B023
+        grad = {r["idx"]: r["grad"] for r in f(table(w))[1].collect()}
         for j in (0, 3):
             step = np.eye(4)[j] * 1e-5
             assert grad[j] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-5, abs=1e-4)
@@ -179,9 +180,9 @@ def test_gradient_is_the_loss_derivative(spark):
 def test_fit_separates_classes(spark):
     rows = [(i, c, c * 2 + j, x, c == i % 2, 0.0) for i in range(20) for c in range(2) for j, x in enumerate((1.0, 1.0 if i % 2 else -1.0))]
     ev = spark.createDataFrame(rows, "inst int, cand int, idx long, value double, gold boolean, cost double")
-    w = training.fit(ev, 4, l2=0.05, most=15)
+    w = {r["idx"]: r["weight"] for r in fitting.fit(ev, l2=0.05, most=15).collect()}
     assert w[3] > 0.3 > w[1] and abs(w[3] + w[1]) < 0.1
-    s = training.minibatch_sgd(ev, 4, passes=1, batch=10)
+    s = {r["idx"]: r["weight"] for r in fitting.minibatch_sgd(ev, passes=1, batch=10).collect()}
     assert s[3] > 0
 
 
