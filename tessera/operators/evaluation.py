@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import DECAY
 
-#: Name classes that may evoke frames although they are entities.
+#: The frame that an entity of a class may stand for; name classes that may evoke frames although they are entities.
+EXCEPTED = ("Weapon", "WEA")
 EVOKING_ENTITIES = ("WEA", "Weapon", "Date", "Month", "Day", "Year", "Time")
 
 
@@ -108,33 +112,83 @@ def span_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     )
 
 
-def closest_pairs(gold: DataFrame, pred: DataFrame, hops: DataFrame, keys: list[str], frame: str = "label") -> DataFrame:
-    """(keys, gold_label, pred_label, hops): labels on one boundary paired exact first, then nearest, each used once.
+def closest_pairs(gold: DataFrame, pred: DataFrame, hops: DataFrame, keys: list[str], frame: str = "label", near: Column | None = None) -> DataFrame:
+    """(keys, gold_<frame>, pred_<frame>, hops): labels on one boundary paired exact first, then nearest, each used once.
 
-    Candidates within a boundary are ordered by (distance, names) and taken greedily inside one row.
+    Candidates within a boundary are ordered by (distance, names) and taken greedily inside one row. Where ``near`` (a
+    condition on the keys) does not hold, only equal labels are candidates.
     """
     g = gold.select(*keys, F.col(frame).alias("g"))
     p = pred.select(*keys, F.col(frame).alias("p"))
     both = g.join(p, keys).join(hops.select(F.col("a").alias("g"), F.col("b").alias("p"), "hops"), ["g", "p"], "left")
     both = both.withColumn("hops", F.when(F.col("g") == F.col("p"), 0).otherwise(F.col("hops"))).where("hops is not null")
+    both = both if near is None else both.where(near | (F.col("hops") == 0))
     by = both.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("hops", "g", "p"))).alias("c"))
     none = F.array().cast("array<struct<hops:int,g:string,p:string>>")
     used = lambda acc, c: F.exists(acc, lambda x: (x["g"] == c["g"]) | (x["p"] == c["p"]))
     chosen = F.aggregate("c", none, lambda acc, c: F.when(used(acc, c), acc).otherwise(F.concat(acc, F.array(c))).cast("array<struct<hops:int,g:string,p:string>>"))
-    return by.select(*keys, F.explode(chosen).alias("x")).select(*keys, F.col("x.g").alias("gold_label"), F.col("x.p").alias("pred_label"), "x.hops")
+    return by.select(*keys, F.explode(chosen).alias("x")).select(*keys, F.col("x.g").alias(f"gold_{frame}"), F.col("x.p").alias(f"pred_{frame}"), "x.hops")
 
 
 def hierarchical_score(gold: DataFrame, pred: DataFrame, hops: DataFrame, exact: bool = False) -> DataFrame:
-    """(sid, match, gold, pred, precision, recall, f1) of frames (sid, t_start, t_stop, label, points): exact labels earn
-    their points, others points x 0.8 ^ hops; sentences without gold, or missing from the prediction, are left out."""
-    keys = ["sid", "t_start", "t_stop"]
-    sids = gold.select("sid").distinct().join(pred.select("sid").distinct(), "sid")
+    """(sid, match, gold, pred, precision, recall, f1) of frames alone (sid, t_start, t_stop, label, points): a predicted
+    label earns its points x 0.8 ^ hops; sentences without gold, or missing from the prediction, are left out."""
+    paths = hops.withColumn("paths", F.lit(1).cast("long"))
+    typed = lambda df: df.withColumn("kind", F.lit("FR"))
+    return semantic_score(typed(gold), typed(pred), None, None, paths, None, exact=exact)
+
+
+def semantic_score(
+    gold: DataFrame,
+    pred: DataFrame,
+    gold_roles: DataFrame | None,
+    pred_roles: DataFrame | None,
+    frame_paths: DataFrame,
+    role_paths: DataFrame | None,
+    exact: bool = False,
+    entities: bool = True,
+    excepted: tuple[str, str] = EXCEPTED,
+) -> DataFrame:
+    """(sid, match, gold, pred, precision, recall, f1) with partial credit for near labels.
+
+    ``gold`` and ``pred`` are (sid, t_start, t_stop, kind, label, points) of kind FR (frames), NE (entities) or SU; roles are
+    (sid, t_start, t_stop, label: the frame, a_start, a_stop, role, points). Frames on one boundary are paired, exact
+    first, then nearest; a pair earns the predicted points x 0.8 ^ hops. Other kinds match exactly or not. A frame of the
+    first ``excepted`` name whose boundary has no predicted frame, but an entity of the second, earns the entity's points.
+    Roles of paired frames are paired by span, nearest ``frame;role`` first, and earn by :func:`role_credit`.
+    ``frame_paths`` and ``role_paths`` are (a, b, hops, paths), nodes of the latter ``frame;role``. Without ``gold_roles`` frames
+    alone are scored; ``entities`` false leaves entities out, ``exact`` allows no distance. Sentences whose gold has no
+    points, or which the prediction lacks, are left out.
+    """
+    t = ["sid", "t_start", "t_stop"]
+    if not entities:
+        gold, pred = gold.where("kind <> 'NE'"), pred.where("kind <> 'NE'")
+    worth = gold.select("sid", "points")
+    worth = worth if gold_roles is None else worth.unionByName(gold_roles.select("sid", "points"))
+    sids = worth.groupBy("sid").agg(F.sum("points").alias("p")).where("p > 0").select("sid").join(pred.select("sid").distinct(), "sid")
     g, p = gold.join(sids, "sid", "left_semi"), pred.join(sids, "sid", "left_semi")
-    pairs = closest_pairs(g, p, hops if not exact else hops.where("hops = 0"), keys)
-    earned = pairs.join(g.select(*keys, F.col("label").alias("gold_label"), "points"), [*keys, "gold_label"])
-    earned = earned.groupBy("sid").agg(F.sum(F.col("points") * F.pow(F.lit(DECAY), F.col("hops"))).alias("match"))
-    totals = g.groupBy("sid").agg(F.sum("points").alias("gold")).join(p.groupBy("sid").agg(F.sum("points").alias("pred")), "sid")
-    rows = totals.join(earned, "sid", "left").na.fill({"match": 0.0})
+    paths = frame_paths.where("hops = 0") if exact else frame_paths
+    pairs = closest_pairs(g, p, paths, [*t, "kind"], near=F.col("kind") == "FR")
+    own = p.select(*t, "kind", F.col("label").alias("pred_label"), "points")
+    earned = pairs.join(own, [*t, "kind", "pred_label"]).select("sid", (F.col("points") * F.pow(F.lit(DECAY), F.col("hops"))).alias("match"))
+    lone = g.where((F.col("kind") == "FR") & (F.col("label") == excepted[0])).select(*t).join(p.where("kind = 'FR'").select(*t), t, "left_anti")
+    named = p.where((F.col("kind") == "NE") & (F.col("label") == excepted[1]))
+    earned = earned.unionByName(lone.join(named.select(*t, F.col("points").alias("match")), t).select("sid", "match"))
+    found = [df.select("sid", "points") for df in (g, p)]
+    if gold_roles is not None:
+        gr, pr = gold_roles.join(sids, "sid", "left_semi"), pred_roles.join(sids, "sid", "left_semi")
+        found = [df.unionByName(roles.select("sid", "points")) for df, roles in zip(found, (gr, pr), strict=True)]
+        framed = pairs.where("kind = 'FR'").select(*t, "gold_label", "pred_label")
+        span = [*t, "gold_label", "pred_label", "a_start", "a_stop"]
+        keyed = lambda df, side: framed.join(df.withColumnRenamed("label", side), [*t, side]).withColumn("node", F.concat_ws(";", side, "role"))
+        left, right = keyed(gr, "gold_label"), keyed(pr, "pred_label")
+        near = closest_pairs(left, right, role_paths.where("hops = 0") if exact else role_paths, span, frame="node").drop("hops")
+        named = lambda df, side: df.select(*span, F.col("node").alias(f"{side}_node"), F.col("role").alias(f"{side}_role"), *(["points"] if side == "pred" else []))
+        near = near.join(named(left, "gold"), [*span, "gold_node"]).join(named(right, "pred"), [*span, "pred_node"])
+        near = near.select("sid", F.col("gold_label").alias("frame"), F.col("pred_label").alias("other_frame"), F.col("gold_role").alias("role"), F.col("pred_role").alias("other_role"), "points")
+        earned = earned.unionByName(role_credit(near, frame_paths, role_paths).select("sid", F.col("earned").alias("match")))
+    sums = lambda df, name, c: df.groupBy("sid").agg(F.sum(c).alias(name))
+    rows = sums(found[0], "gold", "points").join(sums(found[1], "pred", "points"), "sid").join(sums(earned, "match", "match"), "sid", "left").na.fill({"match": 0.0})
     precision, recall, f1 = prf(F.col("match"), F.col("pred"), F.col("gold"))
     return rows.select("sid", "match", "gold", "pred", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
@@ -151,27 +205,52 @@ def role_credit(pairs: DataFrame, frame_paths: DataFrame, role_paths: DataFrame)
     return rows.withColumn("earned", F.col("points") * F.coalesce(credit, F.lit(0.0))).drop("role_key", "other_key", "f_hops", "f_paths", "r_hops", "r_paths")
 
 
+def hashed_coins(keys: np.ndarray, reps: int) -> np.ndarray:
+    """A fair coin for each key (unsigned, 64 bits) and replicate; 64 coins come from one mixed number."""
+    x = keys[:, None] + np.arange(1, -(-reps // 64) + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.unpackbits(x.view(np.uint8), axis=1)[:, :reps]
+
+
 def paired_randomization(a: DataFrame, b: DataFrame, reps: int = 10_000, seed: int = 7, measure: str = "f", two_sided: bool = False, coin=None) -> DataFrame:
     """One row (observed, reps, at_least, p_value): how often swapping each sentence's counts between two systems with a
     fair coin gives a difference as large as observed; p = (n + 1) / (reps + 1), in favour of the first system.
 
-    Rows are (sid, matches, found, gold). Replicates are exploded within sentences and summed by replicate.
-    ``coin(sid, rep)`` may replace the seeded hash.
+    Rows are (sid, matches, found, gold). A swap moves the difference of a sentence's counts from one system to the other, so
+    a replicate is known by three sums of differences. A task multiplies its rows' coins with their differences, block by
+    block, and gives one row a replicate; only those are shuffled. ``coin(sids, reps)``, from numpy arrays to a table of
+    booleans, may replace the seeded hash; it takes whole numbers as sid. Without sentences there are no replicates.
     """
     names = ["matches", "found", "gold"]
+    key = F.col("sid").cast("long") if coin else F.xxhash64("sid", F.lit(seed))
     both = a.select("sid", *[F.col(c).alias(f"a_{c}") for c in names]).join(b.select("sid", *[F.col(c).alias(f"b_{c}") for c in names]), "sid")
-    runs = both.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    toss = coin(F.col("sid"), F.col("rep")) if coin else F.pmod(F.xxhash64("sid", "rep", F.lit(seed)), F.lit(2)) == 1
-    swap = (F.col("rep") > 0) & toss
-    sums = [F.sum(F.when(swap, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}"))).alias(f"{x}_{c}") for x, y in (("a", "b"), ("b", "a")) for c in names]
+    both = both.select(key.alias("key"), *[F.coalesce(F.col(f"{x}_{c}"), F.lit(0)).cast("double").alias(f"{x}_{c}") for x in "ab" for c in names])
+    totals = both.agg(*[F.sum(f"{x}_{c}").alias(f"{x}_{c}") for x in "ab" for c in names])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_ = np.zeros((reps, 3)), False
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1) if batch.num_rows else np.zeros((0, 6))
+            change, keys, any_ = rows[:, 3:] - rows[:, :3], batch.column(0).to_numpy(), any_ or batch.num_rows > 0
+            for at in range(0, len(keys), 256):
+                part = slice(at, at + 256)
+                heads = coin(keys[part][:, None], np.arange(1, reps + 1)[None, :]) if coin else hashed_coins(keys[part].view(np.uint64), reps)
+                sums += heads.T.astype(np.float64) @ change[part]
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, reps + 1)), *(pa.array(sums[:, i].copy()) for i in range(3))], ["rep", *names])
+
+    done = both.mapInArrow(moved, "rep long, matches double, found double, gold double").groupBy("rep").agg(*[F.sum(c).alias(c) for c in names])
     at = {"p": 0, "r": 1, "f": 2}[measure]
-    value = lambda s: F.coalesce(prf(*[F.col(f"{s}_{c}") for c in names])[at], F.lit(0.0))
-    diffs = runs.groupBy("rep").agg(*sums).select("rep", F.round(value("a") - value("b"), 12).alias("d"))
-    seen = diffs.where("rep = 0").select(F.col("d").alias("observed"))
-    rest = diffs.where("rep > 0").join(F.broadcast(seen))
+    value = lambda sums: F.coalesce(prf(*sums)[at], F.lit(0.0))
+    swapped = [value([F.col(f"{x}_{c}") + sign * F.col(c) for c in names]) for x, sign in (("a", 1), ("b", -1))]
+    plain = [value([F.col(f"{x}_{c}") for c in names]) for x in "ab"]
+    rest = done.crossJoin(F.broadcast(totals))  # one row
+    rest = rest.select(F.round(swapped[0] - swapped[1], 12).alias("d"), F.round(plain[0] - plain[1], 12).alias("observed"))
     hit = F.abs("d") >= F.abs("observed") if two_sided else F.col("d") >= F.col("observed")
-    done = rest.agg(F.first("observed").alias("observed"), F.count("*").alias("reps"), F.count_if(hit).alias("at_least"))
-    return done.withColumn("p_value", (F.col("at_least") + 1) / (F.col("reps") + 1))
+    out = rest.agg(F.first("observed").alias("observed"), F.count("*").alias("reps"), F.count_if(hit).alias("at_least"))
+    return out.withColumn("p_value", (F.col("at_least") + 1) / (F.col("reps") + 1))
 
 
 def bagged_prf(gold: DataFrame, pred: DataFrame, least: float | None = None) -> DataFrame:

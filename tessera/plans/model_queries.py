@@ -265,12 +265,74 @@ s AS (SELECT sid, SUM(CASE WHEN there THEN m ELSE 0 END)::DOUBLE AS match, COUNT
 SELECT sid, round(match, 6) AS match, gold, pred, round(match / pred, 6) AS precision, round(match / gold, 6) AS recall, CASE WHEN match = 0 THEN NULL ELSE round(2 * (match / pred) * (match / gold) / (match / pred + match / gold), 6) END AS f1 FROM s"""
 
 
+def q_semantic_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' nations as frames and segments as roles against a shifted list: near frames through regions and blocs, near
+    roles through regions alone, core roles, entities, and frames that only an entity stands for."""
+    from tessera.operators import hierarchy
+
+    nations, regions = read(spark, sf, "nation"), read(spark, sf, "region")
+    rows = read(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    rows = rows.withColumn("other", F.pmod(F.col("c_nationkey") + F.when(k % 4 == 0, 0).otherwise(F.pmod(k * 7, F.lit(5)) * 3), F.lit(25)))
+    rows = rows.join(nations.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("other_name")), "other")
+    place = (F.floor(k / 10).alias("sid"), F.pmod(k, F.lit(10)).alias("t_start"), F.pmod(k, F.lit(10)).alias("t_stop"))
+    kind = lambda x: F.lit(x).alias("kind")
+    name = F.when(k % 13 == 0, "Weapon").otherwise(F.col("n_name"))
+    full, half = F.lit(1.0).alias("points"), F.lit(0.5).alias("points")
+    gold = rows.select(*place, kind("FR"), name.alias("label"), full).unionByName(rows.where("c_custkey % 17 = 0").select(*place, kind("NE"), F.lit("LOC").alias("label"), half))
+    entity = F.when(k % 26 == 0, "WEA").when(k % 34 == 0, "ORG").otherwise("LOC")
+    pred = rows.where("c_custkey % 26 <> 0").select(*place, kind("FR"), F.col("other_name").alias("label"), full)
+    pred = pred.unionByName(rows.where("c_custkey % 26 = 0 or c_custkey % 17 = 0").select(*place, kind("NE"), entity.alias("label"), half))
+    core = nations.select(F.col("n_name").alias("frame"), F.explode(F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).alias("role"), F.lit("Core").alias("core_type"))
+    span = lambda more: ((F.pmod(k, F.lit(10)) + 1 + more).alias("a_start"), (F.pmod(k, F.lit(10)) + 1 + more).alias("a_stop"))
+    said = F.when(k % 5 < 3, F.col("c_mktsegment")).otherwise("HOUSEHOLD")
+    gold_roles = hierarchy.core_status(rows.select(*place, F.col("n_name").alias("frame"), name.alias("label"), *span(0), F.col("c_mktsegment").alias("role")), core).drop("frame")
+    pred_roles = rows.where("c_custkey % 26 <> 0").select(*place, F.col("other_name").alias("frame"), F.col("other_name").alias("label"), *span(F.when(k % 11 == 0, 1).otherwise(0)), said.alias("role"))
+    pred_roles = hierarchy.core_status(pred_roles, core).drop("frame")
+    up = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    link = lambda sup, sub: up.select(sup.alias("sup"), sub.alias("sub"), F.lit("Inheritance").alias("relation"))
+    edges = link(F.col("r_name"), F.col("n_name")).unionByName(link(F.concat(F.lit("bloc "), F.col("n_nationkey") % 3), F.col("n_name")))
+    links = [link(F.concat_ws(";", "r_name", F.lit(s)), F.concat_ws(";", "n_name", F.lit(s))) for s in ("BUILDING", "AUTOMOBILE", "HOUSEHOLD")]
+    role_edges = links[0].unionByName(links[1]).unionByName(links[2])
+    out = evaluation.semantic_score(gold, pred, gold_roles, pred_roles, hierarchy.path_counts(edges, 2), hierarchy.path_counts(role_edges, 2))
+    return out.select("sid", *[F.round(c, 6).alias(c) for c in ("match", "gold", "pred", "precision", "recall", "f1")])
+
+
+SEMANTIC_SQL = """
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS a, n_regionkey AS ra, c_mktsegment AS s, (c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey * 7 % 5 * 3 END) % 25 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
+d AS (SELECT c.*, n_regionkey AS rb, CASE WHEN k % 5 < 3 THEN s ELSE 'HOUSEHOLD' END AS sb, k % 13 = 0 AS weapon, k % 26 = 0 AS lone FROM c JOIN nation ON n_nationkey = b),
+e AS (SELECT *, CASE WHEN s IN ('BUILDING', 'MACHINERY') AND NOT weapon THEN 1.0 WHEN s IN ('BUILDING', 'MACHINERY') THEN 1.0 ELSE 0.5 END AS gp, CASE WHEN sb IN ('BUILDING', 'MACHINERY') THEN 1.0 ELSE 0.5 END AS pp,
+  CASE WHEN ra = rb AND a % 3 = b % 3 THEN 2 WHEN ra = rb OR a % 3 = b % 3 THEN 1 ELSE 0 END AS paths FROM d),
+m AS (SELECT k, CASE WHEN lone THEN 0.5 WHEN weapon THEN 0 WHEN a = b THEN 1.0 WHEN paths > 0 THEN 0.64 ELSE 0 END
+  + CASE WHEN weapon OR k % 11 = 0 THEN 0 WHEN a = b AND s = sb THEN pp WHEN a <> b AND paths > 0 AND ra = rb AND s = sb AND s IN ('BUILDING', 'AUTOMOBILE', 'HOUSEHOLD') THEN pp * 0.64 / paths ELSE 0 END
+  + CASE WHEN k % 17 = 0 AND k % 34 <> 0 THEN 0.5 ELSE 0 END AS m,
+  1.0 + gp + CASE WHEN k % 17 = 0 THEN 0.5 ELSE 0 END AS g, CASE WHEN lone THEN 0 ELSE 1.0 + pp END + CASE WHEN lone OR k % 17 = 0 THEN 0.5 ELSE 0 END AS p FROM e),
+s AS (SELECT k // 10 AS sid, SUM(m)::DOUBLE AS match, SUM(g)::DOUBLE AS gold, SUM(p)::DOUBLE AS pred FROM m GROUP BY ALL)
+SELECT sid, round(match, 6) AS match, gold, pred, round(match / pred, 6) AS precision, round(match / gold, 6) AS recall, CASE WHEN match = 0 THEN NULL ELSE round(2 * (match / pred) * (match / gold) / (match / pred + match / gold), 6) END AS f1 FROM s WHERE pred > 0"""
+
+
+def q_bag_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Missed and extra members of the bags of quality labels against toxic labels, and shares of the missed."""
+    from tessera.operators import counters
+
+    rows = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    bag = lambda df: df.select(F.col("lang").alias("group"), F.col("source").alias("key"))
+    errors = evaluation.bag_errors(bag(rows.where("quality = 1")), bag(rows.where("toxic = 0")))
+    missed = errors.select("key", F.col("missed").cast("double").alias("value"))
+    shares = counters.divide(counters.scale(missed, 100.0), 4.0)
+    return errors.join(shares, "key").select("key", "missed", "extra", F.round("value", 6).alias("value"))
+
+
+BAG_ERRORS_SQL = """WITH r AS (SELECT lang, source AS key, COUNT_IF(quality = 1) AS g, COUNT_IF(toxic = 0) AS p FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT key, SUM(greatest(g - p, 0))::BIGINT AS missed, SUM(greatest(p - g, 0))::BIGINT AS extra, round(SUM(greatest(g - p, 0)) * 25.0, 6)::DOUBLE AS value FROM r GROUP BY key HAVING SUM(g + p) > 0"""
+
+
 def q_randomization(spark: SparkSession, sf: str) -> DataFrame:
     """Paired randomisation of two label systems with an arithmetic coin."""
     rows = read(spark, sf, "labels").select(F.col("doc_id").alias("sid"), "quality", "toxic")
     a = rows.select("sid", F.col("quality").alias("matches"), F.lit(1).alias("found"), F.lit(1).alias("gold"))
     b = rows.select("sid", (1 - F.col("toxic")).alias("matches"), F.lit(1).alias("found"), F.lit(1).alias("gold"))
-    coin = lambda sid, rep: F.pmod(sid * 7919 + rep * 104729, F.lit(1000)) < 500
+    coin = lambda sids, reps: (sids * 7919 + reps * 104729) % 1000 < 500
     return evaluation.paired_randomization(a, b, 200, coin=coin).select(F.round("observed", 6).alias("observed"), "reps", "at_least", F.round("p_value", 6).alias("p_value"))
 
 
@@ -342,7 +404,7 @@ STREAM_SQL = """SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'not a JSON
 
 FUNCTIONS = (
     q_distribution, q_neighbors, q_candidate_tiers, q_linear_argmax, q_embedding_window, q_beam_assignment, q_constrained_assignment, q_alphabet, q_softmax_grad, q_grid_select,
-    q_rare_classes, q_prf, q_span_eval, q_error_counts, q_partial_credit, q_randomization, q_format_roundtrip, q_nested_result, q_cost_matrix, q_stream_errors,
+    q_rare_classes, q_prf, q_span_eval, q_error_counts, q_partial_credit, q_semantic_score, q_bag_errors, q_randomization, q_format_roundtrip, q_nested_result, q_cost_matrix, q_stream_errors,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {
@@ -350,5 +412,5 @@ ORACLES = {
     "q_beam_assignment": GRID_SQL + "SELECT inst, round(MAX(total), 6) AS score FROM c GROUP BY inst",
     "q_constrained_assignment": GRID_SQL + "SELECT inst, round(MAX(total), 6) AS score, true AS is_optimal FROM c WHERE NOT (f1 AND f2) GROUP BY inst",
     "q_alphabet": ALPHABET_SQL, "q_softmax_grad": GRAD_SQL, "q_grid_select": GRID_SELECT_SQL, "q_rare_classes": RARE_SQL, "q_prf": PRF_SQL, "q_span_eval": SPAN_SQL,
-    "q_error_counts": ERROR_SQL, "q_partial_credit": CREDIT_SQL, "q_randomization": RANDOM_SQL, "q_format_roundtrip": ROUNDTRIP_SQL, "q_cost_matrix": COST_SQL, "q_stream_errors": STREAM_SQL,
+    "q_error_counts": ERROR_SQL, "q_partial_credit": CREDIT_SQL, "q_semantic_score": SEMANTIC_SQL, "q_bag_errors": BAG_ERRORS_SQL, "q_randomization": RANDOM_SQL, "q_format_roundtrip": ROUNDTRIP_SQL, "q_cost_matrix": COST_SQL, "q_stream_errors": STREAM_SQL,
 }
