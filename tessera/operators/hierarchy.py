@@ -1,7 +1,7 @@
 """Frame hierarchies: closures, hop distances, path counts, costs, co-occurrence, roll-ups.
 
-Edges are (sup, sub, relation). Walks are level-by-level frontier joins; each level is written to the shared folder
-of the session, so lineage stays short and a lost executor costs one level.
+Edges are (sup, sub, relation). Closures double their reach each round, so a chain of n nodes takes log n rounds; each round
+is written to the shared folder of the session, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -26,36 +26,69 @@ def children(edges: DataFrame, relation: str | None = None) -> DataFrame:
     return kept.select(F.col("sup").alias("node"), F.col("sub").alias("child")).distinct()
 
 
-def ancestors(edges: DataFrame, relation: str | None = "Inheritance", most: int = 64) -> DataFrame:
-    """(node, ancestor, hops) with the fewest hops; circles end as no pair is entered twice."""
-    steps = parents(edges, relation).withColumnRenamed("parent", "ancestor")
-    return closure(steps.select(F.col("node").alias("a"), F.col("ancestor").alias("b")), most).select(
-        F.col("a").alias("node"), F.col("b").alias("ancestor"), "hops"
-    )
+def ancestors(edges: DataFrame, relation: str | None = "Inheritance") -> DataFrame:
+    """(node, ancestor, hops) with the fewest hops, however deep; circles end as no pair is entered twice."""
+    steps = parents(edges, relation).select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    return closure(steps).select(F.col("a").alias("node"), F.col("b").alias("ancestor"), "hops")
 
 
-def descendants(edges: DataFrame, relation: str | None = "Inheritance", most: int = 64) -> DataFrame:
-    return ancestors(edges, relation, most).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "hops")
+def descendants(edges: DataFrame, relation: str | None = "Inheritance") -> DataFrame:
+    """(node, descendant, hops): the same from above."""
+    return ancestors(edges, relation).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "hops")
 
 
-def closure(steps: DataFrame, most: int, counts: bool = False, arrivals: bool = False) -> DataFrame:
-    """(a, b, hops[, paths]) of all pairs a <> b within ``most`` steps (a, b).
+def closure(steps: DataFrame, most: int | None = None, counts: bool = False, arrivals: bool = False) -> DataFrame:
+    """(a, b, hops[, paths]) of all pairs a <> b that steps (a, b) lead between, or that ``most`` of them do.
 
-    ``paths`` is the number of shortest paths; with ``arrivals`` a node only counts how many nodes of the level before
-    lead to it.
+    After round k all pairs within 2^k hops are known. A shortest path of up to twice that passes one node exactly 2^k from its
+    start: pairs at just that distance meet all known ones, which gives the new pairs, their hops and, as sums of
+    products, their numbers of shortest paths (``paths``). It ends when no pair has the full distance. With ``arrivals`` a
+    node's number is that of the nodes one hop nearer to the start that lead to it.
     """
     steps = written(steps.where("a <> b").distinct())
-    frontier = steps.select("a", "b", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("paths"))
-    seen = frontier = written(frontier)
-    for hop in range(2, most + 1):
-        ahead = frontier.select("a", F.col("b").alias("mid"), "paths").join(steps.select(F.col("a").alias("mid"), "b"), "mid")
-        count = F.count("*") if arrivals else F.sum("paths")
-        ahead = ahead.where("a <> b").groupBy("a", "b").agg(F.lit(hop).alias("hops"), count.alias("paths"))
-        frontier = written(ahead.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+    known = steps.select("a", "b", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("paths"))
+    newest, reach = known, 1
+    while most is None or reach < most:
+        far = newest.where(F.col("hops") == reach).select("a", F.col("b").alias("mid"), F.col("paths").alias("p"))
+        near = known.select(F.col("a").alias("mid"), "b", F.col("hops").alias("h"), "paths")
+        ahead = far.join(near, "mid").where(F.col("a") != F.col("b")).groupBy("a", "b", (F.col("h") + reach).alias("hops")).agg(F.sum(F.col("p") * F.col("paths")).alias("paths"))
+        ahead = ahead if most is None else ahead.where(F.col("hops") <= most)
+        first = ahead.groupBy("a", "b").agg(F.min(F.struct("hops", "paths")).alias("m")).select("a", "b", "m.hops", "m.paths")
+        newest = written(first.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        if newest.isEmpty():
+            break
+        known, reach = known.unionByName(newest), 2 * reach
+    if counts and arrivals:
+        before = known.select("a", F.col("b").alias("mid"), F.col("hops").alias("h")).join(steps.select(F.col("a").alias("mid"), "b"), "mid")
+        led = before.join(known.select("a", "b", "hops"), ["a", "b"]).where("h + 1 = hops").groupBy("a", "b").agg(F.count("*").alias("led"))
+        known = known.join(led, ["a", "b"], "left").select("a", "b", "hops", F.coalesce("led", F.lit(1)).cast("long").alias("paths"))
+    return known if counts else known.drop("paths")
+
+
+def balls(steps: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
+    """(centre, node, hops) of all nodes within ``radius`` steps (a, b) of the given centres (node), themselves included."""
+    seen = frontier = written(centres.select(F.col("node").alias("centre"), "node", F.lit(0).alias("hops")).distinct())
+    for hop in range(1, radius + 1):
+        ahead = frontier.select("centre", F.col("node").alias("a")).join(steps, "a").select("centre", F.col("b").alias("node"), F.lit(hop).alias("hops")).distinct()
+        frontier = written(ahead.join(seen.select("centre", "node"), ["centre", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen if counts else seen.drop("paths")
+    return seen
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame, most: int = MAX_HOPS, without: tuple[str, ...] = ("See_also",)) -> DataFrame:
+    """(a, b, hops) for the given pairs, null beyond ``most`` hops; edges count both ways.
+
+    Only the pairs' own nodes are walked from, each half of the way, and balls meet in the middle: nothing of the size of
+    all pairs is made.
+    """
+    steps = written(undirected(edges, without))
+    wanted = pairs.select("a", "b").distinct()
+    left = balls(steps, wanted.select(F.col("a").alias("node")), -(-most // 2)).select(F.col("centre").alias("a"), "node", F.col("hops").alias("h1"))
+    right = balls(steps, wanted.select(F.col("b").alias("node")), most // 2).select(F.col("centre").alias("b"), "node", F.col("hops").alias("h2"))
+    met = wanted.join(left, "a").join(right, ["b", "node"]).groupBy("a", "b").agg(F.min(F.col("h1") + F.col("h2")).alias("hops"))
+    return wanted.join(met, ["a", "b"], "left")
 
 
 def undirected(edges: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
@@ -110,21 +143,35 @@ def add_ancestors(targets: DataFrame, roles: DataFrame, frame_closure: DataFrame
     return up, over
 
 
-def pmi(members: DataFrame, least: int = 4) -> DataFrame:
+def pmi(members: DataFrame, least: int = 4, block: int = 256) -> DataFrame:
     """(a, b, n, pmi) for unordered pairs of names (group, name) that stand in one group, both seen ``least`` times.
 
-    log(pair) - log(pairs) - log(a) - log(b) + 2 log(all). Names are cut by count before the pairs are made.
+    log(pair) - log(pairs) - log(a) - log(b) + 2 log(all). Names are cut by count, then counted within groups, so that a name's
+    repeats are one number. A group's names are dealt into blocks of about ``block``; each pair of blocks is a row of its own,
+    so a group of any size is spread over many tasks and no row holds more than two blocks.
     """
-    counts = members.groupBy("name").agg(F.count("*").alias("c"))
-    total = members.count()
-    frequent = counts.where(F.col("c") >= least)
-    kept = members.join(frequent, "name").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("name", "c"))).alias("m"))
-    all_pairs = members.groupBy("group").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("p")).first()["p"] or 0
-    left = kept.select("m", F.posexplode("m").alias("i", "x"))
-    both = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    both = both.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("n"), F.first("x.c").alias("ca"), F.first("y.c").alias("cb"))
-    value = F.log("n") - F.log(F.lit(float(all_pairs))) - F.log("ca") - F.log("cb") + 2 * F.log(F.lit(float(total)))
-    return both.select("a", "b", "n", value.alias("pmi"))
+    frequent = members.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    whole = members.groupBy("group").agg(F.count("*").alias("k")).agg(F.sum("k").alias("all"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"))
+    held = written(members.join(frequent, "name").groupBy("group", "name").agg(F.count("*").alias("m"), F.first("c").alias("c")))
+    sizes = held.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = held.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    lists = dealt.groupBy("group", "own", "blocks").agg(F.collect_list(F.struct("name", "m", "c")).alias("x"))
+    dealt = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = dealt.groupBy("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(
+        F.first(F.when(F.col("own") <= F.col("other"), F.col("x")), ignorenulls=True).alias("x"), F.first(F.when(F.col("own") >= F.col("other"), F.col("x")), ignorenulls=True).alias("y")
+    )
+    pair = lambda p, q, n: F.struct(
+        F.least(p["name"], q["name"]).alias("a"), F.greatest(p["name"], q["name"]).alias("b"), n.alias("n"),
+        F.when(p["name"] <= q["name"], p["c"]).otherwise(q["c"]).alias("ca"), F.when(p["name"] <= q["name"], q["c"]).otherwise(p["c"]).alias("cb"),
+    )
+    inner = F.col("lo") == F.col("hi")
+    left = both.select("y", inner.alias("inner"), F.explode("x").alias("p")).withColumn("q", F.explode(F.when(F.col("inner"), F.filter("y", lambda q: q["name"] >= F.col("p.name"))).otherwise(F.col("y"))))
+    p, q = F.col("p"), F.col("q")
+    times = F.when(p["name"] == q["name"], p["m"] * (p["m"] - 1) / 2).otherwise(p["m"] * q["m"]).cast("long")
+    sums = left.select(pair(p, q, times).alias("s")).select("s.*").where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+    sums = sums.crossJoin(F.broadcast(whole))  # one row
+    value = F.log("n") - F.log("pairs") - F.log("ca") - F.log("cb") + 2 * F.log("all")
+    return sums.select("a", "b", "n", value.alias("pmi"))
 
 
 def counts_with_ancestors(counts: DataFrame, closed: DataFrame) -> DataFrame:

@@ -202,7 +202,33 @@ ROLLUP_SQL = """SELECT n_name AS node, COUNT(*) AS n FROM customer JOIN nation O
 UNION ALL SELECT r_name, COUNT(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
 UNION ALL SELECT 'WORLD', COUNT(*) FROM customer"""
 
-QUERIES = {f.__name__: f for f in (q_ancestors, q_constituents, q_lca, q_voice, q_candidate_spans, q_signature_spans, q_hierarchy_closure, q_hop_cost, q_shortest_path, q_pmi, q_ancestor_counts)}
+
+def q_chain_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in chains of five hundred, each over the next: how many stand over and under each, and how far."""
+    top = F.col("c_custkey") % 500
+    edges = read(spark, sf, "customer").where(top > 0).select((F.col("c_custkey") - 1).alias("sup"), F.col("c_custkey").alias("sub"), F.lit("Inheritance").alias("relation"))
+    up = hierarchy.ancestors(edges).groupBy("node").agg(F.count("*").alias("over"), F.max("hops").alias("highest"))
+    down = hierarchy.descendants(edges).groupBy("node").agg(F.count("*").alias("under"))
+    kids = hierarchy.children(edges).groupBy("node").agg(F.min("child").alias("child"))
+    return up.join(down, "node", "full_outer").join(kids, "node", "left")
+
+
+CHAIN_SQL = """WITH c AS (SELECT c_custkey AS k, MAX(c_custkey) OVER (PARTITION BY c_custkey // 500) AS last, MIN(c_custkey) OVER (PARTITION BY c_custkey // 500) AS lo FROM customer),
+d AS (SELECT k, k - CASE WHEN lo % 500 > 0 THEN lo - 1 ELSE lo END AS over, last - k AS under FROM c UNION ALL SELECT DISTINCT lo - 1, 0, last - lo + 1 FROM c WHERE lo % 500 > 0)
+SELECT k AS node, NULLIF(over, 0) AS over, NULLIF(over, 0)::INTEGER AS highest, NULLIF(under, 0) AS under, CASE WHEN under > 0 THEN k + 1 END AS child FROM d WHERE over + under > 0"""
+
+
+def q_pair_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Hops between the regions of the world and the segments their customers buy for."""
+    edges = place_edges(spark, sf)
+    pairs = read(spark, sf, "region").select(F.col("r_name").alias("a")).crossJoin(F.broadcast(read(spark, sf, "customer").select(F.col("c_mktsegment").alias("b")).distinct().limit(100)))
+    return hierarchy.pair_distances(edges, pairs, without=())
+
+
+PAIRS_SQL = EDGES_SQL + """, st AS (SELECT sup AS a, sub AS b FROM e UNION SELECT sub, sup FROM e), w AS (SELECT r_name AS a, 0 AS h, r_name AS at FROM region UNION SELECT w.a, h + 1, st.b FROM w JOIN st ON st.a = w.at WHERE h < 6)
+SELECT r_name AS a, s.s AS b, MIN(h)::INTEGER AS hops FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer) s LEFT JOIN w ON w.a = r_name AND w.at = s.s GROUP BY ALL"""
+
+QUERIES = {f.__name__: f for f in (q_ancestors, q_constituents, q_lca, q_voice, q_candidate_spans, q_signature_spans, q_hierarchy_closure, q_hop_cost, q_shortest_path, q_pmi, q_ancestor_counts, q_chain_closure, q_pair_distances)}
 ORACLES = {
     "q_ancestors": UP_SQL + "SELECT sid, id, ancestor::INTEGER AS ancestor, hops::INTEGER AS hops FROM up",
     "q_constituents": CONSTITUENTS_SQL,
@@ -215,4 +241,6 @@ ORACLES = {
     "q_shortest_path": SHORTEST_SQL,
     "q_pmi": PMI_SQL,
     "q_ancestor_counts": ROLLUP_SQL,
+    "q_chain_closure": CHAIN_SQL,
+    "q_pair_distances": PAIRS_SQL,
 }
