@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import split_sentences
-from tessera.operators import arguments, evaluation, frames, lexicon, prep, targets, training, trees
+from tessera.operators import evaluation, frames, lexicon, prep, targets, trees
 from tessera.plans.fixtures import ITEM_TOKENS_SQL, LABELS, item_tokens, read
-from tessera.plans.tree_queries import UP_SQL, mirrored
+from tessera.plans.tree_queries import UP_SQL
 
 
 def q_lemmas(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,32 +71,6 @@ UNION ALL SELECT key, 'sC:' || array_to_string(list_filter(l, lambda x: x NOT IN
 UNION ALL SELECT key, 'pP:' || left(pp, 1) FROM b UNION ALL SELECT key, 'pLP:' || pl || '_' || left(pp, 1) FROM b UNION ALL SELECT key, 'pLab:' || pr FROM b"""
 
 
-def _argument_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tokens = mirrored(spark, sf)
-    goal = tokens.where("id = 2").select("sid", F.col("sid").alias("inst"), F.array("id").alias("idxs"), F.col("id").alias("head_id"))
-    instances = goal.select("inst", "sid", F.concat(F.lit("F"), F.col("sid") % 3).alias("frame"))
-    roles = instances.select("frame").distinct().select("frame", F.explode(F.array(F.lit("Agent"), F.lit("Theme"))).alias("role"))
-    return arguments.argument_rows(instances, roles, arguments.candidate_spans(tokens)), tokens, goal
-
-
-def q_argument_features(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each argument feature fires over roles and spans of items."""
-    rows, tokens, goal = _argument_rows(spark, sf)
-    return arguments.argument_features(rows, tokens, goal).groupBy("feature").agg(F.count("*").alias("n"))
-
-
-def q_argument_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans scored with weights by name's checksum, then the best assignment of each item."""
-    rows, tokens, goal = _argument_rows(spark, sf)
-    features = arguments.argument_features(rows, tokens, goal)
-    alphabet = training.distinct_alphabet(features)
-    weight = ((F.crc32(F.col("feature").cast("binary")) % 41 - 20) / 64).cast("double")
-    params = alphabet.select("idx", weight.alias("weight")).unionByName(spark.createDataFrame([(0, 0.25)], "idx long, weight double"))
-    scored = arguments.score_spans(rows, arguments.index_features(features, alphabet), params)
-    best = arguments.best_assignments(scored)
-    return best.select("inst", F.round("score", 6).alias("score"), F.size("roles").alias("roles"))
-
-
 def q_score_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Precision and recall by metric of two ways to give items frames, corpus-wide."""
     tokens = item_tokens(read(spark, sf, "benchmark"))
@@ -185,6 +159,6 @@ def q_kb_lookup(spark: SparkSession, sf: str) -> DataFrame:
 KB_SQL = f"""WITH tok AS ({ITEM_TOKENS_SQL}), k AS (SELECT DISTINCT lower(form) AS w FROM tok WHERE postag = 'NNS')
 SELECT sid, (id - 1)::INTEGER AS start, 1 AS n, CASE length(w) % 3 WHEN 0 THEN 'thing' WHEN 1 THEN 'place,thing' ELSE 'person' END AS categories FROM tok JOIN k ON w = lower(form) WHERE postag LIKE 'N%'"""
 
-FUNCTIONS = (q_lemmas, q_relations, q_base_features, q_argument_features, q_argument_decode, q_score_sentences, q_split_sentences, q_uncovered, q_turn_tokens, q_kb_lookup)
+FUNCTIONS = (q_lemmas, q_relations, q_base_features, q_score_sentences, q_split_sentences, q_uncovered, q_turn_tokens, q_kb_lookup)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {"q_lemmas": LEMMAS_SQL, "q_relations": RELATIONS_SQL, "q_base_features": BASE_SQL, "q_uncovered": UNCOVERED_SQL, "q_kb_lookup": KB_SQL, "q_split_sentences": SENTENCES_SQL, "q_score_sentences": SCORE_SQL}
