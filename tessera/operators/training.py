@@ -10,19 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.frames import with_all
 from tessera.operators.lexicon import number
 
 
-#: Parts into which frame features are dealt where every base feature meets them all; no row holds more than a part.
-DEALS = 64
-
-
 def build_alphabet(base: DataFrame, frame_features: DataFrame, least: int = 2) -> DataFrame:
     """(feature, idx): base features of at least ``least`` targets, each with every frame feature, numbered from 0."""
     kept = base.groupBy("feature").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least).select("feature")
-    names = frame_features.select("frame_feature").distinct().withColumn("deal", F.pmod(F.xxhash64("frame_feature"), F.lit(DEALS)))
-    deals = names.groupBy("deal").agg(F.collect_list("frame_feature").alias("names"))
-    both = kept.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).join(deals, "deal").select("feature", F.explode("names").alias("frame_feature"))
+    both = with_all(kept, frame_features, "frame_feature")
     return number(both.select(F.concat_ws(" ", "frame_feature", "feature").alias("feature")), "feature", 0)
 
 

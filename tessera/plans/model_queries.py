@@ -84,7 +84,7 @@ def q_linear_argmax(spark: SparkSession, sf: str) -> DataFrame:
     total = counts.groupBy("feature").agg(F.sum("c").alias("t"))
     params = counts.join(total, "feature").where("t >= 20").select(F.concat_ws(" ", F.concat(F.lit("f:"), "lang"), "feature").alias("feature"), F.round(1000 * F.col("c") / F.col("t")).alias("weight"))
     langs = features.select("lang").distinct().select(F.col("lang").alias("frame"))
-    candidates = features.select("key").distinct().join(F.broadcast(langs.agg(F.collect_set("frame").alias("fs")))).select("key", F.explode("fs").alias("frame"))
+    candidates = frames.with_all(features.select("key").distinct(), langs, "frame")
     scored = frames.scores(frames.conjoin(candidates, features.select("key", "feature", "value"), frames.frame_features(langs)), params)
     return frames.argmax(scored).select("key", "frame", F.col("score").cast("long").alias("score"))
 
@@ -400,11 +400,24 @@ def q_stream_errors(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy("event_type", "error").agg(F.sum("n").alias("n"))
 
 
+def q_ordered_output(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written in ranges of their user and time, read back: each user's events by the order of the files, and the
+    ranges that break it."""
+    place = scratch.folder(spark)
+    events = read(spark, sf, "events").withColumn("at", F.struct("user_id", "ts", "event_id"))
+    stream.write_ordered(events, place, by="at", parts=7)
+    faults = stream.order_faults(spark, place, by="at").agg(F.count("*").alias("faults"))
+    first = spark.read.parquet(place).groupBy("user_id").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("part", "place")).alias("first"), F.max_by("event_id", F.struct("part", "place")).alias("last"))
+    return first.crossJoin(F.broadcast(faults))  # one row
+
+
+ORDERED_SQL = """SELECT user_id, COUNT(*) AS n, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last, 0 AS faults FROM events GROUP BY user_id"""
+
 STREAM_SQL = """SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'not a JSON record' WHEN props IS NULL THEN 'no record' END AS error, COUNT(*) AS n FROM events GROUP BY ALL"""
 
 FUNCTIONS = (
     q_distribution, q_neighbors, q_candidate_tiers, q_linear_argmax, q_embedding_window, q_beam_assignment, q_constrained_assignment, q_alphabet, q_softmax_grad, q_grid_select,
-    q_rare_classes, q_prf, q_span_eval, q_error_counts, q_partial_credit, q_semantic_score, q_bag_errors, q_randomization, q_format_roundtrip, q_nested_result, q_cost_matrix, q_stream_errors,
+    q_rare_classes, q_prf, q_span_eval, q_error_counts, q_partial_credit, q_semantic_score, q_bag_errors, q_randomization, q_format_roundtrip, q_nested_result, q_cost_matrix, q_stream_errors, q_ordered_output,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {
@@ -412,5 +425,5 @@ ORACLES = {
     "q_beam_assignment": GRID_SQL + "SELECT inst, round(MAX(total), 6) AS score FROM c GROUP BY inst",
     "q_constrained_assignment": GRID_SQL + "SELECT inst, round(MAX(total), 6) AS score, true AS is_optimal FROM c WHERE NOT (f1 AND f2) GROUP BY inst",
     "q_alphabet": ALPHABET_SQL, "q_softmax_grad": GRAD_SQL, "q_grid_select": GRID_SELECT_SQL, "q_rare_classes": RARE_SQL, "q_prf": PRF_SQL, "q_span_eval": SPAN_SQL,
-    "q_error_counts": ERROR_SQL, "q_partial_credit": CREDIT_SQL, "q_semantic_score": SEMANTIC_SQL, "q_bag_errors": BAG_ERRORS_SQL, "q_randomization": RANDOM_SQL, "q_format_roundtrip": ROUNDTRIP_SQL, "q_cost_matrix": COST_SQL, "q_stream_errors": STREAM_SQL,
+    "q_error_counts": ERROR_SQL, "q_partial_credit": CREDIT_SQL, "q_semantic_score": SEMANTIC_SQL, "q_bag_errors": BAG_ERRORS_SQL, "q_randomization": RANDOM_SQL, "q_format_roundtrip": ROUNDTRIP_SQL, "q_cost_matrix": COST_SQL, "q_stream_errors": STREAM_SQL, "q_ordered_output": ORDERED_SQL,
 }

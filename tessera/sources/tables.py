@@ -26,9 +26,18 @@ def read_cost_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cost_matrix(costs: DataFrame, path: str) -> None:
-    """The same as a CSV of one row a gold name."""
-    names = [r[0] for r in costs.select("pred").distinct().orderBy("pred").collect()]
-    costs.groupBy("gold").pivot("pred", names).agg(F.first("cost")).orderBy("gold").write.option("header", True).csv(path)
+    """The same as one CSV file of a row a gold name, in order of names, costs that are missing empty.
+
+    The names of the columns are one row of the header, which is as wide as the file is to be; rows are put together from
+    their own costs and that list, not on the driver.
+    """
+    quoted = lambda c: F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    names = costs.agg(F.array_sort(F.collect_set("pred")).alias("names"))
+    by = costs.groupBy("gold").agg(F.map_from_entries(F.collect_set(F.struct("pred", "cost"))).alias("of"))
+    cells = F.transform("names", lambda n: F.coalesce(F.try_element_at("of", n).cast("string"), F.lit("")))
+    rows = by.join(F.broadcast(names)).select("gold", F.concat(quoted(F.col("gold")), F.lit(","), F.array_join(cells, ",")).alias("value"))
+    head = names.select(F.lit(None).cast("string").alias("gold"), F.concat(F.lit("gold,"), F.array_join(F.transform("names", quoted), ",")).alias("value"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions(F.col("gold").asc_nulls_first()).select("value").write.text(path)
 
 
 def read_ancestors(spark: SparkSession, path: str) -> DataFrame:
