@@ -4,8 +4,10 @@ A host's wrapper is one tree: up to ``MODELS`` of its pages are aligned one afte
 what a page has beyond the tree so far is put in where it stands. Then every page of the host is aligned with the wrapper
 and votes: text slots that read the same on nearly all pages are template, and article containers that hold most of the
 varying text are the host's main nodes. A page's text is what stands in its main nodes, less template slots, less what
-tags, roles and names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments. Only a page that the
-host's main nodes say nothing about goes by its own article or main element.
+tags, roles and names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments. Names that may as well
+be those of an article's sections (``DOUBTFUL_NAMES``) mark nothing inside the article: there the votes alone decide, so
+that what varies from page to page stays. Only a page that the host's main nodes say nothing about goes by its own article
+or main element.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ ASIDE_NAMES = set(
     "comments commentlist commentary respond reply replies discussion disqus feedback share sharing social related recommended recommendations trending pagination pager "
     "paging toolbar widget widgets skip disclaimer privacy teaser teasers outbrain taboola".split()
 )
+#: Of these the ones that name a part of the text as well; and beginnings of names that adverts are known by.
+DOUBTFUL_NAMES = set(
+    "discussion alert legal copyright privacy disclaimer feedback response promotion banner banners aside foot colophon".split()
+)
+ADVERT_NAMES = ("adsby", "adslot", "adunit", "adsense", "adchoice")
 HEAD_TAGS, HEAD_ROLES, HEAD_NAMES = {"header"}, {"banner"}, set("header masthead topbar topnav top".split())
 MAIN_NAMES = set("article main content post entry story".split())
 #: Parts that make a name tell of the layout (``has-sidebar``) instead of the element's own role.
@@ -59,8 +66,11 @@ PLACE_NAMES = set(
     "global link links bar item items text body title group row col column slot unit module panel count icon button buttons zone wide small large".split()
 )
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Pages that a host's wrapper is built from, pages that must agree before a slot is template, and the share that must.
-MODELS, PAGES_LEAST, SHARE = 8, 8, 0.9
+#: Pages that a host's wrapper is built from, and the expected share of pages that read alike above which a slot is template.
+MODELS, SHARE = 8, 0.9
+#: What is held of a slot before its pages are seen, as pages that read alike and pages that don't: outside the main nodes
+#: most that stands on several pages is template, inside hardly anything is.
+PRIOR_OUTSIDE, PRIOR_INSIDE = (1.5, 0.5), (0.5, 2.0)
 
 
 class Node:
@@ -88,7 +98,8 @@ def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, int]:
         if name and not side and tag not in ("html", "body", "main"):
             tokens = [{p.lower() for p in NAME_PARTS.findall(token)} for token in name.replace(".", " ").split()]
             roles = [token for token in tokens if not token & STATE_NAMES]
-            side = any(token & ASIDE_NAMES and token <= ASIDE_NAMES | PLACE_NAMES for token in roles)
+            asides = ASIDE_NAMES - DOUBTFUL_NAMES if inside_main else ASIDE_NAMES
+            side = any(token & asides and token <= ASIDE_NAMES | PLACE_NAMES or any(p.startswith(ADVERT_NAMES) for p in token) for token in roles)
             side = side and not (tag == "article" and not set().union(*roles) & {"ad", "ads", "advert", "promo", "comment", "related", "sponsored", "teaser"})
             side = side or (not inside_main and any(token & HEAD_NAMES and token <= HEAD_NAMES | PLACE_NAMES and not token & MAIN_NAMES for token in roles))
         if role in ("main", "article"):
@@ -475,12 +486,17 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["host", "node", "seen", "same", "chars"])
 
 
-def _elected(data: bytes, votes: list[dict], pages_least: int, share: float) -> Model:
-    """The model that a wrapper's votes make."""
+def _elected(data: bytes, votes: list[dict], share: float) -> Model:
+    """The model that a wrapper's votes make: template are slots whose posterior mean share of pages that read alike is
+    ``share`` or more, by a beta prior that depends on where they stand."""
     root = unpacked(data)
-    by = {v["node"]: v for v in votes}
-    fixed = frozenset(n for n, v in by.items() if v["seen"] >= pages_least and v["same"] >= v["seen"] * share)
-    chars = {n: v["chars"] for n, v in by.items()}
+    chars = {v["node"]: v["chars"] for v in votes}
+
+    def template(mains: frozenset[int]) -> frozenset[int]:
+        inside = {x.slot for x in _inside(root, lambda n: n.slot in mains)} if mains else set()
+        priors = {v["node"]: PRIOR_INSIDE if v["node"] in inside else PRIOR_OUTSIDE for v in votes if v["seen"]}
+        return frozenset(v["node"] for v in votes if v["seen"] and v["same"] + priors[v["node"]][0] >= share * (v["seen"] + sum(priors[v["node"]])) - 1e-9)
+
     # Of articles, else of mains: the outermost unmarked ones, if they hold at least half of what is beside nothing.
     for rank in (3, 2):
         found, todo = [], [root]
@@ -493,18 +509,18 @@ def _elected(data: bytes, votes: list[dict], pages_least: int, share: float) ->
             else:
                 todo.extend(node.kids)
         if found and 2 * sum(chars.get(n, 0) for n in found) >= chars.get(root.slot, 0) > 0:
-            return Model(root, fixed, frozenset(found))
-    return Model(root, fixed, frozenset())
+            return Model(root, template(frozenset(found)), frozenset(found))
+    return Model(root, template(frozenset()), frozenset())
 
 
 def extract_text(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", pages_least: int = PAGES_LEAST, share: float = SHARE
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", share: float = SHARE
 ) -> DataFrame:
     """(page_id, url, text) of every page; blocks are joined by a newline, text is empty where nothing is left.
 
-    A slot belongs to the template if at least ``pages_least`` pages have it and it reads the same on ``share`` of them;
-    every page votes, but copies of the wrapper's pages. Hosts of fewer pages have main nodes only. Pages without a host go
-    by themselves. Null html has no text. Rows that repeat an id are pages of their own. Extra columns are left out, an
+    A slot belongs to the template if by the votes of its pages, copies of the wrapper's pages left out, and a prior it is
+    expected to read the same on ``share`` of them: outside the main nodes three such pages that agree suffice, inside it
+    takes eighteen; a page that reads otherwise keeps its own text in either case. Pages without a host go by themselves. Null html has no text. Rows that repeat an id are pages of their own. Extra columns are left out, an
     empty table gives an empty one. Wrappers join by host: Spark sends small tables to all tasks and splits hot hosts.
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_and_path(F.col(url))[0].alias("host"))
@@ -531,7 +547,7 @@ def extract_text(
     joined = src.join(written(wrappers.join(votes, "host")), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(lambda data, votes: _elected(data, votes, pages_least, share))
+        models = Models(lambda data, votes: _elected(data, votes, share))
         for batch in batches:
             names = batch.schema.names
             texts = []

@@ -106,3 +106,55 @@ def test_names_of_topics_and_linked_words_stay():
     assert [x.text for x in wrappers.content(wrappers.parse(html))] == ["one", "two"]
     html = "<div class='post-content'><p>I saw <a>a long linked sentence</a></p><p>tail</p></div>"
     assert [x.text for x in wrappers.content(wrappers.parse(html))] == ["I saw a long linked sentence", "tail"]
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_sections_of_an_article_stay_whatever_their_names(spark):
+    body = lambda i: f"<article><p>Story {i}</p><section class='discussion'>We discuss {i}</section><section class='alert-box'>Mind {i}</section><div class='adsbygoogle'>buy {i}</div><div class='comments'>first {i}</div></article>"
+    rows = [(i, f"http://s.example/{i}", body(i)) for i in range(12)] + [(100, "http://one.example/", body(100))]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Story {i}\nWe discuss {i}\nMind {i}" for i in (*range(12), 100))
+    same = [(i, f"http://n.example/{i}", f"<article><p>Story {i}</p><div class='notice'>Please be kind</div></article>") for i in range(30)]
+    assert texts_of(spark, same)[3] == "Story 3"
+
+
+def test_few_pages_of_a_host_tell_its_template(spark):
+    html = lambda i: f"<div class='q1'>The Daily Page</div><div class='q2'>text {i} is unique</div><div class='q4'>(c) Corp</div>"
+    for n in (2, 3, 6):
+        got = texts_of(spark, [(i, f"http://few{n}.example/{i}", html(i)) for i in range(n)])
+        want = "text 0 is unique" if n > 3 else "The Daily Page\ntext 0 is unique\n(c) Corp"
+        assert got[0] == want
+    rows = [(i, f"http://art.example/{i}", f"<article><p>The same lead</p><p>Story {i}</p></article>") for i in range(6)]
+    assert texts_of(spark, rows)[0] == "The same lead\nStory 0"
+
+
+def expected(roles, i, marked):
+    """A page of a site with a part for each role, and its main text; ``marked`` says whether names tell the roles."""
+    name = lambda role, k: f" class='{role if marked else f'z{k}'}'"
+    parts, text = [], []
+    for k, role in enumerate(roles):
+        if role == "text":
+            lines = [f"Line {j} of page {i} in part {k}" for j in range(1 + (i * 7 + k) % 3)]
+            text += lines
+            parts.append(f"<div class='b{k}'>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>")
+        else:
+            parts.append(f"<div{name(role, k)}>Words of the {role} {k}</div>")
+    return "<body>" + "".join(parts) + "</body>", "\n".join(text)
+
+
+def test_made_up_sites_of_all_sizes(spark):
+    rng = random.Random(8)
+    rows, want, changed = [], {}, 0
+    for site in range(30):
+        roles = [rng.choice(["menu", "footer", "sidebar", "text", "newsletter"]) for _ in range(rng.randint(2, 6))] + ["text"]
+        marked, n = site % 2 == 0, rng.choice([4, 5, 7, 12, 25])
+        for i in range(n):
+            key = site * 100 + i
+            html, want[key] = expected(roles, i, marked)
+            rows.append((key, f"http://site{site}.example/{i}", html))
+            changed += "\n".join(x.text for x in wrappers.content(wrappers.parse(html))) != want[key]
+    got = texts_of(spark, rows)
+    assert got == want and changed > 50
