@@ -34,20 +34,19 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-#: Public suffixes of two labels under which names are registered, as far as this list goes.
-SUFFIXES = (
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr",
-    "co.in", "co.kr", "co.za", "com.ar", "com.tw",
-)
+#: Suffixes of two labels under which names are registered: one of these kinds below a country's two letters.
+SUFFIX_RULE = "^(ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|or|org|sch)\\.[a-z]{2}$"
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
-def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host, its port left out: the suffix is the last label, or the last two where they
-    are one of ``suffixes``; the domain has one label more. An address in numbers (or in brackets) is its own domain and suffix."""
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, its port left out: the suffix is the last label, or the last two where the
+    rule says so or they are one of ``suffixes`` (as ``github.io``); the domain has one label more. An address in numbers
+    (or in brackets) is its own domain and suffix."""
     name = F.regexp_replace(host, r":\d*$", "")
     whole = name.rlike(IPV4) | name.startswith("[")
-    longer = F.substring_index(name, ".", -2).isin(*suffixes)
+    two = F.substring_index(name, ".", -2)
+    longer = two.rlike(SUFFIX_RULE) | two.isin(*suffixes) if suffixes else two.rlike(SUFFIX_RULE)
     suffix = F.when(whole, name).when(longer, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
     domain = F.when(whole, name).when(longer, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
     return domain, suffix
@@ -64,14 +63,14 @@ def _strength(level: DataFrame) -> float:
     return float(round(1 / rho - 1, 4))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, known: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """From (host, good: 0 or 1) rows: tables by host, domain and suffix of the posterior, and the prior's numbers.
 
     Rows with null good are no outcomes. Without any outcome the good rate is one half everywhere. Only
     four scalars go through the driver; the tables stay distributed.
     """
     hosts = outcomes.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), known)
     # Written once: outcomes are not read again for each level and each moment.
     hosts = written(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -96,22 +95,22 @@ def lower_bound(n: Column, k: Column, mean: Column, strength: float, z: float) -
     return a / (a + b) - F.lit(z) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules=RULES, least: float = 0.6, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules=RULES, least: float = 0.6, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """``pages`` with host, path, rule, verdict and good_bound (the posterior bound that decides where no rule does).
 
     ``outcomes`` are (url, good). Hosts, not pages, are joined to the reputation tables; pages then join their
     host's bound by key, where Spark splits a hot host. An unseen host has its domain's mean, an unseen domain its
-    suffix's, an unseen suffix the overall mean. Columns of these names in ``pages`` are replaced; repeated rows are
+    suffix's, an unseen suffix the overall mean. ``suffixes`` are further public suffixes of two labels. Columns of these names in ``pages`` are replaced; repeated rows are
     judged alike, an empty table gives an empty one.
     """
     host, path = host_and_path(F.col(url))
     seen = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), F.col("good").cast("long").alias("good"))
-    hosts, domains, suffixes, prior = host_reputation(seen, z)
+    hosts, domains, endings, prior = host_reputation(seen, z, suffixes)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = pages.drop("host", "path", "rule", "verdict", "good_bound").withColumns({"host": host, "path": path})
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     every = judged.select("host").distinct().withColumns({"domain": domain, "suffix": suffix})
-    every = every.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    every = every.join(hosts, "host", "left").join(domains, "domain", "left").join(endings, "suffix", "left")
     mean = F.coalesce("domain_mean", "suffix_mean", F.lit(prior["base"]))
     n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
     every = every.select("host", lower_bound(n, k, mean, prior["host"], z).alias("good_bound"))
@@ -144,7 +143,7 @@ WITH parts AS (
   FROM judged
 ), named AS (
   SELECT *, regexp_matches(name, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') OR starts_with(name, '[') AS whole,
-    list_aggregate(string_split(name, '.')[-2:], 'string_agg', '.') IN ({suffixes}) AS longer FROM ruled
+    regexp_matches(list_aggregate(string_split(name, '.')[-2:], 'string_agg', '.'), '{rule}') AS longer FROM ruled
 ), levels AS (
   SELECT page_id, host, path, rule,
     CASE WHEN whole THEN name WHEN longer THEN list_aggregate(string_split(name, '.')[-3:], 'string_agg', '.')
@@ -178,4 +177,4 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) >= 0.6 THEN 'allow' ELSE 'block' END AS verdict
 FROM post
-""".replace("{suffixes}", ", ".join(f"'{s}'" for s in SUFFIXES))
+""".replace("{rule}", SUFFIX_RULE)

@@ -28,7 +28,47 @@ def test_deltas_replays_and_compaction(spark, odd, none):
     r.commit("c", gone)
     assert all(k[1] != "en" for k in table(r.totals()))
     r.commit("d", rollups.delta(none.select("source", "lang", F.lit("v1").alias("tokenizer"), F.lit(1).alias("tokens"))))
-    assert r.committed() == ["a", "b", "c", "d"]
+    assert sorted(x["batch"] for x in r.committed().collect()) == ["a", "b", "c", "d"]
+    before = table(r.totals())
+    for _ in range(2):
+        r.compact()
+    assert table(r.totals()) == before and r._ids("batch") == [] and len(r._ids("snapshot")) == 2
+    assert not r.commit("a", rollups.delta(rows)) and sorted(x["batch"] for x in r.committed().collect()) == ["a", "b", "c", "d"]
+
+
+def test_tokens_are_those_of_the_tokenizer(spark, odd, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = rollups.with_tokens(odd)
+    assert [c for c in got.columns if c not in ("tokens", "tokenizer")] == odd.columns
+    for r in got.collect():
+        assert r["tokens"] == len(tok.encode(r["text"] or "", add_special_tokens=False).ids)
+    sums = table(rollups.delta(got))
+    assert all(k[2] == "word_bpe_49k" for k in sums) and sum(v[0] for v in sums.values()) == odd.count()
+    assert rollups.with_tokens(none).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    from tessera.llm import exact, mixing, urls
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are absent")
+    con = duckdb.connect()
+    for name in ("documents", "labels", "pages"):
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    pairs = [(rollups.op9_token_counts, rollups.OP9_SQL), (urls.op10_url_filters, urls.OP10_SQL), (mixing.op3_mixing, mixing.OP3_SQL), (exact.op11_exact_dedup, exact.OP11_SQL)]
+    for query, sql in pairs:
+        got, found = query(spark, "/root/testdata/sf0.001"), con.execute(sql)
+        names = [d[0] for d in found.description]
+        order = lambda rows: sorted(repr(r) for r in rows)
+        assert order(tuple(r[n] for n in names) for r in got.collect()) == order(found.fetchall()) and sorted(names) == sorted(got.columns)
 
 
 def test_half_written_batch_does_not_count(spark):
