@@ -55,14 +55,14 @@ UNION ALL SELECT q.word, 'hypernym', COUNT(*) FROM q JOIN p ON left(q.b, length(
 
 
 def q_base_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of every fifth token of items as a target, before they meet a frame."""
+    """Features of every token of items as a target, before they meet a frame."""
     tokens = item_tokens(read(spark, sf, "benchmark"))
-    goal = tokens.where("id % 5 = 0").select((F.col("sid") * 10000 + F.col("id")).alias("key"), "sid", F.array("id").alias("idxs"), F.col("id").alias("head_id"))
+    goal = tokens.select((F.col("sid") * 10000 + F.col("id")).alias("key"), "sid", F.array("id").alias("idxs"), F.col("id").alias("head_id"))
     return frames.base_features(tokens, goal).select("key", "feature")
 
 
 BASE_SQL = f"""
-WITH tok AS ({ITEM_TOKENS_SQL}), t AS (SELECT sid * 10000 + id AS key, * FROM tok WHERE id % 5 = 0), k AS (SELECT t.key, t.postag, list(c.deprel ORDER BY c.id) AS l FROM t JOIN tok c ON c.sid = t.sid AND c.head = t.id GROUP BY ALL),
+WITH tok AS ({ITEM_TOKENS_SQL}), t AS (SELECT sid * 10000 + id AS key, * FROM tok), k AS (SELECT t.key, t.postag, list(c.deprel ORDER BY c.id) AS l FROM t JOIN tok c ON c.sid = t.sid AND c.head = t.id GROUP BY ALL),
 a AS (SELECT t.key, p.postag AS pp, p.lemma AS pl, p.deprel AS pr, g.postag AS gp, g.lemma AS gl, g.deprel AS gr FROM t JOIN tok p ON p.sid = t.sid AND p.id = t.head LEFT JOIN tok g ON g.sid = t.sid AND g.id = p.head),
 b AS (SELECT key, CASE WHEN pp LIKE 'I%' AND gp IS NOT NULL THEN gp ELSE pp END AS pp, CASE WHEN pp LIKE 'I%' AND gp IS NOT NULL THEN gl ELSE pl END AS pl, CASE WHEN pp LIKE 'I%' AND gp IS NOT NULL THEN gr ELSE pr END AS pr FROM a)
 SELECT key, 'aP:' || left(postag, 1) AS feature FROM t UNION ALL SELECT key, 'aTP:' || form || '_' || left(postag, 1) FROM t UNION ALL SELECT key, 'aLP:' || lemma || '_' || left(postag, 1) FROM t

@@ -101,35 +101,36 @@ SELECT key, frame, score::BIGINT AS score FROM r WHERE n = 1"""
 
 
 def q_embedding_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors in a window of five around every tenth vector, as features, summed."""
+    """Vectors in a window of five around every vector, as features, summed."""
     vectors = read(spark, sf, "embeddings")
     tokens = vectors.select((F.col("vec_id") % 20).alias("sid"), (F.floor(F.col("vec_id") / 20) + 1).cast("int").alias("id"), F.col("vec_id").cast("string").alias("form"))
-    targets = tokens.where("id % 10 = 5").select(F.col("form").cast("long").alias("key"), "sid", F.col("id").alias("head_id"))
+    targets = tokens.select(F.col("form").cast("long").alias("key"), "sid", F.col("id").alias("head_id"))
     table = vectors.select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
     rows = frames.embedding_window(targets, tokens, table)
     return rows.groupBy("key").agg(F.count("*").alias("features"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"), F.min("feature").alias("first"))
 
 
 EMBEDDING_SQL = """
-WITH t AS (SELECT vec_id % 20 AS sid, vec_id // 20 + 1 AS id, vec_id FROM embeddings), g AS (SELECT * FROM t WHERE id % 10 = 5),
+WITH t AS (SELECT vec_id % 20 AS sid, vec_id // 20 + 1 AS id, vec_id FROM embeddings), g AS (SELECT * FROM t),
 w AS (SELECT g.vec_id AS key, t.id - g.id AS k, t.vec_id FROM g JOIN t ON t.sid = g.sid AND t.id BETWEEN g.id - 2 AND g.id + 2),
 v AS (SELECT key, k, i, embedding[i + 1]::DOUBLE AS value FROM w JOIN embeddings USING (vec_id), unnest(range(0, len(embedding))) AS x(i))
 SELECT key, COUNT(*) AS features, round(SUM(value), 4) AS total, MIN('[' || k || '] senna' || lpad(i::VARCHAR, 2, '0')) AS first FROM v GROUP BY key"""
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    """A role x span grid from line items: orders are instances, the first three lines roles, spans and scores by arithmetic."""
-    items = read(spark, sf, "lineitem").where("l_linenumber <= 3")
-    spans = items.select(F.col("l_orderkey").alias("inst"), F.concat(F.lit("r"), "l_linenumber").alias("role"), "l_partkey", "l_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    """A role x span grid from line items: orders are instances, lines in turn of three roles, spans and scores by arithmetic; of a
+    span's scores the highest counts."""
+    items = read(spark, sf, "lineitem")
+    spans = items.select(F.col("l_orderkey").alias("inst"), F.concat(F.lit("r"), (F.col("l_linenumber") - 1) % 3 + 1).alias("role"), "l_partkey", "l_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     start = F.when(F.col("k") == 0, -1).otherwise(F.pmod(F.col("l_partkey") * F.col("k"), F.lit(9))).cast("int")
     stop = F.when(F.col("k") == 0, -1).otherwise(start + F.pmod(F.col("l_suppkey") + F.col("k"), F.lit(4))).cast("int")
     score = (F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("k") * 101, F.lit(97)) / 8).cast("double")
-    return spans.select("inst", "role", start.alias("start"), stop.alias("stop"), score.alias("score")).distinct()
+    return spans.groupBy("inst", "role", start.alias("start"), stop.alias("stop")).agg(F.max(score).alias("score"))
 
 
 GRID_SQL = """
-WITH g0 AS (SELECT l_orderkey AS inst, l_linenumber AS ln, 'r' || l_linenumber AS role, l_partkey AS p, l_suppkey AS s, k FROM lineitem, unnest([0, 1, 2, 3]) AS x(k) WHERE l_linenumber <= 3),
-g AS (SELECT DISTINCT inst, ln, role, CASE WHEN k = 0 THEN -1 ELSE (p * k) % 9 END AS a, CASE WHEN k = 0 THEN -1 ELSE (p * k) % 9 + (s + k) % 4 END AS b, ((p * 31 + s * 17 + k * 101) % 97) / 8.0::DOUBLE AS score FROM g0),
+WITH g0 AS (SELECT l_orderkey AS inst, (l_linenumber - 1) % 3 + 1 AS ln, 'r' || ((l_linenumber - 1) % 3 + 1) AS role, l_partkey AS p, l_suppkey AS s, k FROM lineitem, unnest([0, 1, 2, 3]) AS x(k)),
+g AS (SELECT inst, ln, role, CASE WHEN k = 0 THEN -1 ELSE (p * k) % 9 END AS a, CASE WHEN k = 0 THEN -1 ELSE (p * k) % 9 + (s + k) % 4 END AS b, MAX(((p * 31 + s * 17 + k * 101) % 97) / 8.0::DOUBLE) AS score FROM g0 GROUP BY ALL),
 c AS (SELECT i.inst, COALESCE(x.score, 0) + COALESCE(y.score, 0) + COALESCE(z.score, 0) AS total, COALESCE(x.a >= 0, false) AS f1, COALESCE(y.a >= 0, false) AS f2
   FROM (SELECT DISTINCT inst FROM g) i LEFT JOIN g x ON x.inst = i.inst AND x.ln = 1 LEFT JOIN g y ON y.inst = i.inst AND y.ln = 2 LEFT JOIN g z ON z.inst = i.inst AND z.ln = 3
   WHERE NOT (COALESCE(x.a, -1) >= 0 AND COALESCE(y.a, -1) >= 0 AND x.a <= y.b AND x.b >= y.a) AND NOT (COALESCE(x.a, -1) >= 0 AND COALESCE(z.a, -1) >= 0 AND x.a <= z.b AND x.b >= z.a)

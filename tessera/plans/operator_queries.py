@@ -205,7 +205,7 @@ def _weight(text):
 
 def q_latent(spark: SparkSession, sf: str) -> DataFrame:
     """Items' words with two hidden units of each of two frames: how each frame scores over its units."""
-    tokens = tokens_of(spark, sf).where("length(form) > 3")
+    tokens = tokens_of(spark, sf)
     goal = tokens.select((F.col("sid") * 10000 + F.col("id")).alias("key"), F.lower("form").alias("tokens"), F.concat_ws("_", "lemma", "postag").alias("lemma_pos"), F.lower(F.substring("postag", 1, 1)).alias("a_pos"))
     rows = [(f, f"{f}.{u}", u, f"{u}_n") for f in ("A", "B") for u in ("this", "that", f"u{f}")]
     units = spark.createDataFrame(rows, "frame string, unit string, tokens string, token_pos string")
@@ -215,7 +215,7 @@ def q_latent(spark: SparkSession, sf: str) -> DataFrame:
     return frames.latent_scores(found, params, units.where("frame = 'A'")).select("key", "frame", F.when(F.col("frame") == "A", rounded("score")).otherwise(-1.0).alias("score"))
 
 
-LATENT_SQL = f"""WITH tok AS ({ITEM_TOKENS_SQL}), g AS (SELECT sid * 10000 + id AS key, lower(form) AS t, lemma || '_' || postag AS l, lower(left(postag, 1)) AS a FROM tok WHERE length(form) > 3),
+LATENT_SQL = f"""WITH tok AS ({ITEM_TOKENS_SQL}), g AS (SELECT sid * 10000 + id AS key, lower(form) AS t, lemma || '_' || postag AS l, lower(left(postag, 1)) AS a FROM tok),
 u(frame, h) AS (VALUES ('A', 'this'), ('A', 'that'), ('A', 'uA'), ('B', 'this'), ('B', 'that'), ('B', 'uB')),
 n AS (SELECT key, frame, h, unnest(list_concat(['sTP:' || t, 'sLP:' || l, 'hT:' || h, 'hLP:' || h || '_n'], CASE WHEN length(t) % 2 = 0 THEN ['tRLn:synonym', 'tRLn:synonym_' || h || '_n', 'tRLn:synonym_' || h || '_n_' || a] ELSE [] END,
   CASE WHEN t = h THEN ['sTs', 'sTs_' || h, 'sTs_' || a || '_' || h || '_n', 'sTs_' || l || '_' || h || '_n'] ELSE [] END)) AS f FROM g, u),
@@ -225,7 +225,7 @@ SELECT key, frame, CASE WHEN frame = 'A' THEN round(ln(SUM(exp(s))), 6) ELSE -1.
 
 def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tokens = tokens_of(spark, sf)
-    return tokens, tokens.where("id % 5 = 0").select((F.col("sid") * 10000 + F.col("id")).alias("key"), "sid", F.array("id").alias("idxs"), F.col("id").alias("head_id"))
+    return tokens, tokens.select((F.col("sid") * 10000 + F.col("id")).alias("key"), "sid", F.array("id").alias("idxs"), F.col("id").alias("head_id"))
 
 
 def q_identify(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +254,7 @@ def q_frame_triples(spark: SparkSession, sf: str) -> DataFrame:
     return frames.feature_triples(frames.base_features(tokens, goal).select("key", "feature", F.lit(1).alias("value")), gold)
 
 
-FRAME_TRIPLES_SQL = f"""SELECT key AS target_id, feature AS feature_name, '1' AS value FROM ({BASE_SQL}) b UNION ALL SELECT sid * 10000 + id, 'frame', 'F' || sid % 3 FROM ({ITEM_TOKENS_SQL}) t WHERE id % 5 = 0"""
+FRAME_TRIPLES_SQL = f"""SELECT key AS target_id, feature AS feature_name, '1' AS value FROM ({BASE_SQL}) b UNION ALL SELECT sid * 10000 + id, 'frame', 'F' || sid % 3 FROM ({ITEM_TOKENS_SQL}) t"""
 
 
 def _arguments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical_form, coarse_pos, pos_class, quantize, tokenize, tokenize_sql
+from tessera.functions.text import canonical_form, coarse_pos, pos_class, tokenize, tokenize_sql
 from tessera.operators import counters, prep, targets
 from tessera.plans.fixtures import ITEM_TOKENS_SQL, LINES_SQL, item_tokens, lines, read
 
@@ -96,22 +96,6 @@ FROM n LEFT JOIN o ON n.sid = o.sid AND n.id = o.id
 """
 
 
-def q_window_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Lemma and tag of each item's tokens with both neighbours', and the quantised distance to the sentence's end."""
-    tokens = item_tokens(read(spark, sf, "benchmark"))
-    ends = tokens.groupBy("sid").agg(F.max("id").alias("n"))
-    rows = targets.window_features(tokens).join(ends, "sid")
-    return rows.withColumn("to_end", quantize(F.col("id") - F.col("n"))).drop("n")
-
-
-WINDOW_SQL = f"""
-WITH tok AS ({ITEM_TOKENS_SQL}), x AS (SELECT sid, id, lemma, postag,
-  lag(lemma, 1, '<s>') OVER w AS lemma_before, lead(lemma, 1, '<s>') OVER w AS lemma_after, lag(postag, 1, '<s>') OVER w AS postag_before,
-  lead(postag, 1, '<s>') OVER w AS postag_after, MAX(id) OVER (PARTITION BY sid) - id AS d FROM tok WINDOW w AS (PARTITION BY sid ORDER BY id))
-SELECT * EXCLUDE (d), CASE WHEN d = 0 THEN '0' WHEN d < 5 THEN '-' || d WHEN d < 10 THEN '-5-9' WHEN d < 20 THEN '-10-19' ELSE '-20' END AS to_end FROM x
-"""
-
-
 def q_token_classes(spark: SparkSession, sf: str) -> DataFrame:
     """How many tokens of items have each coarse tag and class."""
     tokens = item_tokens(read(spark, sf, "benchmark"))
@@ -149,21 +133,6 @@ SELECT user_id, MIN(hour) AS start, MAX(hour) AS stop FROM m GROUP BY user_id, i
 """
 
 
-def q_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Character places of items' tokens, and the word found back at each."""
-    tokens = prep.token_char_offsets(item_tokens(read(spark, sf, "benchmark")))
-    text = tokens.groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "form"))), lambda x: x["form"]), " ").alias("text"))
-    rows = tokens.join(text, "sid")
-    return rows.select("sid", "id", "form", "start", "stop", prep.char_to_word(F.col("text"), F.col("start")).alias("word"))
-
-
-OFFSETS_SQL = f"""
-WITH tok AS ({ITEM_TOKENS_SQL}), o AS (SELECT sid, id, form,
-  COALESCE(SUM(length(form) + 1) OVER (PARTITION BY sid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM tok)
-SELECT sid, id, form, start, (start + length(form))::INTEGER AS stop, (id - 1)::INTEGER AS word FROM o
-"""
-
-
 def q_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counter algebra over line items: quantities by part, shared keys, shares, histogram, top list."""
     items = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), "l_returnflag", F.col("l_quantity").cast("long").alias("q"))
@@ -219,17 +188,15 @@ def q_counter_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return counters.multi_counter(events, "user_id", "event_type", "value", kinds).select("user_id", F.to_json(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.col(k) for k in kinds]))).alias("counts"))
 
 
-QUERIES = {f.__name__: f for f in (q_tokenize, q_ngram_targets, q_target_counts, q_target_ratio, q_filtered_targets, q_window_features, q_token_classes, q_islands, q_offsets, q_counters, q_write_once, q_counter_pivot)}
+QUERIES = {f.__name__: f for f in (q_tokenize, q_ngram_targets, q_target_counts, q_target_ratio, q_filtered_targets, q_token_classes, q_islands, q_counters, q_write_once, q_counter_pivot)}
 ORACLES = {
     "q_tokenize": f"SELECT doc_id, line, {tokenize_sql('text')} AS tokens FROM ({LINES_SQL}) l",
     "q_ngram_targets": GREEDY_SQL + "SELECT doc_id, source, n, COUNT(*) AS targets FROM found JOIN documents USING (doc_id) GROUP BY ALL",
     "q_target_counts": GREEDY_SQL + "SELECT gram, COUNT(*) AS target_count FROM found GROUP BY gram",
     "q_target_ratio": RATIO_SQL,
     "q_filtered_targets": FILTER_SQL,
-    "q_window_features": WINDOW_SQL,
     "q_token_classes": CLASSES_SQL,
     "q_islands": ISLANDS_SQL,
-    "q_offsets": OFFSETS_SQL,
     "q_counters": COUNTERS_SQL,
     "q_write_once": ONCE_SQL,
     "q_counter_pivot": """WITH k AS (SELECT DISTINCT event_type AS k FROM events), u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, event_type AS k, COUNT(*) AS n FROM events GROUP BY ALL)
