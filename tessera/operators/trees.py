@@ -81,6 +81,10 @@ def constituents(tokens: DataFrame) -> DataFrame:
     return closure.groupBy("sid", "id").agg(F.min("other").alias("first"), F.max("other").alias("last"))
 
 
+#: Sentences have fewer tokens than this.
+SPAN = 1 << 31
+
+
 def half_constituents(tokens: DataFrame) -> DataFrame:
     """(sid, first, last) of the spans to be added to a sentence's constituents.
 
@@ -89,20 +93,24 @@ def half_constituents(tokens: DataFrame) -> DataFrame:
     """
     rows = constituents(tokens).join(tokens.select("sid", "id", "postag"), ["sid", "id"])
     spans = rows.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("id", "first", "last", "postag"))).alias("t"))
-    pair = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+    # A span is one number, so that sets of spans are looked up by value and not compared field by field.
+    pair = lambda a, b: a.cast("long") * SPAN + b.cast("long")
     base = F.array_distinct(F.concat(F.transform("t", lambda x: pair(x["first"], x["last"])), F.transform("t", lambda x: pair(x["id"], x["id"]))))
+    spans = spans.select("sid", "t", base.alias("base"))
+    none = F.array().cast("array<bigint>")
 
     def step(acc: Column, x: Column) -> Column:
         both = (x["first"] < x["id"]) & (x["last"] > x["id"])
         before = F.get(F.col("t"), x["id"] - 2)["postag"]
         lone = (x["first"] == x["id"] - 1) & F.coalesce(F.substring(before, 1, 2).isin("DT", "JJ"), F.lit(False))
-        none = F.array().cast("array<struct<first:int,last:int>>")
-        right = F.when(both & F.array_contains(acc, pair(x["first"], x["id"] - 1)) & ~lone, F.array(pair(x["id"], x["last"]))).otherwise(none)
-        left = F.when(both & F.array_contains(acc, pair(x["id"] + 1, x["last"])), F.array(pair(x["first"], x["id"]))).otherwise(none)
-        return F.array_union(acc, F.concat(right, left))
-
-    every = spans.select("sid", base.alias("base"), F.aggregate("t", base, step).alias("all"))
-    return every.select("sid", F.explode(F.array_except("all", "base")).alias("s")).select("sid", "s.first", "s.last")
+        known = lambda span: F.array_contains("base", span) | F.array_contains(acc, span)
+        right = F.when(~lone & known(pair(x["first"], x["id"] - 1)), F.array(pair(x["id"], x["last"]))).otherwise(none)
+        left = F.when(known(pair(x["id"] + 1, x["last"])), F.array(pair(x["first"], x["id"]))).otherwise(none)
+        return F.when(both, F.concat(acc, right, left)).otherwise(acc)
+
+    added = spans.select("sid", F.array_except(F.aggregate("t", none, step), F.col("base")).alias("new"))
+    found = added.select("sid", F.explode(F.array_distinct("new")).alias("s"))
+    return found.select("sid", F.floor(F.col("s") / SPAN).cast("int").alias("first"), F.pmod("s", F.lit(SPAN)).cast("int").alias("last"))
 
 
 def heuristic_head(tokens: DataFrame, groups: DataFrame, last_adjective: bool = False) -> DataFrame:
