@@ -127,3 +127,11 @@ def test_lexical_tables(spark, tmp_path):
     assert rows(senses, "synset", "word") == [("dog", "00000010"), ("dog", "00000020"), ("hot dog", "00000020")]
     assert rows(pointers, "synset") == [("00000010", "@", "00000020")]
     assert rows(exceptions, "form") == [("geese", "n", "goose"), ("men", "n", "man")]
+
+
+def test_synsets_of_over_255_words_keep_all(spark, tmp_path):
+    from tessera.plans import source_queries
+
+    spark.range(1, 701).selectExpr("id as p_partkey", "'Brand#1' || (id % 2) as p_brand", "cast(id % 5 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    rows = source_queries.q_lexical_tables(spark, str(tmp_path))
+    assert {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"index": 700, "sense": 700, "pointer @": 2, "exception": 280}
