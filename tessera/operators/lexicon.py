@@ -24,14 +24,18 @@ def unit_lemmas(units: DataFrame, lemmas: DataFrame) -> DataFrame:
     return words.join(lemmas, ["form", "pos"], "left").select("form", "pos", F.coalesce("lemma", F.lower("form")).alias("lemma"))
 
 
-def related_words(words: DataFrame, senses: DataFrame, pointers: DataFrame, stop_words: DataFrame) -> DataFrame:
+def _plain(words: DataFrame, stop_words: DataFrame) -> DataFrame:
+    return words.join(stop_words, "word", "left_anti").where(F.col("word").rlike("[A-Za-z0-9]") & (F.size(F.split("word", " ")) <= 4))
+
+
+def related_words(words: DataFrame, senses: DataFrame, pointers: DataFrame, stop_words: DataFrame, synonyms: bool = True) -> DataFrame:
     """(word, fine, related) for each word: itself; the other words of its senses; words that pointers lead to; and
     its inflections by pattern. Stop words, punctuation and inputs of over four words have the identity only.
 
-    ``senses`` is (word, synset), ``pointers`` (synset, fine, target).
+    ``senses`` is (word, synset), ``pointers`` (synset, fine, target). Without ``synonyms`` the words of its senses are left out.
     """
     identity = words.select("word", F.lit("iden").alias("fine"), F.col("word").alias("related"))
-    plain = words.join(stop_words, "word", "left_anti").where(F.col("word").rlike("[A-Za-z0-9]") & (F.size(F.split("word", " ")) <= 4))
+    plain = _plain(words, stop_words)
     mine = plain.join(senses, "word").select("word", "synset")
     others = senses.select(F.col("word").alias("related"), F.col("synset").alias("target"))
     same = mine.withColumnRenamed("synset", "target").join(others, "target").where("word <> related").select("word", F.lit("synm").alias("fine"), "related")
@@ -46,7 +50,43 @@ def related_words(words: DataFrame, senses: DataFrame, pointers: DataFrame, stop
         )
     )
     inflected = plain.where(~w.contains(" ")).select("word", F.lit("deri").alias("fine"), F.explode(forms).alias("related"))
-    return identity.unionByName(same).unionByName(linked).unionByName(inflected).distinct()
+    found = identity.unionByName(linked).unionByName(inflected)
+    return (found.unionByName(same) if synonyms else found).distinct()
+
+
+#: Relations that not only senses and pointers lead to.
+OWN = ["identity", "same-number", "derivation"]
+
+
+def relation_counts(words: DataFrame, senses: DataFrame, pointers: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """(word, relation, n): how many related words :func:`collapse_relations` gives each word, without making the pairs.
+
+    A word of one sense has what its sense has, so that senses are counted: of words with one sense a target sense has
+    a number, those with several are told apart by name. Pairs are made only for words with several senses or none, and
+    for relations that come from elsewhere too.
+    """
+    words, senses = words.select("word").distinct(), senses.select("word", "synset").distinct()
+    names = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])
+    named = pointers.withColumn("relation", F.coalesce(F.element_at(names, F.col("fine")), F.col("fine")))
+    by_word = senses.groupBy("word").agg(F.count("*").alias("k"), F.min("synset").alias("synset"))
+    single = by_word.where("k = 1").select("word", "synset")
+    several = by_word.where("k > 1").select("word").join(senses, "word").select(F.col("synset").alias("target"), F.col("word").alias("other"))
+    # A sense's own words are its synonyms, all but the word itself, unless a pointer leads back.
+    own = senses.select("synset").distinct().select("synset", F.lit("synonym").alias("relation"), F.col("synset").alias("target"), F.lit(1).alias("less"))
+    links = named.where(~F.col("relation").isin(OWN)).select("synset", "relation", "target", F.lit(0).alias("less"))
+    links = links.unionByName(own).groupBy("synset", "relation", "target").agg(F.min("less").alias("less"))
+    sizes = single.groupBy(F.col("synset").alias("target")).agg(F.count("*").alias("size"))
+    alone = links.join(sizes, "target").select("synset", "relation", (F.col("size") - F.col("less")).alias("n"))
+    others = links.join(several, "target").select("synset", "relation", "other").distinct().groupBy("synset", "relation").agg(F.count("*").alias("n"))
+    sums = alone.unionByName(others).groupBy("synset", "relation").agg(F.sum("n").alias("n")).where("n > 0")
+    simple = _plain(words, stop_words).join(single, "word")
+    counted = simple.join(sums, "synset").select("word", "relation", "n")
+    rest = words.join(single, "word", "left_anti")
+    of_rest = related_words(rest, senses, pointers, stop_words)
+    special = named.where(F.col("relation").isin(OWN)).drop("relation")
+    of_single = related_words(words.join(single, "word", "left_semi"), senses, special, stop_words, synonyms=False)
+    pairs = collapse_relations(of_rest.unionByName(of_single)).groupBy("word", "relation").agg(F.count("*").alias("n"))
+    return counted.unionByName(pairs)
 
 
 def collapse_relations(related: DataFrame) -> DataFrame:

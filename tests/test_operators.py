@@ -309,3 +309,14 @@ def test_long_chains_and_circles_are_walked_to_the_end(spark):
     spans = {r["id"]: (r["first"], r["last"]) for r in trees.constituents(tokens).where("sid = 1").collect()}
     assert spans[1] == (1, 300) and spans[299] == (299, 300)
     assert trees.ancestors(tokens).where("sid = 2").count() < 10
+
+
+def test_relations_are_counted_without_their_pairs(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    words = frame([(w,) for w in ("a", "b", "c", "d", "e", "stop", "7", "?!", "none")], "word string")
+    senses = frame([("a", "s"), ("b", "s"), ("c", "s"), ("c", "t"), ("d", "t"), ("e", "u"), ("stop", "s"), ("7", "u"), ("a", "s"), ("as", "u"), ("d", "v")], "word string, synset string")
+    pointers = frame([("s", "hype", "t"), ("s", "hype", "v"), ("s", "syn2", "s"), ("s", "syn2", "u"), ("u", "deri", "s"), ("u", "iden", "u"), ("u", "own", "u"), ("t", "antm", "s"), ("s", "extd", "u"), ("s", "deri", "u")], "synset string, fine string, target string")
+    stop = frame([("stop",)], "word string")
+    pairs = lexicon.collapse_relations(lexicon.related_words(words, senses, pointers, stop)).groupBy("word", "relation").count().collect()
+    counts = lexicon.relation_counts(words, senses, pointers, stop)
+    assert sorted(tuple(r) for r in counts.collect()) == sorted(tuple(r) for r in pairs)
