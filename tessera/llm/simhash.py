@@ -221,18 +221,22 @@ def parities(h: np.ndarray) -> np.ndarray:
 
 
 def _heads(cells: np.ndarray, similarity: float):
-    """The first shingles of each text in the common order, so many that two similar sets have one of them in common."""
+    """The first shingles of each text in the common order, so many that two similar sets have one of them in common, and its
+    fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, heads, bits = [], [], np.zeros((batch.num_rows, 4), dtype=np.int64)
+            sizes, heads, prints, bits = [], [], [], np.zeros((batch.num_rows, 4), dtype=np.int64)
             for i, v in enumerate(batch.column(1)):
-                h = shingle_hashes((v.as_py() or "").encode())[1]
+                text = (v.as_py() or "").encode()
+                h = shingle_hashes(text)[1]
+                prints.append(fingerprint(text))
                 order = np.lexsort((h, cells[_cells(h)]))
                 sizes.append(len(h)), heads.append(h[order[: len(h) - int(least_shared(np.float64(len(h)), similarity)) + 1]].tobytes())
                 bits[i] = parities(h)
             columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), batch.column(2), *(pa.array(bits[:, k].copy()) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["content", "n", "head", "row", *BITS])
+            columns.append(pa.array(np.array(prints, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["content", "n", "head", "row", *BITS, "fingerprint"])
 
     return run
 
@@ -268,9 +272,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "content", "pivot"])
 
 
-def _apart(similarity: float):
+def _apart(similarity: float, nearest: bool):
     """Pairs of contents of different labels that share a shingle, each once a flush, but for those that sizes or parities
-    tell to be unlike."""
+    tell to be unlike; with ``nearest`` only each content's pair of fewest differing parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, out, held = _gathered(batches), [], 0
@@ -292,7 +296,13 @@ def _apart(similarity: float):
                 differ = sum(np.bitwise_count((b[i, None] ^ b).view(np.uint64)).astype(np.int16) for b in bits)
                 near = (label[i, None] != label) & (differ <= most_apart(n[i, None], n, similarity))
                 near &= np.minimum(n[i, None], n) >= least_shared(np.maximum(n[i, None], n), similarity)
-                x, y = np.nonzero(near)
+                if nearest:
+                    far = np.where(near, differ, np.int16(1000))
+                    y = far.argmin(axis=1)
+                    met = far[np.arange(len(i)), y] < 1000
+                    x, y = np.flatnonzero(met), y[met]
+                else:
+                    x, y = np.nonzero(near)
                 x = i[x]
                 out.append(np.stack([np.minimum(content[x], content[y]), np.maximum(content[x], content[y])], axis=1))
                 held += len(x)
@@ -371,44 +381,62 @@ def _checked(pairs: DataFrame, rows: DataFrame, heads: DataFrame, similarity: fl
     return both
 
 
+def print_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b): contents that SimHash links, a tree for each group: those of one fingerprint with its least content, and the
+    least contents of fingerprints that differ in at most ``RADIUS`` bits."""
+    prints = heads.select("content", "fingerprint")
+    least = written(prints.groupBy("fingerprint").agg(F.min("content").alias("least")))
+    of = lambda name: least.select(F.col("fingerprint").alias(name), F.col("least").alias(f"_{name}"))
+    across = links(least.select("fingerprint")).join(of("a"), "a").join(of("b"), "b").select("_a", "_b")
+    same = prints.join(least, "fingerprint").where("content <> least").select("least", "content")
+    return across.union(same).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
 def similar_links(rows: DataFrame, similarity: float, sample: int = 4) -> DataFrame:
     """(node, root): contents of rows (content, text, row: unique) with the least one that similar pairs reach.
 
-    Complete and exact: two sets of Jaccard similarity s or more share a shingle among the first n - ceil(s n) + 1 of each
-    in any common order (rare ones first here), and every pair that does is settled by the sets themselves, unless sizes or
-    parities already tell that it is unlike. Contents of a shingle are linked to one of them first; then all pairs of a
-    shingle that still lie apart are compared.
+    Pairs that SimHash links come first, together with each content and the one that it shares most shingles with among
+    the least of their shingles; an exact check of the sets follows. What lies apart after that is completed, exactly: two
+    sets of Jaccard similarity s or more share a shingle among the first n - ceil(s n) + 1 of each in any common order
+    (rare ones first here). Each content meets its nearest of another label, then all pairs of a shingle that still lie
+    apart are compared, unless sizes or parities already tell that they are unlike.
     """
     cells = frequencies(rows, sample)
-    fields = f"content long, n int, head binary, row long, {', '.join(f'{b} long' for b in BITS)}"
+    fields = f"content long, n int, head binary, row long, {', '.join(f'{b} long' for b in BITS)}, fingerprint long"
     heads = rows.select("content", "text", "row").mapInArrow(tidied(_heads(cells, similarity)), fields)
-    heads = heads.groupBy("content").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "head", *BITS)])
+    heads = heads.groupBy("content").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "head", *BITS, "fingerprint")])
     heads = written(heads)
     total = heads.agg(F.sum(F.length("head") / 8)).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // PART) + 1)
     shingles = heads.select("content", "head").mapInArrow(tidied(_exploded), "shingle long, content long").repartition(parts, "shingle")
     met = written(shingles.mapInArrow(tidied(_met), "shingle long, content long, pivot long"))
     sketch = heads.select("content", "n", *BITS)
-    pairs = met.where("pivot <> content").select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
+    shared = met.where("pivot <> content").groupBy("pivot", "content").agg(F.count("*").alias("n"))
+    pivots = shared.groupBy("content").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+    pairs = print_pairs(heads).unionByName(pivots.select(F.col("pivot").alias("a"), F.col("content").alias("b"))).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(sketch.select([F.col(c).alias(end if c == "content" else f"{end}_{c}") for c in sketch.columns]), end)
     differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
     close = F.least("a_n", "b_n") >= F.ceil(similarity * F.greatest("a_n", "b_n") - 1e-9)
     pairs = written(pairs.where(close & (differ <= most_apart(F.col("a_n"), F.col("b_n"), similarity))).select("a", "b"))
     begun = _checked(pairs, rows, heads, similarity)
-    labels = written(components(begun))
-    label = F.coalesce("root", "content").alias("label")
     # All shingles of one pivot are compared in one task, as like contents share many: each pair then leaves it once. Of a
     # pivot with many rows shingles are dealt out to several tasks.
     hot = met.groupBy("pivot").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
-    apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", "pivot", label)
-    apart = apart.join(hot, "pivot", "left").withColumn("part", F.pmod("shingle", F.coalesce("parts", F.lit(1))))
-    apart = apart.join(sketch, "content").repartition(parts, "pivot", "part").select("shingle", "content", "n", "label", *BITS)
-    apart = apart.mapInArrow(tidied(_apart(similarity)), "a long, b long").distinct()
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"))
-    further = _checked(apart, rows, heads, similarity)
-    groups = written(components(begun.unionByName(further)))
-    removed(heads, met, pairs, begun, labels, apart, further)
+    label = F.coalesce("root", "content").alias("label")
+    # What lies apart only for want of a link takes one pair a content, not all pairs of two groups; then nothing is left out.
+    for nearest in (True, False):
+        labels = written(components(begun))
+        apart = met.join(labels, F.col("content") == F.col("node"), "left").select("shingle", "content", "pivot", label)
+        apart = apart.join(hot, "pivot", "left").withColumn("part", F.pmod("shingle", F.coalesce("parts", F.lit(1))))
+        apart = apart.join(sketch, "content").repartition(parts, "pivot", "part").select("shingle", "content", "n", "label", *BITS)
+        apart = apart.mapInArrow(tidied(_apart(similarity, nearest)), "a long, b long").distinct()
+        apart = written(apart.join(pairs, ["a", "b"], "left_anti"))
+        further = _checked(apart, rows, heads, similarity)
+        removed(labels)
+        begun, pairs = begun.unionByName(further), pairs.unionByName(apart)
+    groups = written(components(begun))
+    removed(heads, met, pairs, begun)
     return groups
 
 

@@ -1,9 +1,11 @@
+import random
 import re
 from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.common import components, written
@@ -151,3 +153,30 @@ def test_all_pairs_of_the_similarity_meet(spark):
     want = set(groups([r[0] for r in rows], edges).values())
     left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert left == want
+
+
+def test_near_dedup_takes_what_fingerprints_link(spark):
+    base = [f"w{k}" for k in range(400)]
+    texts = {1: base, 2: base[:399] + ["other"], 3: [f"v{k}" for k in range(400)]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    rows = simhash.with_content(docs).withColumn("row", F.col("doc_id"))
+    prints = simhash.with_fingerprint(rows.select("doc_id", "content", "text"), keep_text=False)
+    pairs = simhash.print_pairs(prints.select("content", "fingerprint")).collect()
+    near = {r["doc_id"]: r["content"] for r in rows.select("doc_id", "content").collect()}
+    assert [{r["a"], r["b"]} for r in pairs] == [{near[1], near[2]}]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
+
+
+def test_groups_of_near_copies_do_not_give_all_their_pairs(spark, monkeypatch):
+    rng, base = random.Random(3), [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(300), 3):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, checked = [], simhash._checked
+    monkeypatch.setattr(simhash, "_checked", lambda pairs, *rest: seen.append(pairs.count()) or checked(pairs, *rest))
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()] == [0]
+    assert sum(seen) < 5 * len(texts)
