@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.session import spread
 
 from .common import table, tidied
-from .tokens import Encoder
+from .tokens import encoder
 
 WINDOW, STEP, END = 2048, 16, 1
 #: Token ids of a block: some 32 MB.
@@ -126,7 +126,7 @@ def pack(
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
+        known, end = encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 33
         names: list[pa.Array] = []
         held: list[bytes] = []
@@ -149,7 +149,7 @@ def pack(
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                held += [x + end for x in encoder.ids(part.column(1).to_pylist())]
+                held += [x + end for x in known.ids(part.column(1).to_pylist())]
                 names.append(part.column(0))
                 size += sum(len(x) for x in held[-part.num_rows :]) // 4
                 if size >= block:

@@ -7,6 +7,7 @@ vocabulary with the word end as a zero byte (merge ranks are the ids); all other
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -46,31 +47,34 @@ class Encoder:
             self.ends[rank] = token.endswith(b"\0") and len(token) > 1
         self.merge = tiktoken.Encoding("word-end", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.plain = regex.compile("[\x01-įı-ɏ]*").fullmatch
-        self.pieces = regex.compile(PATTERN).findall
+        self.pieces = regex.compile(PATTERN + r"|\n").findall
+        # A line end closes each chunk; it is a word of its own, of one id.
+        self.mark = ranks[b"\n\0"]
         self.keep, self.known = keep, {"": b""}
 
     def _learn(self, chunks: list[str]) -> None:
         """Add chunks to the table."""
         if len(self.known) + len(chunks) > self.keep:
             self.known = {"": b""}
-        fast = [c for c in chunks if self.plain(c) and "<|" not in c]
-        if len(fast) < len(chunks):
+        fast, text = chunks, "\n".join(chunks)
+        if not self.plain(text) or "<|" in text:
+            fast = [c for c in chunks if self.plain(c) and "<|" not in c]
             done = set(fast)
             for c in chunks:
                 if c not in done:
                     self.known[c] = np.array(self.exact.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            text = "\n".join(fast)
         if not fast:
             return
-        words = [self.pieces(c.lower()) for c in fast]
-        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        flat = [w for ws in words for w in ws]
-        ids = np.array(self.merge.encode_ordinary("\0".join(flat) + "\0" if flat else ""), dtype="<u4")
-        stops = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
-        if len(stops) != len(flat) + 1:
+        # All chunks in one go: no word crosses a line end, and chunks hold none.
+        words = self.pieces(text.lower() + "\n")
+        words.append("")
+        ids = np.array(self.merge.encode_ordinary("\0".join(words)), dtype="<u4")
+        stops = np.flatnonzero(ids == self.mark)
+        if len(stops) != len(fast) or np.count_nonzero(self.ends[ids]) != len(words) - 1:
             raise RuntimeError("word ends went astray")
-        cuts = (stops[np.r_[0, np.cumsum(counts)]] * 4).tolist()
-        data = ids.tobytes()
-        self.known.update((c, data[a:b]) for c, a, b in zip(fast, cuts[:-1], cuts[1:], strict=True))
+        data, begins, ends = ids.tobytes(), [0, *(stops[:-1] * 4 + 4).tolist()], (stops * 4).tolist()
+        self.known.update((c, data[a:b]) for c, a, b in zip(fast, begins, ends, strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         rows = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -83,6 +87,12 @@ class Encoder:
                 new = {c for row in rows for c in row}
                 self.known = {"": b""}
                 new.discard("")
-            self._learn(sorted(new))
+            self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, row)) for row in rows]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of a file; a Python worker keeps it, with the chunks it knows, for its later tasks."""
+    return Encoder(path)

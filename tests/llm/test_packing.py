@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import packing
+from tessera.llm import packing, tokens
 from tessera.llm.tokens import Encoder
 
 TEXTS = ["don't we'll 12ab", "a<|endoftext|>b", "İstanbul ΣΑΣ Σ", "e\u0301 cafe\u0301 \u0301x", "a\x1cb\x85c\xa0d\u2003e", "\u200bzero", "a\0b \0", "ÀÉ ß ſ Ĳ", "漢字 かな 🙂", "", None, " \n ", "x" * 500]
@@ -70,3 +70,14 @@ def test_pieces_rebuild_documents(spark, odd, none, tokenizer):
             at += p["length"]
         assert at <= 2048
     assert packing.pack(none).count() == 0
+
+
+def test_chunks_are_learned_in_one_go():
+    made = tokens.Encoder()
+    calls, pieces = [], made.pieces
+    made.pieces = lambda text: calls.append(1) or pieces(text)
+    texts = ["I'LL don'T  Größe x1.5\t9%% a\0b", "  İı ÀÉ-ﬁ", "", "\r\x85 q", "<|endoftext|> z", " ".join(f"w{i}é" for i in range(500))]
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in made.ids(texts)]
+    assert got == [[i for c in t.split(" ") for i in made.exact.encode(c, add_special_tokens=False).ids] for t in texts]
+    assert len(calls) == 1
+    assert tokens.encoder() is tokens.encoder()
