@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import scratch
-from tessera.operators.scratch import written
-from tessera.operators.training import softmax_loss_grad
+from tessera.operators.scratch import bucketed, written
+from tessera.operators.training import softmax_loss_grad, softmax_sums
 
 #: The basis of a direction: changes of weights, of gradients, the gradient.
 Name = tuple[str, int]
 GRAD: Name = ("g", 0)
+#: The share of a loss within which two sums of it count as equal.
+STILL = 1e-10
 
 
 def factors(turns: list[int], products: dict[tuple[Name, Name], float]) -> dict[Name, float]:
@@ -50,16 +52,18 @@ def _columns(turns: list[int]) -> dict[Name, Column]:
 
 
 def _tried(data: DataFrame, moved: DataFrame, loss_grad: Callable, l2: float) -> DataFrame:
-    """``moved`` (idx, weight, ...) with grad_new, written in one job; the row with a null idx holds the loss there."""
-    loss, grad = loss_grad(data, moved.select("idx", "weight"))
-    both = grad.select("idx", F.col("grad").alias("_g")).unionByName(loss.select(F.lit(None).cast("long").alias("idx"), F.col("loss").alias("_g")))
+    """``moved`` (idx, weight, ...) with grad_new and loss, written in one job; losses add up to that of all events."""
+    found = loss_grad(data, moved.select("idx", "weight"))
+    if isinstance(found, tuple):  # a loss of its own stands in the row with a null idx
+        loss, grad = found
+        found = grad.select("idx", "grad", F.lit(0.0).alias("loss")).unionByName(loss.select(F.lit(None).cast("long").alias("idx"), F.lit(0.0).alias("grad"), "loss"))
     pulled = F.coalesce("_g", F.lit(0.0)) + 2 * l2 * F.coalesce("weight", F.lit(0.0))
-    return written(moved.join(both, "idx", "full_outer").withColumn("grad_new", pulled).drop("_g"))
+    return written(moved.join(found.withColumnRenamed("grad", "_g"), "idx", "full_outer").withColumn("grad_new", pulled).drop("_g"))
 
 
 def fit(
     events: DataFrame,
-    loss_grad: Callable = softmax_loss_grad,
+    loss_grad: Callable = softmax_sums,
     l2: float = 0.1,
     most: int = 200,
     memory: int = 6,
@@ -71,13 +75,14 @@ def fit(
     """(idx, weight) of all features of ``events`` that minimise the loss plus l2 |w|^2: limited-memory quasi-Newton steps
     with a backtracking line search.
 
-    Events are written once, clustered by instance. Each try of a step is two jobs: one evaluates loss and gradient at
-    the moved weights and writes them with the state, one sums the new products. Stops at |g| <= tolerance max(1, |w|),
+    Events are written once, in buckets of candidates. Each try of a step is two jobs: one evaluates loss and gradient at
+    the moved weights and writes them with the state, one sums the new products. ``loss_grad`` gives one row (loss) and
+    (idx, grad), or (idx, grad, loss) in one table, so that events are read once. Stops at |g| <= tolerance max(1, |w|),
     after ``most`` steps, or if no step helps; the last weights stand. ``checkpoint`` is a folder for the weights every few
     steps; ``start`` (idx, weight) continues from such a table, its features stay though no event has them. Events with
     a null idx count nothing; without events the start is given back.
     """
-    data = written(events.where("idx is not null").repartition("inst"))
+    data = bucketed(events.where("idx is not null"), "inst", "cand")
     known = data.select("idx").distinct()
     begin = start.select("idx", F.col("weight").alias("_w")) if start is not None else known.limit(0).select("idx", F.lit(0.0).alias("_w"))
     none = F.array().cast("array<double>")
@@ -86,7 +91,7 @@ def fit(
     state = tried.where("idx is not null").select("idx", "weight", F.col("grad_new").alias("grad"), "s", "y")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     sums = tried.agg(
-        total(F.when(F.col("idx").isNull(), F.col("grad_new"))).alias("loss"),
+        total(F.col("loss")).alias("loss"),
         total(F.when(F.col("idx").isNotNull(), F.col("weight") ** 2)).alias("ww"),
         total(F.when(F.col("idx").isNotNull(), F.col("grad_new") ** 2)).alias("gg"),
     ).first()
@@ -107,19 +112,21 @@ def fit(
             both = {b: c for b, c in columns.items() if b != GRAD} | change
             pairs = sorted({(min(a, b), max(a, b)) for a in change for b in both})
             sums = found.agg(
-                total(F.when(F.col("idx").isNull(), F.col("grad_new"))).alias("loss"),
+                total(F.col("loss")).alias("loss"),
                 total(F.when(F.col("idx").isNotNull(), F.col("weight") ** 2)).alias("ww"),
                 *[total(F.when(F.col("idx").isNotNull(), both[a] * both[b])).alias(f"p{n}") for n, (a, b) in enumerate(pairs)],
             ).first()
-            if sums["loss"] + l2 * sums["ww"] <= value + 1e-4 * step * slope:
+            new = {pair: sums[f"p{n}"] for n, pair in enumerate(pairs)}
+            moved_to, then = sums["loss"] + l2 * sums["ww"], new[min(GRAD, ("s", turn)), max(GRAD, ("s", turn))] / step
+            # Near the optimum the gain is less than a sum's last digits: where the loss stands still, the slope tells.
+            if moved_to <= value + 1e-4 * step * slope or (moved_to <= value + STILL * abs(value) and abs(then) <= -0.8 * slope):
                 break
             scratch.dropped(found)
             step /= 2
         else:
             break
-        new = {pair: sums[f"p{n}"] for n, pair in enumerate(pairs)}
         products = {pair: x for pair, x in products.items() if GRAD not in pair} | new
-        value, size, before = sums["loss"] + l2 * sums["ww"], sums["ww"], tried
+        value, size, before = moved_to, sums["ww"], tried
         curved = products[("s", turn), ("y", turn)] > 1e-12
         turns = [*turns, turn] if curved else turns
         kept = lambda old, c: F.slice(F.concat(F.col(old), F.array(c)), -min(memory, len(turns)), memory) if curved else F.col(old)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import fitting
+from tessera.operators import fitting, scratch, training
 
 SCHEMA = "inst int, cand int, idx long, value double, gold boolean, cost double"
 
@@ -69,3 +69,15 @@ def test_minibatches_take_each_instance_once_a_pass(spark, drawn):
             some = (np.arange(25) + turn) % 3 == part
             w = w * (1 - 2 * 0.3 * 0.01) - 0.3 / 10 * gradient(w, x[some], gold[some], 0.0)
     assert [r["weight"] for r in got.orderBy("idx").collect()] == pytest.approx(w.tolist())
+
+
+def test_bucketed_events_are_not_shuffled_and_scores_not_broadcast(spark, drawn):
+    _, _, rows = drawn
+    ev = spark.createDataFrame(rows, SCHEMA)
+    weights = scratch.written(spark.createDataFrame([(k, k / 9) for k in range(9)], "idx long, weight double"))
+    sums = training.softmax_sums(scratch.bucketed(ev, "inst", "cand"), weights)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and plan.count("BroadcastHashJoin") == 1 and "ShuffledHashJoin" in plan
+    loss, grad = training.softmax_loss_grad(ev, weights)
+    assert sums.agg({"loss": "sum"}).first()[0] == pytest.approx(loss.first()["loss"])
+    assert {r["idx"]: r["grad"] for r in sums.collect()} == pytest.approx({r["idx"]: r["grad"] for r in grad.collect()})
