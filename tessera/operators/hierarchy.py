@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.scratch import written
+from tessera.operators.scratch import bucketed, written
 
 MAX_HOPS, DECAY = 9, 0.8
 
@@ -44,19 +44,29 @@ def closure(steps: DataFrame, most: int | None = None, counts: bool = False, arr
     start: pairs at just that distance meet all known ones, which gives the new pairs, their hops and, as sums of
     products, their numbers of shortest paths (``paths``). It ends when no pair has the full distance. With ``arrivals`` a
     node's number is that of the nodes one hop nearer to the start that lead to it.
+
+    Known pairs lie in buckets of their first node. So a round shuffles the pairs of full distance, which are few, and what
+    they lead to, each once; it never moves what is known.
     """
     steps = written(steps.where("a <> b").distinct())
-    known = steps.select("a", "b", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("paths"))
-    newest, reach = known, 1
+    known = newest = bucketed(steps.select("a", "b", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("paths")), "a")
+    reach, parts = 1, int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while most is None or reach < most:
         far = newest.where(F.col("hops") == reach).select("a", F.col("b").alias("mid"), F.col("paths").alias("p"))
+        if far.isEmpty():
+            break
         near = known.select(F.col("a").alias("mid"), "b", F.col("hops").alias("h"), "paths")
-        ahead = far.join(near, "mid").where(F.col("a") != F.col("b")).groupBy("a", "b", (F.col("h") + reach).alias("hops")).agg(F.sum(F.col("p") * F.col("paths")).alias("paths"))
+        ahead = far.join(near.hint("merge"), "mid").where(F.col("a") != F.col("b"))
+        ahead = ahead.select("a", "b", (F.col("h") + reach).alias("hops"), (F.col("p") * F.col("paths")).alias("paths"))
         ahead = ahead if most is None else ahead.where(F.col("hops") <= most)
-        first = ahead.groupBy("a", "b").agg(F.min(F.struct("hops", "paths")).alias("m")).select("a", "b", "m.hops", "m.paths")
-        newest = written(first.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        if newest.isEmpty():
-            break
+        # Known pairs are nearer than all these, so the least hops of a pair tell whether it is new.
+        every = known.unionByName(ahead.repartition(parts, "a"))
+        if counts:
+            least = every.groupBy("a", "b", "hops").agg(F.sum("paths").alias("paths"))
+            least = least.groupBy("a", "b").agg(F.min(F.struct("hops", "paths")).alias("m")).select("a", "b", "m.hops", "m.paths")
+        else:  # hops alone are summed up without sorting
+            least = every.groupBy("a", "b").agg(F.min("hops").alias("hops")).withColumn("paths", F.lit(1).cast("long"))
+        newest = bucketed(least.where(F.col("hops") > reach), "a", dealt=True)
         known, reach = known.unionByName(newest), 2 * reach
     if counts and arrivals:
         before = known.select("a", F.col("b").alias("mid"), F.col("hops").alias("h")).join(steps.select(F.col("a").alias("mid"), "b"), "mid")

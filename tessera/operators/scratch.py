@@ -34,15 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     """The rows of ``df``, written and read again in buckets of ``keys``: what groups or joins by these needs no shuffle.
+    Rows that are ``dealt`` by them already are not dealt again.
 
     The table's name is given up at once, its files stay as those of :func:`written`.
     """
     spark = df.sparkSession
     place, parts = folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "rounds_" + place.rsplit("-", 1)[1]
-    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", place).format("parquet").saveAsTable(name)
+    (df if dealt else df.repartition(parts, *keys)).write.bucketBy(parts, *keys).option("path", place).format("parquet").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table

@@ -207,8 +207,9 @@ def q_chain_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Customers in chains of five hundred, each over the next: how many stand over and under each, and how far."""
     top = F.col("c_custkey") % 500
     edges = read(spark, sf, "customer").where(top > 0).select((F.col("c_custkey") - 1).alias("sup"), F.col("c_custkey").alias("sub"), F.lit("Inheritance").alias("relation"))
-    up = hierarchy.ancestors(edges).groupBy("node").agg(F.count("*").alias("over"), F.max("hops").alias("highest"))
-    down = hierarchy.descendants(edges).groupBy("node").agg(F.count("*").alias("under"))
+    closed = hierarchy.ancestors(edges)  # read from above too: one closure serves both
+    up = closed.groupBy("node").agg(F.count("*").alias("over"), F.max("hops").alias("highest"))
+    down = closed.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("under"))
     kids = hierarchy.children(edges).groupBy("node").agg(F.min("child").alias("child"))
     return up.join(down, "node", "full_outer").join(kids, "node", "left")
 

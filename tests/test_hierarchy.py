@@ -90,3 +90,14 @@ def test_a_large_group_stands_in_many_rows(spark):
     df = spark.range(4000).select(hierarchy.F.lit(1).alias("group"), (hierarchy.F.col("id") % 1000).alias("name"))
     got = hierarchy.pmi(df)
     assert got.count() == 1000 * 1001 // 2 and got.agg({"n": "sum"}).first()[0] == 4000 * 3999 // 2
+
+
+def test_a_round_never_shuffles_what_is_known(spark, monkeypatch):
+    plans = []
+    kept = hierarchy.bucketed
+    monkeypatch.setattr(hierarchy, "bucketed", lambda df, *keys, **more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *keys, **more))
+    steps = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(0, 7), (3, 0)], "a int, b int")
+    got = hierarchy.closure(steps)
+    assert got.count() == got.select("a", "b").distinct().count() and got.where("a = 0 and b = 20").first()["hops"] == 14
+    assert len(plans) > 3 and all("Bucketed: true" in p for p in plans[1:])
+    assert all(p.count("hashpartitioning(a#") == 1 for p in plans[1:])
